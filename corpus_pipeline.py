@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, contamination, quality, substring_dedup
+from ledgerscope.llm import bpe, contamination, ngram_join, quality, substring_dedup
 from ledgerscope.llm.common import materialize
 
 
@@ -15,6 +15,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, ranking).where("predicted = 1").select(*docs.columns)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group that n-gram links connect."""
+    return ngram_join.one_of_each(docs)
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that a document with a smaller id has too; texts that lose nothing stay as they are."""
     cut = substring_dedup.remove_repeats(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
@@ -36,6 +41,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
+    ("n-gram Jaccard join", without_near_copies),
     ("substring dedup", without_repeats),
     ("benchmark decontamination", without_benchmark),
     ("BPE encoding", as_tokens),
