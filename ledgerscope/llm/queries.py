@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, ngram_join, quality, substring_dedup
+from . import bpe, contamination, hmm, language, ngram_join, quality, substring_dedup
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     n = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(_table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
