@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, hmm, language, ngram_join, quality, substring_dedup
+from . import bpe, contamination, hmm, html_text, language, media, ngram_join, quality, substring_dedup
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.select("doc_id", "text"), language.train(docs))
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.stored(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
