@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, hmm, html_text, language, media, ngram_join, quality, substring_dedup
+from . import bpe, contamination, hmm, html_text, language, licenses, media, ngram_join, quality, substring_dedup
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,11 @@ def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_license_scan"] = licenses.scan_sql()
