@@ -81,3 +81,30 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_license_scan"] = licenses.scan_sql()
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, pos, list_aggregate(w[pos + 1:pos + 13], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS pos FROM d WHERE len(w) >= 13)),
+least AS (SELECT g, min(doc_id) AS low FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, pos + k AS spot FROM win JOIN least USING (g), range(0, 13) r(k) WHERE doc_id > low),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS spot FROM d),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE g.spot IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.spot) FILTER (WHERE g.spot IS NULL), '') AS t FROM words w LEFT JOIN gone g USING (doc_id, spot) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLES["op7_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(0, len(w) - 3), lambda i: list_aggregate(w[i + 1:i + 4], 'string_agg', ' ')) WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT doc_id, len(g) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM s"""
+
+ORACLES["op8_benchmark_containment"] = r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL
+ UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(0, len(w) - 4), lambda i: list_aggregate(w[i + 1:i + 5], 'string_agg', ' '))) AS x FROM words WHERE len(w) >= 5),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM g WHERE kind = 'b' GROUP BY id),
+m AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM g a JOIN g b ON a.x = b.x AND a.kind = 'd' AND b.kind = 'b' GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item"""
