@@ -37,7 +37,7 @@ def article_links(html: Column, url: Column) -> Column:
     """Number of different article-shaped paths that a page links to on its own host."""
     own = F.regexp_replace(netloc(url), r"^www\.", "")
     links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("(?i)href=[\"']([^\"']+)[\"']"), 1)
-    absolute = lambda h: F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.lit("http:"), h)).otherwise(F.concat(F.lit("http://"), own, F.lit("/"), F.ltrim(F.lit("/"), h)))
+    absolute = lambda h: F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.lit("http:"), h)).otherwise(F.concat(F.lit("http://"), own, F.lit("/"), F.ltrim(h, F.lit("/"))))
     here = F.filter(F.transform(links, absolute), lambda h: F.regexp_replace(netloc(h), r"^www\.", "").isin("") | (F.regexp_replace(netloc(h), r"^www\.", "") == own))
     paths = F.transform(here, lambda h: F.lower(path_of(h)))
 
