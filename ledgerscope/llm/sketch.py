@@ -2,17 +2,20 @@
 
 Only "at most once" and "twice or more" matter to the callers, so a counter
 saturates at two.  A sketch never underestimates: hashes that occur in two
-documents always look repeated.  Its size is bounded (``MAX_BITS``); past that
-it fills up and lets more hashes through, which costs time and loses nothing.
+documents always look repeated.  It has ``ROOM`` cells for each expected hash,
+so that the same share of single hashes looks repeated at every size, up to
+``MOST`` cells; past that it fills up and lets more hashes through, which costs
+time and loses nothing.
 
 Each task sends, per shard of the cell space, its sorted cells as gaps (about a
 byte a hash); shards are merged in streams, in memory that the shard's size
-bounds; the merged bit planes go to the driver (two planes of 2**MAX_BITS bits
-at most) and are broadcast.
+bounds; the merged bit planes go to the driver (two planes of ``MOST`` bits at
+most) and are broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,18 +25,15 @@ from pyspark.sql import DataFrame
 from .common import U64, mix
 
 DEPTH = 2
-MIN_BITS, MAX_BITS, SHARD_BITS = 14, 28, 20
+ROOM, LEAST, MOST = 1.3, 1 << 14, 1 << 28
+SHARD = 1 << 20
 #: Hashes that a task gathers before it sends their cells.
 FLUSH = 4_000_000
 
 
-def bits_for(items: float) -> int:
-    """Cells for about two a hash, as a power of two within the bounds."""
-    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1.0, 2 * items))))))
-
-
-def cells_of(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix(h, 101 + row) >> U64(64 - bits)).astype(np.int64)
+def cells_of(h: np.ndarray, row: int, width: int) -> np.ndarray:
+    """Cells below ``width``, by the leading bits of a mixed hash."""
+    return ((mix(h, 101 + row) >> U64(32)) * U64(width) >> U64(32)).astype(np.uint32)
 
 
 def _packed(gaps: np.ndarray) -> bytes:
@@ -51,34 +51,43 @@ def _unpacked(data: bytes) -> np.ndarray:
 class Repeats:
     """Which hashes the merged sketch holds as occurring twice or more."""
 
-    def __init__(self, bits: int, planes: list[np.ndarray]):
-        self.bits, self.planes = bits, planes
+    def __init__(self, width: int, planes: list[np.ndarray]):
+        self.width, self.planes = width, planes
+
+    def __reduce__(self):
+        """Planes are mostly zeros: they travel, and stay on executors' disks, compressed."""
+        return _unfold, (self.width, [zlib.compress(p.tobytes(), 1) for p in self.planes])
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         hit = np.ones(len(h), bool)
         for row, plane in enumerate(self.planes):
-            cell = cells_of(h, row, self.bits)
+            cell = cells_of(h, row, self.width)
             hit &= (plane[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
         return hit
 
 
+def _unfold(width: int, planes: list[bytes]) -> Repeats:
+    return Repeats(width, [np.frombuffer(zlib.decompress(p), np.uint8) for p in planes])
+
+
 def repeats(source: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]], items: float) -> Repeats:
     """Sketch of what ``hashes`` yields from the Arrow batches of ``source``; a hash occurs once in a document."""
-    bits = bits_for(items)
-    low = min(bits, SHARD_BITS)
+    width = int(min(MOST, max(LEAST, ROOM * items)))
+    shards = -(-width // SHARD)
     schema = pa.schema([("shard", pa.int32()), ("cells", pa.binary())])
 
     def sent(pending: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(pending)
+        pending.clear()
         for row in range(DEPTH):
-            cell = np.sort(cells_of(h, row, bits))
-            edges = np.searchsorted(cell, np.arange((1 << (bits - low)) + 1) << low)
-            shards, packed = [], []
+            cell = np.sort(cells_of(h, row, width))
+            edges = np.r_[np.searchsorted(cell, np.arange(shards, dtype=np.int64) * SHARD), len(cell)]
+            numbers, packed = [], []
             for s in np.flatnonzero(np.diff(edges)):
-                part = cell[edges[s] : edges[s + 1]] - (int(s) << low)
-                shards.append((row << (bits - low)) + int(s))
+                part = cell[edges[s] : edges[s + 1]].astype(np.int64) - int(s) * SHARD
+                numbers.append(row * shards + int(s))
                 packed.append(_packed(np.diff(part, prepend=0)))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
     def mapper(batches):
         pending, n = [], 0
@@ -97,7 +106,7 @@ def repeats(source: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if shard not in once:
-                    once[shard], twice[shard] = np.zeros(1 << low, bool), np.zeros(1 << low, bool)
+                    once[shard], twice[shard] = np.zeros(SHARD, bool), np.zeros(SHARD, bool)
                 cell = _unpacked(data)
                 new = np.diff(cell, prepend=-1) > 0
                 twice[shard][cell[~new]] = True
@@ -108,10 +117,10 @@ def repeats(source: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]
             packed = np.packbits(plane, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed], pa.binary())], schema=schema)
 
-    planes = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(DEPTH)]
+    planes = [np.zeros(shards * SHARD // 8, np.uint8) for _ in range(DEPTH)]
     merged = source.mapInArrow(mapper, "shard int, cells binary").repartition("shard").mapInArrow(merger, "shard int, cells binary")
-    for r in merged.collect():  # as many bytes as DEPTH planes of 2**bits bits
-        row, s = divmod(r["shard"], 1 << (bits - low))
+    for r in merged.collect():  # as many bytes as DEPTH planes of ``width`` bits
+        row, s = divmod(r["shard"], shards)
         plane = np.frombuffer(r["cells"], np.uint8)
         planes[row][s * len(plane) : (s + 1) * len(plane)] = plane
-    return Repeats(bits, planes)
+    return Repeats(width, planes)

@@ -29,7 +29,7 @@ from .sketch import repeats
 
 WINDOW = 13
 #: Undecided windows that a task holds before it settles what it can.
-HELD = 2_000_000
+HELD = 800_000
 ADDED = ("kept_text", "n_words", "n_removed")
 
 
