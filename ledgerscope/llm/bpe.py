@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 SHORT = 128
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
@@ -159,7 +161,7 @@ def vocabulary(path: str) -> WordBpe:
 
 
 def _with_column(df: DataFrame, source: str, name: str, kind: str, pa_kind, of) -> DataFrame:
-    df = df.drop(name)
+    df = small_batches(df).drop(name)
     columns = df.columns
     at = columns.index(source)
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Characters of text that a task turns into words at a time.
 BLOCK_CHARS = 2_000_000
+#: Bytes of rows that Spark hands to Python at a time.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session hands Python ``BATCH_BYTES`` at a time: long texts don't pile up in a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) != str(BATCH_BYTES):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def text_bytes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Key and text as UTF-8 bytes, a null text as none; no other column travels further."""
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    return small_batches(docs).select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id"):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_long, block_words, blocks, mix, window_hashes, within_texts
+from .common import U64, as_long, block_words, blocks, mix, small_batches, window_hashes, within_texts
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -56,7 +56,7 @@ def _bin_keys(hashes: np.ndarray, power: int) -> np.ndarray:
 
 
 def _lowered(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("body"))
+    return small_batches(df).where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("body"))
 
 
 def item_shingles(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:

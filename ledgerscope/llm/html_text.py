@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<with>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -171,7 +173,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     """``pages`` with ``text`` (empty if there is none) in place of ``source``, and ``n_chars``."""
-    df = pages.drop("text", "n_chars")
+    df = small_batches(pages).drop("text", "n_chars")
     columns = df.columns
     at = columns.index(source)
     others = [i for i in range(len(columns)) if i != at]

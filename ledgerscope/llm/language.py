@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 ROWS = 64
 SYMBOLS = 40_000
@@ -194,7 +194,7 @@ def train(docs: DataFrame, rows: int = ROWS) -> Parser:
 
 def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
-    df = docs.drop("lang_pred", "score")
+    df = small_batches(docs).drop("lang_pred", "score")
     columns = df.columns
     at = columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(parser)

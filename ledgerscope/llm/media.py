@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 SIDE = 24
 FRAME = SIDE * SIDE
 FPS = 25
@@ -178,8 +180,8 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
         elif name == b"idx1":
             index = data[body : body + size]
         at = body + size + (size & 1)
-    if movi is None or index is None:
-        raise ValueError("an AVI file without frames or index")
+    if movi is None or index is None or len(index) % 16:
+        raise ValueError("an AVI file without frames or whole index")
     images = []
     for name, _, offset, size in struct.iter_unpack("<4sIII", index):
         if name[2:] in (b"dc", b"db"):
@@ -229,7 +231,7 @@ def clips(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (batch.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=[key, "clip", "first_frame", "n_frames", "start_s", "end_s"])
 
-    return df.select(key, media).mapInArrow(mapper, f"`{key}` {kind}, clip int, first_frame int, n_frames int, start_s double, end_s double")
+    return small_batches(df).select(key, media).mapInArrow(mapper, f"`{key}` {kind}, clip int, first_frame int, n_frames int, start_s double, end_s double")
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -243,7 +245,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 bodies = [(t or "").encode() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, bodies)), pa.int64()), pa.array(list(map(pack, bodies)), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(mapper, f"doc_id {kind}, n_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(mapper, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -265,4 +267,4 @@ def digests(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(mapper, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return small_batches(media).select("doc_id", "n_bytes", "media").mapInArrow(mapper, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

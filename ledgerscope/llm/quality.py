@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 SAMPLE = 20_000
 PAIRS = 8
@@ -58,7 +58,7 @@ def features(body: bytes) -> np.ndarray:
 
 def _mapped(df: DataFrame, of, name: str, kind: str, pa_kind) -> DataFrame:
     """``df`` with a column of what ``of`` makes of a list of texts."""
-    df = df.drop(name)
+    df = small_batches(df).drop(name)
     columns = df.columns
     at = columns.index("text")
 
