@@ -8,7 +8,8 @@ by size such that a window holds the whole of a template wherever it begins
 retrieve templates for windows: a window and a template that it contains to
 0.8 agree in a band with probability ``J``, their Jaccard index, which size
 group and window bound from below; the number of bands is the least for which
-``1 - (1 - J) ** bands`` is ``COLLIDE`` or more.  Templates of so few shingles
+``1 - (1 - J) ** bands`` is ``COLLIDE`` or more for every template; a notice
+that stands unchanged has a larger ``J``.  Templates of so few shingles
 that 0.8 means all are retrieved by windows of one shingle, which can't miss
 their smallest shingle; those of fewer than five words are one shingle of as
 many words.  Retrieved templates are then verified: in some window the exact
@@ -21,13 +22,14 @@ are left out; repeated rows count once; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-COLLIDE = 0.999
+COLLIDE = 0.99
 #: Templates that a scan takes at most: they are part of the plan.
 MOST = 500
 #: Short notices of common licenses, and the opening words of long ones.
@@ -46,7 +48,7 @@ TEMPLATES = (
     ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file"),
 )
 #: Sizes of templates in shingles: up to (the first), windows of (m) every (s).
-GROUPS = ((4, 8, 4), (9, 10, 2), (27, 30, 4), (48, 55, 8), (96, 115, 20), (192, 231, 40))
+GROUPS = ((4, 8, 4), (9, 12, 4), (28, 35, 8), (48, 59, 12), (96, 119, 24), (192, 239, 48))
 
 
 def group_of(size: int) -> tuple[int, int, int]:
@@ -105,6 +107,21 @@ def _templates(spark, templates) -> tuple[list, DataFrame]:
     return rows, spark.createDataFrame(rows, "license_id string, n int, shingles array<bigint>, m int, s int")
 
 
+def _short(words: Column, n: int, templates) -> Column:
+    """Shingles of ``n`` words; those of fewer than ``SHINGLE`` only where a text has all words of such a template."""
+    if n == SHINGLE:
+        return shingles_of(words, n)
+    has = F.lit(False)
+    for _, notice in templates:
+        own = [w for w in re.split("[^a-z0-9\x80-\U0010ffff]+", notice.lower()) if w]
+        if len(own) == n:
+            every = F.lit(True)
+            for w in own:
+                every = every & F.array_contains(words, w)
+            has = has | every
+    return F.when(has, shingles_of(words, n)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _mins(hashes: Column, group: tuple[int, int, int], bands: int) -> Column:
     """For each band the smallest shingle of each window, as an array of arrays."""
     _, m, s = group
@@ -126,7 +143,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     flip = lambda x, band: signed((x ^ _SALTS[band]) & 0xFFFFFFFFFFFFFFFF)
 
     words = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", words_of(F.col("text")).alias("words"))
-    hashed = words.select("doc_id", *(shingles_of(F.col("words"), n).alias(f"h{n}") for n in lengths))
+    hashed = words.select("doc_id", *(_short(F.col("words"), n, templates).alias(f"h{n}") for n in lengths))
     salts = F.array(*(F.lit(_SALTS[b]) for b in range(most)))
     five = F.col(f"h{SHINGLE}") if SHINGLE in lengths else F.array().cast("array<bigint>")
     # the row number keeps what stands above from being evaluated again with each use
@@ -142,7 +159,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     for group in GROUPS[1:]:
         many = [r for r in rows if len(r[2]) > 4 and group_of(len(r[2])) == group]
         if many:
-            bands = max(bands_of(len(r[2])) for r in many)
+            bands = most
             table = [[min(flip(x, b) for x in r[2]) for r in many] for b in range(bands)]
             keys += [(k, r[0]) for line in table for k, r in zip(line, many, strict=True)]
             wanted = F.array(*(F.array(*map(F.lit, line)) for line in table))
