@@ -20,10 +20,10 @@ pairs that are connected already need no test.
     segment and the partner, or the partner less any one of its n-grams.
     Whether a key costs too much depends on the key alone, so both sides of a
     link allocate alike and no link is lost.
-4.  Sets of a key are tested against the key's smallest set, the likeliest
-    pairs first, which connects groups of near copies without all their pairs.
-    What stays apart in small groups is tested pair by pair, in large ones
-    smallest set after smallest set.  Every test compares whole sets.
+4.  Sets of a key are tested against the key's smallest set, which connects
+    most of a group of near copies without its pairs.  Sets that keys hold
+    together in as many segments as a link needs, and that still aren't
+    connected, are compared in blocks, as bounded pieces of any large group.  Every test compares whole sets.
 
 Words are cut at ASCII white space after lower-casing A-Z; n-grams are 64-bit
 hashes.  Defined results: a text without words has an empty set and links with
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,10 @@ from .sketch import repeats
 
 N = 4
 PERCENT = 85
-#: Unconnected sets of one key that are tested pair by pair; a key of more gets its segment's partner.
+#: Unconnected sets of a key; a key of more costs too much and gets its segment's partner.
 FEW = 64
+#: N-grams and sets of a slot, and columns of the tables that two slots are compared in.
+SLOT, SLOT_SETS, COLUMNS = 800_000, 1500, 4096
 
 
 def _sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
@@ -106,7 +109,7 @@ def _base(docs: DataFrame, n: int, percent: int) -> DataFrame:
     seen = docs.sparkSession.sparkContext.broadcast(repeats(source, hashes, chars / 5))
 
     def mapper(batches):
-        maybe = seen.value
+        maybe, sent = seen.value, set()
         for ids, bodies in blocks(batches, 0, 1):
             sets = _sets(bodies, n)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -115,14 +118,10 @@ def _base(docs: DataFrame, n: int, percent: int) -> DataFrame:
             total = lambda x: np.r_[x.dtype.type(0), np.cumsum(x)][edges]
             h1, h2, twice = (np.diff(total(x)) for x in (mix(flat, 11), mix(flat, 12), maybe(flat).astype(np.int64)))
             may = (100 * twice >= percent * sizes) & (sizes > 0)
-            least: dict[tuple[int, int], int] = {}
-            for i in np.flatnonzero(may):
-                key = (int(h1[i]), int(h2[i]))
-                least[key] = min(least.get(key, ids[i]), ids[i])
-            tokens, sent = [], set()
+            tokens = []
             for i, s in enumerate(sets):
                 key = (int(h1[i]), int(h2[i]))
-                first = may[i] and least[key] == ids[i] and key not in sent
+                first = may[i] and key not in sent  # one of a task's equal sets brings its n-grams
                 if first:
                     sent.add(key)
                 tokens.append(as_long(s) if first else None)
@@ -132,23 +131,32 @@ def _base(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _keys(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, set_id``: the segments of each set, in both of its double bands."""
+    """``key, set_id, band, need``: the segments of each set, in both of its double bands.
+
+    A set that links to this one in a double band agrees with it in ``need``
+    segments at least: the others can hold the differences that their sizes allow.
+    """
     edges = band_edges(percent)
 
     def mapper(batches):
         for batch in batches:
             ids, lists = batch.column(0).to_pylist(), batch.column(1)
-            keys, owner = [], []
+            keys, about = [], []
             for i, set_id in enumerate(ids):
                 tokens = lists[i].values.to_numpy().view(U64)
-                for band, parts in _bands(len(tokens), edges, percent):
+                size = len(tokens)
+                for band, parts in _bands(size, edges, percent):
+                    largest = min(size * 100 // percent, edges[band + 2] - 1)
+                    need = parts - (100 - percent) * (size + largest) // (100 + percent)
                     keys.append(_single(_segments(tokens, band, parts)[0], band))
-                    owner.append(np.full(parts, set_id, np.int64))
-                if len(keys) >= 2000 or i == len(ids) - 1:
-                    yield _long_lists([pa.array(as_long(np.concatenate(keys))), pa.array(np.concatenate(owner))], ["key", "set_id"])
-                    keys, owner = [], []
+                    about.append((set_id, band, need, parts))
+                if len(keys) >= 500 or i == len(ids) - 1:
+                    many = [a[3] for a in about]
+                    each = (pa.array(np.repeat(np.array([a[k] for a in about], kind), many)) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32)))
+                    yield _long_lists([pa.array(as_long(np.concatenate(keys))), *each], ["key", "set_id", "band", "need"])
+                    keys, about = [], []
 
-    return sets.select("set_id", "tokens").mapInArrow(mapper, "key long, set_id long")
+    return sets.select("set_id", "tokens").mapInArrow(mapper, "key long, set_id long, band int, need int")
 
 
 def _partner_keys(costly: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,68 +211,130 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``key, set_id, component`` of the keys whose sets aren't all connected yet, with the key's smallest set and its number of sets."""
-    if labels is not None:
-        keyed = keyed.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
-    else:
-        keyed = keyed.withColumn("component", F.col("set_id"))
-    each = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("set_id").alias("least"), F.count("*").alias("n")).where("low < high").drop("low", "high")
-    return keyed.join(each, "key")
-
-
-def _star(apart: DataFrame) -> DataFrame:
-    """Each set with the smallest set of each of its keys, where the two aren't connected: ``a, b, keys``."""
-    return apart.where("set_id <> least").groupBy(F.col("least").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("keys"))
+def _labelled(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``keyed`` with the component of each set, itself where it has no link."""
+    if labels is None:
+        return keyed.withColumn("component", F.col("set_id"))
+    joined = keyed.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+    return joined.withColumn("component", F.coalesce("component", "set_id"))
 
 
-def _unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    return pairs.where("ca <> cb").drop("ca", "cb")
+def _apart(rows: DataFrame) -> DataFrame:
+    """Labelled rows of the keys whose sets aren't all connected yet, with the key's smallest set and its number of sets."""
+    each = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("set_id").alias("least"), F.count("*").alias("n")).where("low < high").drop("low", "high")
+    return rows.join(each, "key")
 
 
-def _connect(keyed: DataFrame, sets: DataFrame, edges: DataFrame, percent: int, partners: bool) -> DataFrame:
-    """``edges`` and those that connect whatever sets of a key of ``keyed`` are linked."""
+def _enough(apart: DataFrame) -> DataFrame:
+    """Rows of the sets that share as many keys of a double band with unconnected sets as a link there needs."""
+    able = apart.groupBy("set_id", "band").agg(F.count("*").alias("have"), F.max("need").alias("want")).where("have >= want").select("set_id", "band")
+    return apart.drop("least", "n").join(able, ["set_id", "band"], "left_semi")
 
-    def more(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-        return materialize(edges.union(_linked(pairs, sets, percent)), "links")
 
-    apart = materialize(_apart(keyed, components(edges) if edges.head(1) else None), "apart")
-    star = _star(apart)
-    likeliest = star.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
-    edges = more(edges, likeliest)
-    edges = more(edges, _unconnected(star.select("a", "b").join(likeliest, ["a", "b"], "left_anti"), components(edges)))
-    # every set has met the smallest one of each of its keys
-    rest = apart.where("set_id <> least").select("key", "set_id")
-    while True:
-        apart = materialize(_apart(rest, components(edges)), "apart")
-        if not apart.head(1):
-            return edges
-        few = apart.where(F.col("n") <= FEW)
-        left, right = few.select("key", F.col("set_id").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("set_id").alias("b"), F.col("component").alias("cb"))
-        pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        edges = more(edges, pairs)
-        many = apart.where(F.col("n") > FEW)
-        if not many.head(1):
-            return edges
-        if partners:
-            return _connect(materialize(_partner_keys(many.select("key", "set_id"), sets, percent), "partners"), sets, edges, percent, False)
-        edges = more(edges, _unconnected(_star(many).select("a", "b"), components(edges)))
-        rest = many.where("set_id <> least").select("key", "set_id")
+def _star(apart: DataFrame) -> DataFrame:
+    """Each set with the smallest set of each of its keys: ``a, b``."""
+    return apart.where("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct()
+
+
+def _met(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between each key's smallest set and its others, and those others."""
+    apart = materialize(_apart(rows), "apart")
+    links = materialize(_linked(_star(apart), sets, percent), "links")
+    return links, apart.where("set_id <> least").drop("least", "n", "component")
+
+
+def _cluster_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what keys of ``left`` (key, set_id, component, least) share, from whole sets compared in blocks.
+
+    Sets that keys hold together are one cluster, of any size; a cluster is cut
+    into slots of about ``SLOT`` n-grams, and each two slots meet in one task,
+    which keeps only as many links as connect the slots' components.
+    """
+    ties = components(left.where("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct())
+    members = left.select("set_id", "component").distinct().join(ties.select(F.col("id").alias("set_id"), F.col("component").alias("cluster")), "set_id")
+    members = materialize(members.join(sets, "set_id"), "members")
+    slots = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("size") / SLOT), F.ceil(F.count("*") / SLOT_SETS)).cast("int").alias("slots"))
+    placed = members.join(slots, "cluster").withColumn("slot", F.pmod(F.xxhash64("set_id"), F.col("slots")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    pairs = each.select("cluster", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "slot", "set_id", "component", "size", "tokens")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comps, sizes = (table.column(c).to_numpy() for c in ("set_id", "component", "size"))
+        first = table.column("slot").to_numpy() == table.column("low")[0].as_py()
+        tokens = np.concatenate([c.flatten().to_numpy() for c in table.column("tokens").chunks])
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        x, y = (np.flatnonzero(first), np.flatnonzero(first)) if first.all() else (np.flatnonzero(first), np.flatnonzero(~first))
+        inside = np.isin(owner, x)
+        _, code, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        code = (np.cumsum(often > 1) - 1)[code] + (often[code] == 1) * len(often)  # n-grams of one set are in no intersection
+        width = int((often > 1).sum())
+        row = np.zeros(len(ids), np.int64)
+        row[x], row[y] = np.arange(len(x)), np.arange(len(y))
+        shared = np.zeros((len(x), len(y)), np.float32)
+        for begin in range(0, width, COLUMNS):
+            here = (code >= begin) & (code < begin + COLUMNS)
+            left, right = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32)
+            u, v = here & inside, here & (inside if x is y or first.all() else ~inside)
+            left[row[owner[u]], code[u] - begin] = 1
+            right[row[owner[v]], code[v] - begin] = 1
+            shared += left @ right.T
+        shared = shared.astype(np.int64)
+        linked = (100 * shared >= percent * (sizes[x][:, None] + sizes[y][None] - shared)) & (comps[x][:, None] != comps[y][None])
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        kept = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = find(int(comps[x[i]])), find(int(comps[y[j]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append((int(ids[x[i]]), int(ids[y[j]])))
+        return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
+
+    return materialize(pairs.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _connect(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels of the sets that links connect, by way of the keys of ``keyed``."""
+    edges, rest = _met(_labelled(keyed, None), sets, percent)
+    labels = components(edges)
+    left = materialize(_apart(_enough(_apart(_labelled(rest, labels)))), "left")
+    costly = left.where(F.col("n") > FEW)
+    if costly.head(1):
+        partners = materialize(_partner_keys(costly.select("key", "set_id"), sets, percent), "partners")
+        more, rest = _met(_labelled(partners, labels), sets, percent)
+        edges = edges.union(more)
+        labels = components(edges)
+        few = left.where(F.col("n") <= FEW).select("key", "set_id")
+        left = materialize(_apart(_labelled(few.union(rest.select("key", "set_id")), labels)), "left")
+    if not left.head(1):
+        return labels
+    return components(edges.union(_cluster_links(left, sets, percent)))
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document: the size of its set and the smallest ``doc_id`` that links reach."""
     base = materialize(_base(docs, n, percent), "sets")
-    classes = base.where("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("set_id"))
-    able = base.where(F.col("tokens").isNotNull()).select("doc_id", "size", "tokens")
-    sets = materialize(able.join(classes.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "set_id"), "able")
-    keyed = materialize(_keys(sets, percent), "keys")
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = components(_connect(keyed, sets, none, percent, True))
-    named = classes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("h1", "h2", "size", F.coalesce("component", "set_id").alias("component_id"))
-    return base.select("doc_id", "size", "h1", "h2").join(named, ["h1", "h2", "size"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    same = ["h1", "h2", "size"]
+    able = base.where(F.col("tokens").isNotNull())
+    classes = base.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id"))).alias("set_id"))
+    chosen = able.select("doc_id", *same, "tokens").join(classes.select("set_id", *same), (F.col("doc_id") == F.col("set_id")), "left_semi").dropDuplicates(["doc_id"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = chosen.select(F.col("doc_id").alias("set_id"), "size", "tokens").repartition(parts, "set_id").persist(StorageLevel.DISK_ONLY)  # dealt once for all joins
+    try:
+        keyed = materialize(_keys(sets, percent), "keys")
+        labels = _connect(keyed, sets, percent)
+    finally:
+        sets.unpersist()
+    # a set's id is one of its class's documents; a component's is the smallest of all its classes' documents
+    of_class = classes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id", "least"))
+    of_component = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = of_class.join(of_component, "component").select(*same, "component_id")
+    return base.select("doc_id", *same).join(named, same, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
