@@ -45,8 +45,8 @@ from .sketch import repeats
 
 N = 4
 PERCENT = 85
-#: Unconnected sets of a key; a key of more costs too much and gets its segment's partner.
-FEW = 64
+#: Unconnected sets of a key: comparing more costs more than the keys of the segment's partner.
+FEW = 2000
 #: N-grams and sets of a slot, and columns of the tables that two slots are compared in.
 SLOT, SLOT_SETS, COLUMNS = 800_000, 1500, 4096
 
@@ -198,17 +198,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, component`` (the smallest id) of the ids in ``edges`` (a, b), by smallest labels and shortcuts between them."""
-    both = materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("component")), "labels")
+    """``id, component`` (the smallest id) of the ids in ``edges`` (a, b).
+
+    Each round every node takes its smallest neighbour's smallest neighbour as
+    its name, edges take their ends' names, and those within one name go, so
+    that each round works on a smaller graph than the one before.
+    """
+    left = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    names = None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        hop = labels.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
-        new = materialize(lower.join(hop, "component", "left").select("id", "was", F.least("component", "beyond").alias("component")), "labels")
-        labels = new.select("id", "component")
-        if not new.where("was <> component").head(1):
-            return labels
+        both = left.union(left.select("b", "a"))
+        near = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("name"))
+        hop = near.select(F.col("id").alias("name"), F.col("name").alias("beyond"))
+        near = materialize(near.join(hop, "name").select("id", F.col("beyond").alias("name")), "names")
+        if names is None:
+            names = near
+        else:
+            after = near.select(F.col("id").alias("name"), F.col("name").alias("beyond"))
+            names = materialize(names.join(after, "name", "left").select("id", F.coalesce("beyond", "name").alias("name")), "names")
+        of = lambda end: near.select(F.col("id").alias(end), F.col("name").alias(f"n{end}"))
+        renamed = left.join(of("a"), "a").select("na", "b").distinct().join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        left = materialize(renamed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        if not left.head(1):
+            return names.withColumnRenamed("name", "component")
 
 
 def _labelled(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
