@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ledgerscope.llm import bpe, contamination, ngram_join, quality, substring_dedup
 from ledgerscope.llm.common import materialize
 
+#: What near copies are in this pipeline; the query op7_ngram_jaccard has a contract of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking doesn't reject."""
@@ -16,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group that n-gram links connect."""
-    return ngram_join.one_of_each(docs)
+    """One document, that with the smallest id, of each group that links of ``NEAR_WORDS``-word n-grams connect."""
+    return ngram_join.one_of_each(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerscope.llm import bpe
 
@@ -18,3 +20,20 @@ def test_stages_one_after_another(spark, sf_dir, tmp_path):
     own = bpe.vocabulary(bpe.default_path())
     for r in docs.collect():
         assert bytes(r["ids"]) == own.encode(texts[r["doc_id"]])
+
+
+def test_near_copies_at_four_fifths_of_five_words_go(spark):
+    base = [f"w{i}" for i in range(204)]
+    scattered = [f"x{i}" if i in (20, 60, 110, 160) else w for i, w in enumerate(base)]  # 180 of 220 five-word shingles
+    block = base[:162] + [f"y{i}" for i in range(18)] + base[180:]  # an edit in one place: 178 of 222
+    fewer = [f"z{i}" if i in (20, 60, 90, 120, 160) else w for i, w in enumerate(base)]  # 175 of 225: no near copy
+    texts = {1: base, 2: scattered, 3: block, 4: fewer}
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(200)} for i, t in texts.items()}
+    share = {i: len(sets[1] & s) / len(sets[1] | s) for i, s in sets.items()}
+    assert 0.8 <= share[3] < 0.81 < share[2] < 0.82 and share[4] < 0.8
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for near in (2, 3):
+        assert [r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs.where(F.col("doc_id").isin(1, near)), "").collect()] == [1]
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs.where("doc_id in (1, 4)"), "").collect()}
+    assert kept == {1, 4}
