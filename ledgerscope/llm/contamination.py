@@ -6,10 +6,13 @@ A partition has as many bins as its largest document has shingles, so that the
 smallest hash of a bin stands for about one shingle however long the document
 is: a shingle that item and document share is the smallest of its bin in the
 document with a probability of 0.63 at least, and an item of ``q`` shingles
-that is contained to 0.8 escapes with at most ``0.37 ** (0.8 * q)``.  An item
-is asked for in each partition with all of its shingles' bins, since a document
-may lack any of its shingles.  Candidates are verified by the exact share of
-the item's shingles that the document has.
+that is contained to 0.8 escapes with at most ``0.37 ** (0.8 * q)``.  Such an
+item is asked for in each partition with all of its shingles' bins, since a
+document may lack any of its shingles.  Items for which that bound exceeds
+``ESCAPE`` are short, and none may escape: documents offer every shingle that
+the benchmark has, and an item is asked for by its smallest shingles, one more
+than a document that contains it can lack.  Candidates are verified by the
+exact share of the item's shingles that the document has.
 
 What tasks need of the benchmark is a Bloom filter of fixed size; the exact
 comparison is a join, so the benchmark may be of any size.
@@ -36,6 +39,8 @@ CONTAINMENT = 0.8
 FILTER_BITS = 26
 #: The smallest and the largest partition, as powers of two of a document's shingles.
 LEAST_BINS, MOST_BINS = 4, 26
+#: Items that bins might miss with a larger probability are asked for by shingles instead.
+ESCAPE = 1e-9
 #: Every byte but ASCII letters, digits and those beyond ASCII becomes a space.
 PLAIN = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -55,6 +60,19 @@ def _bin_keys(hashes: np.ndarray, power: int) -> np.ndarray:
     return mix(hashes, 200 + power)
 
 
+def _whole_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of hashes as shingles, in no bin."""
+    return mix(hashes, 199)
+
+
+def _asked_keys(hashes: np.ndarray, containment: float) -> np.ndarray:
+    """The keys by which an item is asked for."""
+    needed = max(1, int(np.ceil(containment * len(hashes) - 1e-9)))
+    if 0.37**needed > ESCAPE:
+        return _whole_keys(np.sort(hashes)[: len(hashes) - needed + 1])
+    return np.concatenate([_bin_keys(hashes, p) for p in range(LEAST_BINS, MOST_BINS + 1)])
+
+
 def _lowered(df: DataFrame, key: str, text: str) -> DataFrame:
     return small_batches(df).where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("body"))
 
@@ -114,20 +132,18 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
                 power = int(min(MOST_BINS, max(LEAST_BINS, np.ceil(np.log2(len(h))))))
                 bins = h >> U64(64 - power)
                 least = h[np.r_[True, bins[1:] != bins[:-1]]]  # sorted: the first of each bin is its smallest
-                least = least[_may(plane, least)]
-                if len(least):
+                known = h[_may(plane, h)]
+                if len(known):
                     of.append(doc)
-                    keys.append(as_long(_bin_keys(least, power)))
-                    shared.append(as_long(h[_may(plane, h)]))
+                    keys.append(as_long(np.r_[_whole_keys(known), _bin_keys(least[_may(plane, least)], power)]))
+                    shared.append(as_long(known))
             if of:
                 yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shared, pa.list_(pa.int64()))], names=["doc_id", "keys", "shared"])
 
-    powers = range(LEAST_BINS, MOST_BINS + 1)
-
     def asked(batches):
         for batch in batches:
             for item, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = np.concatenate([_bin_keys(np.array(h, np.int64).view(U64), p) for p in powers])
+                keys = _asked_keys(np.array(h, np.int64).view(U64), containment)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), item, np.int64)), pa.array(as_long(keys))], names=["item_id", "key"])
 
     found = _lowered(docs, "doc_id", "text").mapInArrow(mapper, "doc_id long, keys array<long>, shared array<long>")

@@ -1,6 +1,7 @@
 """Operators that compare documents, against brute force."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -101,6 +102,28 @@ def test_containment_of_partial_items(spark):
     assert got == {i: 50 - i for i in range(11)}
 
 
+def test_short_items_are_never_missed(spark):
+    r = random.Random(11)
+    items = {k: [f"i{k}x{j}" for j in range(5 + k % 5)] for k in range(60)}  # 1 to 5 shingles
+    items |= {k: [f"i{k}x{j}" for j in range(n)] for k, n in ((60, 14), (61, 29), (62, 30), (63, 31), (64, 60))}
+    docs = {}
+    for i in range(400):
+        words = [f"d{i}x{j}" for j in range(r.choice((20, 36, 68, 131, 260)))]
+        for k in r.sample(sorted(items), 6):
+            own = list(items[k])
+            if r.random() < 0.4:
+                own[r.choice((0, -1))] = "edited"
+            at = r.randrange(len(words))
+            words[at:at] = own
+        docs[i] = words
+    grams = lambda w: {tuple(w[p : p + 5]) for p in range(len(w) - 4)}
+    asked, having = {k: grams(w) for k, w in items.items()}, {i: grams(w) for i, w in docs.items()}
+    truth = {(i, k): len(g & h) for i, h in having.items() for k, g in asked.items() if len(g & h) >= 0.8 * len(g)}
+    table = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], f"{key} long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["n_shared"] for x in contamination.contained_items(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    assert got == truth
+
+
 def test_licenses(spark):
     fill = " ".join(f"f{i}" for i in range(40))
     docs = [(i, f"{fill} {notice} {fill}") for i, (_, notice) in enumerate(licenses.TEMPLATES)] + [(99, fill), (98, "licensed under the apache something version 2 0")]
