@@ -8,8 +8,10 @@ by size such that a window holds the whole of a template wherever it begins
 retrieve templates for windows: a window and a template that it contains to
 0.8 agree in a band with probability ``J``, their Jaccard index, which size
 group and window bound from below; the number of bands is the least for which
-``1 - (1 - J) ** bands`` is ``COLLIDE`` or more for every template; a notice
-that stands unchanged has a larger ``J``.  Templates of so few shingles
+``1 - (1 - J) ** bands`` is ``COLLIDE`` or more for every template.  Shingles
+that no template has can't be a template's smallest, so they are left out of
+windows before the bands: ``J`` is then 0.8 at least wherever a window has no
+shingles of other templates.  Templates of so few shingles
 that 0.8 means all are retrieved by windows of one shingle, which can't miss
 their smallest shingle; those of fewer than five words are one shingle of as
 many words.  Retrieved templates are then verified: in some window the exact
@@ -21,6 +23,7 @@ are left out; repeated rows count once; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-COLLIDE = 0.99
+COLLIDE = 0.999
 #: Templates that a scan takes at most: they are part of the plan.
 MOST = 500
 #: Short notices of common licenses, and the opening words of long ones.
@@ -144,10 +147,14 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     words = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", words_of(F.col("text")).alias("words"))
     hashed = words.select("doc_id", *(_short(F.col("words"), n, templates).alias(f"h{n}") for n in lengths))
-    salts = F.array(*(F.lit(_SALTS[b]) for b in range(most)))
-    five = F.col(f"h{SHINGLE}") if SHINGLE in lengths else F.array().cast("array<bigint>")
     # the row number keeps what stands above from being evaluated again with each use
-    ordered = hashed.select("doc_id", F.monotonically_increasing_id().alias("row"), *(f"h{n}" for n in lengths), F.transform(salts, lambda salt: F.transform(five, lambda x: x.bitwiseXOR(salt))).alias("ordered"))
+    known_to = {n: F.array(*(F.lit(x) for x in sorted({x for r in rows if r[1] == n for x in r[2]}))) for n in lengths}
+    met = hashed.select("doc_id", F.monotonically_increasing_id().alias("row"), *(f"h{n}" for n in lengths), *(F.array_intersect(f"h{n}", known_to[n]).alias(f"k{n}") for n in lengths))
+    some = met.where(functools.reduce(lambda a, b: a | b, (F.size(f"k{n}") > 0 for n in lengths), F.lit(False)))
+    five = F.transform(f"h{SHINGLE}", lambda x: F.when(F.array_contains(f"k{SHINGLE}", x), x)) if SHINGLE in lengths else F.array().cast("array<bigint>")
+    salts = F.array(*(F.lit(_SALTS[b]) for b in range(most)))
+    masked = some.select("doc_id", "row", *(f"h{n}" for n in lengths), five.alias("five"))
+    ordered = masked.select("doc_id", "row", *(f"h{n}" for n in lengths), F.transform(salts, lambda salt: F.transform("five", lambda x: x.bitwiseXOR(salt))).alias("ordered"))
 
     keys: list[tuple[int, str]] = []
     hits = []

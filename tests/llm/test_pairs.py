@@ -1,7 +1,9 @@
 """Operators that compare documents, against brute force."""
 
 import hashlib
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -131,6 +133,34 @@ def test_licenses(spark):
     assert {(i, name) for i, (name, _) in enumerate(licenses.TEMPLATES)} <= got and not {d for d, _ in got} & {98, 99}
 
 
+def test_edited_licenses_are_found(spark):
+    """Notices of which just 0.8 stands, among strange words; brute force over the same windows."""
+    r = random.Random(21)
+    plain = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    grams = lambda w: [tuple(w[p : p + 5]) for p in range(len(w) - 4)]
+    long = {name: plain(t) for name, t in licenses.TEMPLATES if len(plain(t)) >= 14}
+    docs = {}
+    for name, own in long.items():
+        size = len(own) - 4
+        assert 1 - (1 - licenses.jaccard(size)) ** licenses.bands_of(size) >= 0.999
+        for _ in range(500):
+            cut = size - math.ceil(0.8 * size - 1e-9)
+            ends = r.randint(0, cut)
+            words = [f"f{r.randrange(10**9)}" for _ in range(140)]
+            at = r.randrange(60, 80)
+            words[at:at] = own[ends : len(own) - (cut - ends)]
+            docs[len(docs)] = (name, words)
+    truth = set()
+    for i, (name, words) in docs.items():
+        asked, h = set(grams(long[name])), grams(words)
+        _, m, s = licenses.group_of(len(asked))
+        if any(len(asked & set(h[p : p + m])) >= 0.8 * len(asked) for p in range(0, len(h), s)):
+            truth.add((i, name))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, (_, w) in docs.items()], "doc_id long, text string")
+    got = {(x["doc_id"], x["license_id"]) for x in licenses.scan(table).collect() if docs[x["doc_id"]][0] == x["license_id"]}
+    assert len(truth) == len(docs) and got == truth
+
+
 def test_license_scan_runs_no_python(spark, near_table):
     plan = licenses.scan(near_table)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
