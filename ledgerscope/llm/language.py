@@ -15,8 +15,9 @@ number for each language.
 Symbols are letters in lower case; whatever stands between letters is one
 space; letters that no sample has are one symbol that never matches.  Learning
 takes rows whose crc32 of the key doesn't leave 1 by 3 and whose text and
-language aren't null: ``ROWS`` rows a language, drawn by a hash of the text,
-``SYMBOLS`` symbols of them.  At most ``LANGUAGES`` languages are taken.
+language aren't null: the distinct texts of a language with the smallest hashes,
+four times ``ROWS`` or all if there are fewer, which share ``SYMBOLS`` symbols.
+More than ``LANGUAGES`` languages are an error.
 
 Defined results: ``und`` and score 0 for a null text or one without a letter,
 or if nothing could be learned; the score of a text is the winner's share of
@@ -29,7 +30,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
@@ -173,23 +174,33 @@ class Parser:
         return names, scores
 
 
+def shares(sizes: list[int], total: int) -> list[int]:
+    """``total`` symbols dealt over texts: as many to each, what short ones leave goes to the others."""
+    out = [0] * len(sizes)
+    for k, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[i] = min(sizes[i], total // (len(sizes) - k))
+        total -= out[i]
+    return out
+
+
 def train(docs: DataFrame, rows: int = ROWS) -> Parser:
     """Automata from a bounded sample of the labelled rows."""
     labelled = docs.where(~held_out(3, 1) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    drawn = F.xxhash64("text", F.lit(3)).bitwiseAND(F.lit((1 << 30) - 1))
-    share = F.lit(0)
-    for r in counts:  # LANGUAGES at most
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, 4 * rows / r["n"]) * (1 << 30))).otherwise(share)
-    few = labelled.withColumn("drawn", drawn).where(F.col("drawn") < share).select("lang", "drawn", "text")
-    got = few.groupBy("lang", "drawn").agg(F.min("text").alias("text")).orderBy("lang", "drawn", "text").collect()
+    names = [r["lang"] for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect()]
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    hashed = labelled.withColumn("drawn", F.xxhash64("text", F.lit(3)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
+    least = hashed.select("lang", "drawn").distinct().withColumn("nth", rank).where(F.col("nth") <= 4 * rows).drop("nth")
+    few = hashed.join(F.broadcast(least), ["lang", "drawn"], "left_semi")  # LANGUAGES times 4 * rows at most
+    got = few.groupBy("lang", "drawn").agg(F.min("text").alias("text")).orderBy("lang", "drawn").collect()
     samples: dict[str, list[np.ndarray]] = {}
     for r in got:
         found = letters(r["text"])
-        taken = samples.setdefault(r["lang"], [])
-        if len(found) and sum(map(len, taken)) < SYMBOLS:
-            taken.append(found)
-    return Parser({k: v for k, v in samples.items() if v})
+        if len(found):
+            samples.setdefault(r["lang"], []).append(found)
+    samples = {k: [t[:n] for t, n in zip(v, shares([len(t) for t in v], SYMBOLS - len(v)), strict=True)] for k, v in samples.items()}
+    return Parser(samples)
 
 
 def identify(docs: DataFrame, parser: Parser) -> DataFrame:

@@ -68,6 +68,28 @@ def test_languages_of_odd_rows(odd_table, empty_table, spark, sf_dir):
     assert {r["lang_pred"] for r in language.identify(odd_table, language.train(empty_table)).collect()} == {"und"}
 
 
+def test_samples_are_drawn_from_distinct_texts(spark):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    few = [" ".join(word("abcd") for _ in range(40)) for _ in range(3)]
+    rows = [(i, few[i % 3], "aa") for i in range(30_000)]  # 3 texts of 20,000 training rows
+    rows += [(30_000 + i, " ".join(word("pqrs") for _ in range(40)), "bb") for i in range(300)]
+    parser = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert parser.names == ["aa", "bb"]
+    assert all(n == 1 for n in parser.phrases([language.letters(t) for t in few])[:, 0])
+
+
+def test_symbols_are_shared_and_languages_are_not_dropped(spark):
+    assert language.shares([5, 100, 2, 100], 67) == [5, 30, 2, 30] and language.shares([3, 4], 99) == [3, 4] and language.shares([], 9) == []
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(learned[i], "x" * 60_000 if i == 0 else f"{chr(97 + i)}{chr(98 + i)} " * 20, "aa") for i in range(20)]
+    parser = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(map(chr, parser.alphabet)) >= set("bcdefghijklmnopqrst")
+    many = [(i, f"texto {i}", f"l{i % 65}") for i in range(650)]
+    with pytest.raises(ValueError):
+        language.train(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+
+
 # quality
 
 
