@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags.  Each block has its number of
 words and its share of words in links, those of the block before and after it,
 whether it stands in a container that names itself as page furniture (by tag,
-class, id or role) and whether it stands in the article.  A decision tree
+class, id or role: whole names, and none of html, body, main and article) and
+whether it stands in the article.  A decision tree
 trained here on ``TAUGHT`` keeps the blocks of the article.
 
 Character references are decoded, white space inside a block (line breaks too)
@@ -34,11 +35,15 @@ TOKEN = re.compile(
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Tags and names that mark page furniture, tags that mark the article, tags inside a line.
 FURNITURE_TAGS = frozenset("nav header footer aside form head menu dialog button fieldset".split())
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|footer|sidebar|aside|ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|notice|notices|popup|modal"
-    r"|newsletter|subscribe|subscription|social|share|sharing|related|recommended|comments?|respond|replies|reply|breadcrumbs?|pagination|pager|widget|login|search|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
+FURNITURE = (
+    r"nav|navbar|navigation|menu|header|footer|sidebar|aside|ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|notice|notices|popup|modal"
+    r"|newsletter|subscribe|subscription|social|share|sharing|related|recommended|comments?|respond|replies|reply|breadcrumbs?|pagination|pager|widget|login|search|contentinfo|complementary"
 )
+#: Words that only say which piece of furniture a name means; any other word in it may say that there is none.
+PIECE = "site|page|top|bottom|main|primary|secondary|global|user|article|post|posts|entry|story|stories|area|list|section|box|block|bar|items?|links?|buttons?|icons?|form|text|title|body|content|slot|unit"
+FURNITURE_NAME = re.compile(rf"(?:(?:{PIECE})[_-]+)*(?:{FURNITURE})(?:[_-]+(?:{FURNITURE}|{PIECE}))*", re.I)
+#: Tags that hold the article whatever their names say of the page around it.
+NEVER_FURNITURE = frozenset("html body main article".split())
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|post|entry|story|content|body)(?:$|[\s_-])", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HOLDERS = frozenset("html body div section article main ul ol dl table tbody thead tr td th details figure blockquote".split()) | FURNITURE_TAGS
@@ -159,7 +164,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     break
         elif not m["with"].rstrip().endswith("/"):
             names = " ".join(a or b or c for a, b, c in NAMED.findall(m["with"])) if m["with"] else ""
-            holders.append((tag, furniture or tag in FURNITURE_TAGS or bool(FURNITURE.search(names)), article or tag in ("article", "main") or bool(ARTICLE.search(names))))
+            holders.append((tag, furniture or tag in FURNITURE_TAGS or tag not in NEVER_FURNITURE and any(map(FURNITURE_NAME.fullmatch, names.split())), article or tag in ("article", "main") or bool(ARTICLE.search(names))))
         furniture, article = holders[-1][1:] if holders else (False, False)
     close()
     return out

@@ -184,6 +184,20 @@ def test_main_text():
     assert html_text.main_text(f"<div><p>{words}</p></div><ul><li><a href='x'>a b</a></li></ul>") == words.strip()
 
 
+@pytest.mark.parametrize("holder", ['body class="has-sidebar"', 'article class="post no-comments"', 'div class="content share-enabled"', 'main class="page-header-fixed"', 'body class="sidebar"', 'div id="x" class="ad-free main"'])
+def test_names_of_state_are_no_furniture(holder):
+    words = "palavra " * 60
+    tag = holder.split()[0]
+    page = f"<html><{holder}><article><h1>Um título</h1><p>{words}</p><p>{words}</p></article></{tag}></html>"
+    assert html_text.main_text(page) == f"Um título\n{words.strip()}\n{words.strip()}"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comments-area", "site-footer", "cookie-banner", "related-posts", "share_buttons", "post-comments", "ADS", "x sidebar"])
+def test_names_of_furniture_still_are(name):
+    words = "palavra " * 60
+    assert html_text.main_text(f"<body><article><p>{words}</p></article><div class='{name}'><p>Outro {words}</p></div></body>") == words.strip()
+
+
 def test_tree_fits_its_table():
     assert all(html_text.kept(row[:-1]) == bool(row[-1]) for row in html_text.TAUGHT)
 
