@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Characters of text that a task turns into words at a time.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: Bytes of rows that Spark hands to Python at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a folder of our own only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerscope-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -39,6 +41,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, files: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in ``files`` buckets of column ``by``: later joins and groups on it don't move it."""
+    name = f"t{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(files, by).option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, once its session hands Python ``BATCH_BYTES`` at a time: long texts don't pile up in a task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -4,51 +4,50 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|``.  The links'
 components are what comes out, so equal sets are one class from the start and
 pairs that are connected already need no test.
 
-1.  A document can link to a different set only if ``percent`` of its n-grams
-    occur in another document; merged count-min sketches, which never
-    underestimate, rule most documents out.
-2.  Sizes are dealt into bands such that linked sets lie in one band or in
+1.  Sizes are dealt into bands such that linked sets lie in one band or in
     neighbours.  For two neighbouring bands the number ``k`` of n-grams in
     which linked sets can differ is bounded, and the universe of n-grams is
     hashed into ``k + 1`` segments: by the pigeonhole principle linked sets
-    agree in one segment at least.  Each segment of a set is a key.
-3.  Segments are taken two by two.  Of ``k`` differences dealt over the pairs
+    agree in one segment at least.  Each segment of a set is a key.  A set's
+    own size says in how many segments a link to it needs agreement; sets that
+    don't share so many keys go.  Empty segments are keys only of sets that
+    need them for that number.
+2.  Segments are taken two by two.  Of ``k`` differences dealt over the pairs
     of segments, one pair has one difference at most, so linked sets agree in
-    one of its segments and differ by at most one n-gram in the other.  Where
-    a segment alone is a key of too many sets that the tests so far haven't
-    connected (its cost), it is allocated its partner too: the key becomes the
-    segment and the partner, or the partner less any one of its n-grams.
-    Whether a key costs too much depends on the key alone, so both sides of a
-    link allocate alike and no link is lost.
-4.  Sets of a key are tested against the key's smallest set, which connects
-    most of a group of near copies without its pairs.  Sets that keys hold
-    together in as many segments as a link needs, and that still aren't
-    connected, are compared in blocks, as bounded pieces of any large group.  Every test compares whole sets.
+    one of its segments and differ by at most one n-gram in the other.  What a
+    segment's key costs is the number of sets that hold it: to each of them
+    that many comparisons.  Where that is more than the keys of its partner
+    cost, it is allocated its partner too: the key becomes the segment and the
+    partner, or the partner less any one of its n-grams.  The allocation
+    depends on the key alone, so both sides of a link allocate alike.
+3.  The smallest set of a key is its hub, and a set's home is the hub with
+    which it shares most keys.  Sets of one home are compared in blocks; then
+    those of keys that hold sets of several homes which aren't connected yet.
+    Every comparison is of whole sets, in pieces of bounded size.
 
 Words are cut at ASCII white space after lower-casing A-Z; n-grams are 64-bit
-hashes.  Defined results: a text without words has an empty set and links with
-nothing; a text of fewer than ``n`` words is one n-gram; rows with a null
-``doc_id`` are left out; repeated rows give repeated result rows; extra columns
-are ignored.
+hashes, and so are sets (a sum over their n-grams).  Defined results: a text
+without words has an empty set and links with nothing; a text of fewer than
+``n`` words is one n-gram; rows with a null ``doc_id`` are left out; repeated
+rows give repeated result rows; rows that repeat a ``doc_id`` with different
+texts are sets of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_long, block_words, blocks, materialize, mix, text_bytes, window_hashes
-from .sketch import repeats
+from .common import U64, as_long, block_words, blocks, bucketed, materialize, mix, text_bytes, window_hashes
 
 N = 4
 PERCENT = 85
-#: Unconnected sets of a key: comparing more costs more than the keys of the segment's partner.
-FEW = 2000
+#: Comparisons that one key of a partner costs.
+BALANCE = 2
 #: N-grams and sets of a slot, and columns of the tables that two slots are compared in.
-SLOT, SLOT_SETS, COLUMNS = 800_000, 1500, 4096
+SLOT, SLOT_SETS, COLUMNS = 400_000, 1000, 4096
 
 
 def _sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
@@ -61,6 +60,16 @@ def _sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
     return found
 
 
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of the sets in a row, and how many are each set's."""
+    return np.concatenate([*sets, np.empty(0, U64)]), np.array([len(s) for s in sets], np.int64)
+
+
+def _identities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.r_[U64(0), np.cumsum(mix(flat, 11))][np.r_[0, np.cumsum(sizes)]]
+    return mix(np.diff(total) + sizes.astype(U64), 12)
+
+
 def band_edges(percent: int, most: int = 1 << 40) -> list[int]:
     """The smallest size of each band: sets that link lie in one band or in neighbours."""
     edges = [1]
@@ -69,132 +78,168 @@ def band_edges(percent: int, most: int = 1 << 40) -> list[int]:
     return edges
 
 
-def differences(percent: int, most: int) -> int:
+def differences(percent: int, most):
     """In how many n-grams linked sets of ``most`` n-grams at most can differ."""
     return 2 * most * (100 - percent) // (100 + percent)
 
 
-def _segments(tokens: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number for the n-grams in each segment, and the segment of each n-gram."""
-    seg = (mix(tokens, 400 + band) >> U64(32)) % U64(parts)
-    sums = np.zeros(parts, U64)
-    np.add.at(sums, seg.astype(np.int64), mix(tokens, 401))
-    return sums, seg.astype(np.int64)
+def partner_keys(percent: int) -> int:
+    """About how many keys a segment with its partner is: the partner, whole or less one of its n-grams."""
+    return 1 + (100 + percent) // (2 * (100 - percent))
+
+
+class Segments:
+    """The segments of many sets in one of their double bands: ``lower`` is 1 for that of the band below, else 0."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, edges: np.ndarray, percent: int, lower: int):
+        band = np.searchsorted(edges, sizes, side="right") - 1 - lower
+        self.sets = np.flatnonzero((band >= 0) & (sizes > 0))
+        keep = np.repeat((band >= 0) & (sizes > 0), sizes)
+        band, sizes, self.tokens = band[self.sets], sizes[self.sets], flat[keep]
+        self.parts = differences(percent, edges[band + 2] - 1) + 1
+        self.first = np.cumsum(self.parts) - self.parts
+        self.owner = np.repeat(np.arange(len(self.sets)), sizes)
+        spread = mix(self.tokens + band.astype(U64)[self.owner] * U64(0x9E3779B97F4A7C15), 400) >> U64(32)
+        self.segment = self.first[self.owner] + (spread % self.parts.astype(U64)[self.owner]).astype(np.int64)
+        self.marks = mix(self.tokens, 401)
+        total = int(self.parts.sum())
+        self.sums = np.zeros(total, U64)
+        np.add.at(self.sums, self.segment, self.marks)
+        self.of = np.repeat(np.arange(len(self.sets)), self.parts)
+        self.number = np.arange(total) - self.first[self.of]
+        place = self.number.astype(U64) * U64(0x9E3779B97F4A7C15) + (band.astype(U64) << U64(32))[self.of]
+        self.keys = mix(mix(self.sums, 402) + place, 403)
+        largest = np.minimum(sizes * 100 // percent, edges[band + 2] - 1)
+        need = self.parts - (100 - percent) * (sizes + largest) // (100 + percent)
+        empty = np.bincount(self.segment, minlength=total) == 0
+        without = need - np.bincount(self.of[empty], minlength=len(self.sets))
+        self.kept = ~empty | (without < 1)[self.of]
+        self.need = np.maximum(without, 1)
+
+
+def _base(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, size, set_id``."""
 
+    def mapper(batches):
+        for ids, bodies in blocks(batches, 0, 1):
+            flat, sizes = _flat(_sets(bodies, n))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(as_long(_identities(flat, sizes)))], names=["doc_id", "size", "set_id"])
 
-def _single(sums: np.ndarray, band: int) -> np.ndarray:
-    return mix(mix(sums, 402) + np.arange(len(sums), dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(band << 32), 403)
-
+    return docs.mapInArrow(mapper, "doc_id long, size long, set_id long")
 
-def _bands(size: int, edges: list[int], percent: int):
-    """The double bands of a size, with their number of segments."""
-    own = int(np.searchsorted(edges, size, side="right")) - 1
-    for band in {max(0, own - 1), own}:
-        yield band, differences(percent, edges[band + 2] - 1) + 1
 
+def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``key, set_id, about``: the segments of each set; ``about`` is twice the agreement that a link needs, and 1 for the lower double band."""
+    edges = np.array(band_edges(percent))
 
-def _long_lists(columns, names):
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    def mapper(batches):
+        sent: set[int] = set()
+        for _, bodies in blocks(batches, 0, 1):
+            flat, sizes = _flat(_sets(bodies, n))
+            ids = as_long(_identities(flat, sizes))
+            new = np.zeros(len(ids), bool)
+            for i, x in enumerate(ids.tolist()):  # one of a task's equal sets is enough
+                new[i] = x not in sent
+                sent.add(x)
+            flat, sizes, ids = flat[np.repeat(new, sizes)], sizes[new], ids[new]
+            for lower in (0, 1):
+                x = Segments(flat, sizes, edges, percent, lower)
+                about = (2 * x.need + lower)[x.of]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(x.keys[x.kept])), pa.array(ids[x.sets][x.of][x.kept]), pa.array(about[x.kept])], names=["key", "set_id", "about"])
 
+    return docs.mapInArrow(mapper, "key long, set_id long, about long")
 
-def _base(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, size, h1, h2, tokens``: what tells sets apart, and the n-grams of those that may link to another."""
-    source = text_bytes(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def hashes(batches):
-        for _, bodies in blocks(batches, 0, 1):
-            yield np.concatenate([*_sets(bodies, n), np.empty(0, U64)])
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The distinct rows of keys that two sets or more hold, from rows in the order of key and set."""
 
-    seen = docs.sparkSession.sparkContext.broadcast(repeats(source, hashes, chars / 5))
+    def mapper(batches):
+        last, told = None, False  # the row that the next batch goes on from, and whether it was passed on
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            if not len(rows):
+                continue
+            if last is not None:
+                rows = np.concatenate([last, rows])
+            rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]]
+            run = np.cumsum(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) - 1
+            hit = np.bincount(run)[run] > 1
+            if last is not None:
+                hit |= told & (run == 0)
+                again = bool(hit[-1])
+                hit[0] &= not told
+            else:
+                again = bool(hit[-1])
+            last, told = rows[-1:], again
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[hit, i]) for i in range(3)], names=["key", "set_id", "about"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(mapper, "key long, set_id long, about long")
+
+
+def _enough(shared: DataFrame) -> DataFrame:
+    """Rows of the sets that share as many keys of a double band as a link there needs."""
+    lower = F.col("about") % 2
+    able = shared.groupBy("set_id", lower.alias("lower")).agg(F.count("*").alias("have"), F.max(F.floor(F.col("about") / 2)).alias("want")).where("have >= want").select("set_id", "lower")
+    return shared.withColumn("lower", lower).join(able, ["set_id", "lower"], "left_semi").select("key", "set_id", "lower")
+
+
+def _whole(docs: DataFrame, base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``set_id, size, tokens`` of the sets in ``wanted``, bucketed by set: joins on it move the other side alone."""
+    one = base.join(wanted.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("__of"))
+    texts = docs.join(one, docs["doc_id"] == one["__of"]).select("set_id", "body")
 
     def mapper(batches):
-        maybe, sent = seen.value, set()
         for ids, bodies in blocks(batches, 0, 1):
             sets = _sets(bodies, n)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            edges = np.r_[0, np.cumsum(sizes)]
-            flat = np.concatenate([*sets, np.empty(0, U64)])
-            total = lambda x: np.r_[x.dtype.type(0), np.cumsum(x)][edges]
-            h1, h2, twice = (np.diff(total(x)) for x in (mix(flat, 11), mix(flat, 12), maybe(flat).astype(np.int64)))
-            may = (100 * twice >= percent * sizes) & (sizes > 0)
-            tokens = []
-            for i, s in enumerate(sets):
-                key = (int(h1[i]), int(h2[i]))
-                first = may[i] and key not in sent  # one of a task's equal sets brings its n-grams
-                if first:
-                    sent.add(key)
-                tokens.append(as_long(s) if first else None)
-            yield _long_lists([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(as_long(h1)), pa.array(as_long(h2)), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "size", "h1", "h2", "tokens"])
-
-    return source.mapInArrow(mapper, "doc_id long, size long, h1 long, h2 long, tokens array<long>")
-
-
-def _keys(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, set_id, band, need``: the segments of each set, in both of its double bands.
-
-    A set that links to this one in a double band agrees with it in ``need``
-    segments at least: the others can hold the differences that their sizes allow.
-    """
-    edges = band_edges(percent)
+            flat, sizes = _flat(sets)
+            same = as_long(_identities(flat, sizes)) == np.array(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[same]), pa.array(sizes[same]), pa.array([as_long(s) for s, x in zip(sets, same, strict=True) if x], pa.list_(pa.int64()))], names=["set_id", "size", "tokens"])
 
-    def mapper(batches):
+    def first(batches):
+        last = None
         for batch in batches:
-            ids, lists = batch.column(0).to_pylist(), batch.column(1)
-            keys, about = [], []
-            for i, set_id in enumerate(ids):
-                tokens = lists[i].values.to_numpy().view(U64)
-                size = len(tokens)
-                for band, parts in _bands(size, edges, percent):
-                    largest = min(size * 100 // percent, edges[band + 2] - 1)
-                    need = parts - (100 - percent) * (size + largest) // (100 + percent)
-                    keys.append(_single(_segments(tokens, band, parts)[0], band))
-                    about.append((set_id, band, need, parts))
-                if len(keys) >= 500 or i == len(ids) - 1:
-                    many = [a[3] for a in about]
-                    each = (pa.array(np.repeat(np.array([a[k] for a in about], kind), many)) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32)))
-                    yield _long_lists([pa.array(as_long(np.concatenate(keys))), *each], ["key", "set_id", "band", "need"])
-                    keys, about = [], []
-
-    return sets.select("set_id", "tokens").mapInArrow(mapper, "key long, set_id long, band int, need int")
-
-
-def _partner_keys(costly: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For ``costly`` (key, set_id): keys of the segment with its partner, or with its partner less one n-gram."""
-    edges = band_edges(percent)
-    per_set = costly.groupBy("set_id").agg(F.collect_set("key").alias("keys"))  # a set has as many keys as segments
+            ids = batch.column(0).to_numpy()
+            new = np.r_[len(ids) > 0 and ids[0] != last, ids[1:] != ids[:-1]][: len(ids)]
+            last = ids[-1] if len(ids) else last
+            yield batch.filter(pa.array(new))
+
+    kind = "set_id long, size long, tokens array<long>"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(mapper, kind).repartition(parts, "set_id").sortWithinPartitions("set_id").mapInArrow(first, kind)
+    return bucketed(dealt, "set_id", parts)
+
+
+def _partners(costly: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For ``costly`` (key, set_id, lower): keys of the segment with its partner, or with its partner less one n-gram."""
+    edges = np.array(band_edges(percent))
+    per_set = costly.groupBy("set_id").agg(F.collect_list(F.struct("key", "lower")).alias("keys"))  # as many as a set has segments
 
     def mapper(batches):
         for batch in batches:
             for set_id, wanted, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens = listed.values.to_numpy().view(U64)
-                out = []
-                wanted = np.array(wanted, np.int64).view(U64)
-                for band, parts in _bands(len(tokens), edges, percent):
-                    sums, seg = _segments(tokens, band, parts)
-                    single, marks = _single(sums, band), mix(tokens, 401)
-                    for i in np.flatnonzero(np.isin(single, wanted)):
+                out = [np.empty(0, U64)]
+                for lower in {w["lower"] for w in wanted}:
+                    own = np.array([w["key"] for w in wanted if w["lower"] == lower], np.int64).view(U64)
+                    x = Segments(tokens, np.array([len(tokens)]), edges, percent, lower)
+                    for i in np.flatnonzero(np.isin(x.keys, own)):
                         j = i ^ 1
-                        if j >= parts:  # the last of an odd number stands alone: it tolerates no difference
-                            variants = np.array([single[i]])
-                        else:
-                            variants = np.r_[sums[j], sums[j] - marks[seg == j]]
-                        out.append(mix(mix(variants, 404) + single[i], 405))
-                if out:
-                    keys = np.unique(np.concatenate(out))
-                    yield _long_lists([pa.array(as_long(keys)), pa.array(np.full(len(keys), set_id, np.int64))], ["key", "set_id"])
+                        # the last of an odd number stands alone: it tolerates no difference
+                        variants = np.r_[x.sums[j], x.sums[j] - x.marks[x.segment == j]] if j < len(x.keys) else x.keys[i : i + 1]
+                        out.append(mix(mix(variants, 404) + x.keys[i], 405))
+                keys = np.unique(np.concatenate(out))
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(np.full(len(keys), set_id, np.int64)), pa.array(np.zeros(len(keys), np.int64))], names=["key", "set_id", "about"])
 
-    return per_set.join(sets.select("set_id", "tokens"), "set_id").select("set_id", "keys", "tokens").mapInArrow(mapper, "key long, set_id long")
+    return per_set.join(sets.select("set_id", "tokens"), "set_id").select("set_id", "keys", "tokens").mapInArrow(mapper, "key long, set_id long, about long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets link."""
-    a = sets.select(F.col("set_id").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("set_id").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb"))
-    sized = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("size").alias("na")), "a").join(b.select("b", "nb"), "b")
-    fits = sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b")
-    shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return fits.join(a, "a").join(b, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+def _allocated(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``key, set_id``: keys of segments, or of segments and partners where the former cost more."""
+    held = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    dear = F.col("n") > BALANCE * partner_keys(percent)
+    finer = _shared(_partners(held.where(dear).select("key", "set_id", "lower"), sets, percent))
+    return materialize(held.where(~dear).select("key", "set_id").union(finer.select("key", "set_id")), "allocated")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,130 +268,112 @@ def components(edges: DataFrame) -> DataFrame:
             return names.withColumnRenamed("name", "component")
 
 
-def _labelled(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``keyed`` with the component of each set, itself where it has no link."""
-    if labels is None:
-        return keyed.withColumn("component", F.col("set_id"))
-    joined = keyed.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
-    return joined.withColumn("component", F.coalesce("component", "set_id"))
-
-
-def _apart(rows: DataFrame) -> DataFrame:
-    """Labelled rows of the keys whose sets aren't all connected yet, with the key's smallest set and its number of sets."""
-    each = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("set_id").alias("least"), F.count("*").alias("n")).where("low < high").drop("low", "high")
-    return rows.join(each, "key")
-
-
-def _enough(apart: DataFrame) -> DataFrame:
-    """Rows of the sets that share as many keys of a double band with unconnected sets as a link there needs."""
-    able = apart.groupBy("set_id", "band").agg(F.count("*").alias("have"), F.max("need").alias("want")).where("have >= want").select("set_id", "band")
-    return apart.drop("least", "n").join(able, ["set_id", "band"], "left_semi")
-
+def _homes(rows: DataFrame) -> DataFrame:
+    """``set_id, home``: the hub (the smallest set of a key) with which a set shares most keys."""
+    hubs = rows.groupBy("key").agg(F.min("set_id").alias("home"))
+    each = rows.join(hubs, "key").groupBy("set_id", "home").agg(F.count("*").alias("n"))
+    return materialize(each.groupBy("set_id").agg(F.min_by("home", F.struct(-F.col("n"), F.col("home"))).alias("home")), "homes")
 
-def _star(apart: DataFrame) -> DataFrame:
-    """Each set with the smallest set of each of its keys: ``a, b``."""
-    return apart.where("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct()
 
+def _links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what groups of ``members`` (grp, set_id, component) hold, from whole sets compared in blocks.
 
-def _met(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between each key's smallest set and its others, and those others."""
-    apart = materialize(_apart(rows), "apart")
-    links = materialize(_linked(_star(apart), sets, percent), "links")
-    return links, apart.where("set_id <> least").drop("least", "n", "component")
-
-
-def _cluster_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what keys of ``left`` (key, set_id, component, least) share, from whole sets compared in blocks.
-
-    Sets that keys hold together are one cluster, of any size; a cluster is cut
-    into slots of about ``SLOT`` n-grams, and each two slots meet in one task,
-    which keeps only as many links as connect the slots' components.
+    A group is cut into slots of about ``SLOT`` n-grams, and each two slots
+    meet in one task, which keeps only as many links as connect components.
     """
-    ties = components(left.where("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct())
-    members = left.select("set_id", "component").distinct().join(ties.select(F.col("id").alias("set_id"), F.col("component").alias("cluster")), "set_id")
-    members = materialize(members.join(sets, "set_id"), "members")
-    slots = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("size") / SLOT), F.ceil(F.count("*") / SLOT_SETS)).cast("int").alias("slots"))
-    placed = members.join(slots, "cluster").withColumn("slot", F.pmod(F.xxhash64("set_id"), F.col("slots")).cast("int"))
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    pairs = each.select("cluster", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "slot", "set_id", "component", "size", "tokens")
+    sized = members.join(sets.select("set_id", "size"), "set_id")
+    slots = sized.groupBy("grp").agg(F.greatest(F.ceil(F.sum("size") / SLOT), F.ceil(F.count("*") / SLOT_SETS)).cast("int").alias("slots"))
+    placed = members.join(slots, "grp").withColumn("slot", F.pmod(F.xxhash64("set_id"), F.col("slots")).cast("int"))
+    whole = placed.join(sets, "set_id")
+    each = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    pairs = each.select("grp", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "slot", "set_id", "component", "size", "tokens")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, comps, sizes = (table.column(c).to_numpy() for c in ("set_id", "component", "size"))
         first = table.column("slot").to_numpy() == table.column("low")[0].as_py()
-        tokens = np.concatenate([c.flatten().to_numpy() for c in table.column("tokens").chunks])
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        x, y = (np.flatnonzero(first), np.flatnonzero(first)) if first.all() else (np.flatnonzero(first), np.flatnonzero(~first))
-        inside = np.isin(owner, x)
-        _, code, often = np.unique(tokens, return_inverse=True, return_counts=True)
-        code = (np.cumsum(often > 1) - 1)[code] + (often[code] == 1) * len(often)  # n-grams of one set are in no intersection
-        width = int((often > 1).sum())
-        row = np.zeros(len(ids), np.int64)
-        row[x], row[y] = np.arange(len(x)), np.arange(len(y))
-        shared = np.zeros((len(x), len(y)), np.float32)
-        for begin in range(0, width, COLUMNS):
-            here = (code >= begin) & (code < begin + COLUMNS)
-            left, right = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32)
-            u, v = here & inside, here & (inside if x is y or first.all() else ~inside)
-            left[row[owner[u]], code[u] - begin] = 1
-            right[row[owner[v]], code[v] - begin] = 1
-            shared += left @ right.T
-        shared = shared.astype(np.int64)
-        linked = (100 * shared >= percent * (sizes[x][:, None] + sizes[y][None] - shared)) & (comps[x][:, None] != comps[y][None])
-        root: dict[int, int] = {}
-
-        def find(c):
-            while root.setdefault(c, c) != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        kept = []
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            a, b = find(int(comps[x[i]])), find(int(comps[y[j]]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                kept.append((int(ids[x[i]]), int(ids[y[j]])))
+        kept: list[tuple[int, int]] = []
+        if len(set(comps.tolist())) > 1:
+            tokens = np.concatenate([c.flatten().to_numpy() for c in table.column("tokens").chunks])
+            kept = _connecting(ids, comps, sizes, tokens, first, percent)
         return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
 
-    return materialize(pairs.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"), "links")
-
-
-def _connect(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Labels of the sets that links connect, by way of the keys of ``keyed``."""
-    edges, rest = _met(_labelled(keyed, None), sets, percent)
-    labels = components(edges)
-    left = materialize(_apart(_enough(_apart(_labelled(rest, labels)))), "left")
-    costly = left.where(F.col("n") > FEW)
-    if costly.head(1):
-        partners = materialize(_partner_keys(costly.select("key", "set_id"), sets, percent), "partners")
-        more, rest = _met(_labelled(partners, labels), sets, percent)
-        edges = edges.union(more)
-        labels = components(edges)
-        few = left.where(F.col("n") <= FEW).select("key", "set_id")
-        left = materialize(_apart(_labelled(few.union(rest.select("key", "set_id")), labels)), "left")
-    if not left.head(1):
-        return labels
-    return components(edges.union(_cluster_links(left, sets, percent)))
+    return materialize(pairs.groupBy("grp", "low", "high").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _connecting(ids, comps, sizes, tokens, first, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of ``first`` and the others (among themselves if there are no others) that connect components."""
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    x, y = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.flatnonzero(first),) * 2
+    _, code, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    width = int((often > 1).sum())
+    code = np.where(often[code] > 1, (np.cumsum(often > 1) - 1)[code], width)  # n-grams of one set are in no intersection
+    row = np.zeros(len(ids), np.int64)
+    row[y] = np.arange(len(y))
+    row[x] = np.arange(len(x))
+    in_x = first[owner]
+    in_y = in_x if first.all() else ~in_x
+    by = np.argsort(code, kind="stable")
+    code, owner, in_x, in_y = code[by], owner[by], in_x[by], in_y[by]
+    edges = np.searchsorted(code, np.arange(0, width + COLUMNS, COLUMNS).clip(max=width))
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for at, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        columns = min(COLUMNS, width - at * COLUMNS)
+        if columns <= 0:
+            break
+        left, right = np.zeros((len(x), columns), np.float32), np.zeros((len(y), columns), np.float32)
+        c, o = code[a:b] - at * COLUMNS, owner[a:b]
+        left[row[o[in_x[a:b]]], c[in_x[a:b]]] = 1
+        right[row[o[in_y[a:b]]], c[in_y[a:b]]] = 1
+        shared += left @ right.T
+    shared = shared.astype(np.int64)
+    linked = (100 * shared >= percent * (sizes[x][:, None] + sizes[y][None] - shared)) & (comps[x][:, None] != comps[y][None])
+    root: dict[int, int] = {}
+
+    def find(c):
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    kept = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = find(int(comps[x[i]])), find(int(comps[y[j]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append((int(ids[x[i]]), int(ids[y[j]])))
+    return kept
+
+
+def _connect(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``id, component`` of the sets that links connect, by way of the keys of ``rows``."""
+    keyed = _allocated(rows, sets, percent)
+    homes = _homes(keyed)
+    hubs = homes.where("home <> set_id").select(F.col("home").alias("set_id"), "home").distinct()
+    families = homes.union(hubs).distinct().select(F.col("home").alias("grp"), "set_id", F.col("set_id").alias("component"))
+    links = _links_within(families, sets, percent)
+    labels = components(links)
+    known = homes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = keyed.join(known, "set_id")
+    apart = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("c0 < c1 and h0 < h1")
+    left = materialize(named.join(apart.select("key"), "key", "left_semi").select(F.col("key").alias("grp"), "set_id", "component"), "left")
+    return components(links.union(_links_within(left, sets, percent)))
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document: the size of its set and the smallest ``doc_id`` that links reach."""
-    base = materialize(_base(docs, n, percent), "sets")
-    same = ["h1", "h2", "size"]
-    able = base.where(F.col("tokens").isNotNull())
-    classes = base.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id"))).alias("set_id"))
-    chosen = able.select("doc_id", *same, "tokens").join(classes.select("set_id", *same), (F.col("doc_id") == F.col("set_id")), "left_semi").dropDuplicates(["doc_id"])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = chosen.select(F.col("doc_id").alias("set_id"), "size", "tokens").repartition(parts, "set_id").persist(StorageLevel.DISK_ONLY)  # dealt once for all joins
-    try:
-        keyed = materialize(_keys(sets, percent), "keys")
-        labels = _connect(keyed, sets, percent)
-    finally:
-        sets.unpersist()
-    # a set's id is one of its class's documents; a component's is the smallest of all its classes' documents
-    of_class = classes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id", "least"))
+    source = text_bytes(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    base = materialize(_base(source, n), "sets")
+    shared = materialize(_shared(_keys(source, n, percent)), "shared")
+    rows = materialize(_enough(shared), "rows")
+    sets = _whole(source, base, rows, n)
+    labels = _connect(rows, sets, percent)
+    # a component's name is the smallest document of all its sets
+    classes = base.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    of_class = classes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     of_component = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_class.join(of_component, "component").select(*same, "component_id")
-    return base.select("doc_id", *same).join(named, same, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = of_class.join(of_component, "component").select("set_id", "component_id")
+    alone = F.when(F.col("size") > 0, F.col("set_id"))  # empty sets are linked with nothing
+    joined = base.withColumn("__set", alone).join(named.withColumnRenamed("set_id", "__set"), "__set", "left")
+    return joined.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -71,7 +71,7 @@ def test_ngram_join(near_table, near_copies):
 
 
 def test_ngram_join_with_costly_keys_and_small_slots(near_table, near_copies, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FEW", 1)
+    monkeypatch.setattr(ngram_join, "BALANCE", 0)
     monkeypatch.setattr(ngram_join, "SLOT", 500)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(near_table.repartition(3)).collect()}
     assert got == brute_components(near_copies)
