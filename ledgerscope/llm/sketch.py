@@ -1,126 +1,85 @@
-"""Count-min sketches of 64-bit hashes, merged over partitions.
-
-Only "at most once" and "twice or more" matter to the callers, so a counter
-saturates at two.  A sketch never underestimates: hashes that occur in two
-documents always look repeated.  It has ``ROOM`` cells for each expected hash,
-so that the same share of single hashes looks repeated at every size, up to
-``MOST`` cells; past that it fills up and lets more hashes through, which costs
-time and loses nothing.
-
-Each task sends, per shard of the cell space, its sorted cells as gaps (about a
-byte a hash); shards are merged in streams, in memory that the shard's size
-bounds; the merged bit planes go to the driver (two planes of ``MOST`` bits at
-most) and are broadcast.
+"""Count-min sketches of 64-bit hashes, merged over partitions and kept in shards.
+
+The hashes are dealt into ranges, the shards, of about ``SHARD`` expected
+hashes each, so that a shard's sketch has the same load at every size and none
+ever leaves its task.  A partition's part of a shard's sketch is the list of
+its distinct hashes there, cut to the 24 bits from which the cells of both rows
+follow; a shard adds up the parts of all partitions and answers each of them
+with one bit a hash: estimated in two partitions or more.  A sketch never
+underestimates, and of single hashes about three in a hundred look repeated.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import U64, mix
 
-DEPTH = 2
-ROOM, LEAST, MOST = 1.3, 1 << 14, 1 << 28
-SHARD = 1 << 20
-#: Hashes that a task gathers before it sends their cells.
-FLUSH = 4_000_000
-
-
-def cells_of(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    """Cells below ``width``, by the leading bits of a mixed hash."""
-    return ((mix(h, 101 + row) >> U64(32)) * U64(width) >> U64(32)).astype(np.uint32)
-
-
-def _packed(gaps: np.ndarray) -> bytes:
-    small = np.minimum(gaps, 255).astype(np.uint8)
-    return len(small).to_bytes(4, "little") + small.tobytes() + gaps[gaps >= 255].astype("<u4").tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    gaps = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
-    gaps[gaps == 255] = np.frombuffer(data, "<u4", -1, 4 + n)
-    return np.cumsum(gaps)
-
-
-class Repeats:
-    """Which hashes the merged sketch holds as occurring twice or more."""
-
-    def __init__(self, width: int, planes: list[np.ndarray]):
-        self.width, self.planes = width, planes
-
-    def __reduce__(self):
-        """Planes are mostly zeros: they travel, and stay on executors' disks, compressed."""
-        return _unfold, (self.width, [zlib.compress(p.tobytes(), 1) for p in self.planes])
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(h), bool)
-        for row, plane in enumerate(self.planes):
-            cell = cells_of(h, row, self.width)
-            hit &= (plane[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-        return hit
-
-
-def _unfold(width: int, planes: list[bytes]) -> Repeats:
-    return Repeats(width, [np.frombuffer(zlib.decompress(p), np.uint8) for p in planes])
-
-
-def repeats(source: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]], items: float) -> Repeats:
-    """Sketch of what ``hashes`` yields from the Arrow batches of ``source``; a hash occurs once in a document."""
-    width = int(min(MOST, max(LEAST, ROOM * items)))
-    shards = -(-width // SHARD)
-    schema = pa.schema([("shard", pa.int32()), ("cells", pa.binary())])
-
-    def sent(pending: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(pending)
-        pending.clear()
-        for row in range(DEPTH):
-            cell = np.sort(cells_of(h, row, width))
-            edges = np.r_[np.searchsorted(cell, np.arange(shards, dtype=np.int64) * SHARD), len(cell)]
-            numbers, packed = [], []
-            for s in np.flatnonzero(np.diff(edges)):
-                part = cell[edges[s] : edges[s + 1]].astype(np.int64) - int(s) * SHARD
-                numbers.append(row * shards + int(s))
-                packed.append(_packed(np.diff(part, prepend=0)))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
-
-    def mapper(batches):
-        pending, n = [], 0
-        for h in hashes(batches):
-            pending.append(h)
-            n += len(h)
-            if n >= FLUSH:
-                yield from sent(pending)
-                pending, n = [], 0
-        if n:
-            yield from sent(pending)
-
-    def merger(batches):
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard not in once:
-                    once[shard], twice[shard] = np.zeros(SHARD, bool), np.zeros(SHARD, bool)
-                cell = _unpacked(data)
-                new = np.diff(cell, prepend=-1) > 0
-                twice[shard][cell[~new]] = True
-                first = cell[new]
-                twice[shard][first] |= once[shard][first]
-                once[shard][first] = True
-        for shard, plane in twice.items():
-            packed = np.packbits(plane, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed], pa.binary())], schema=schema)
-
-    planes = [np.zeros(shards * SHARD // 8, np.uint8) for _ in range(DEPTH)]
-    merged = source.mapInArrow(mapper, "shard int, cells binary").repartition("shard").mapInArrow(merger, "shard int, cells binary")
-    for r in merged.collect():  # as many bytes as DEPTH planes of ``width`` bits
-        row, s = divmod(r["shard"], shards)
-        plane = np.frombuffer(r["cells"], np.uint8)
-        planes[row][s * len(plane) : (s + 1) * len(plane)] = plane
-    return Repeats(width, planes)
+DEPTH, WIDTH = 2, 1 << 21
+SHARD = 1 << 18
+#: Columns of an answer to a partition, and of a partition's part.
+ANSWER = "grp int, shard int, bits binary"
+PART = "shard int, grp int, prints binary"
+
+
+def shards_of(items: float) -> int:
+    return max(1, int(-(-items // SHARD)))
+
+
+def _edges(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins among sorted hashes, and where the last one ends."""
+    shard = ((hashes >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+    return np.searchsorted(shard, np.arange(shards + 1))
+
+
+def part(grp: int, hashes: np.ndarray, shards: int) -> pa.Table:
+    """A partition's part, from its distinct hashes in order."""
+    edges = _edges(hashes, shards)
+    prints = np.ascontiguousarray((hashes & U64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    some = np.flatnonzero(np.diff(edges))
+    cut = [prints[edges[s] : edges[s + 1]].tobytes() for s in some]
+    return pa.table([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), grp, np.int32)), pa.array(cut, pa.binary())], names=["shard", "grp", "prints"])
+
+
+def _cells(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    prints = wide.view("<u4").ravel().astype(U64)
+    return np.stack([(mix(prints, 101 + row) % U64(width)).astype(np.int64) for row in range(DEPTH)])
+
+
+def answered(parts: list[bytes], width: int) -> list[bytes]:
+    """A shard's answers to the parts of all partitions."""
+    counts = np.zeros((DEPTH, width), np.int32)
+    for data in parts:
+        for row, cells in enumerate(_cells(data, width)):
+            np.add.at(counts[row], cells, 1)
+    bits = []
+    for data in parts:
+        cells = _cells(data, width)
+        bits.append(np.packbits(np.min([counts[row][cells[row]] for row in range(DEPTH)], axis=0) > 1).tobytes())
+    return bits
+
+
+def answers(parts: DataFrame) -> DataFrame:
+    """``grp, shard, bits`` for the parts (``PART``) of all partitions."""
+    width = WIDTH
+
+    def of(table: pa.Table) -> pa.Table:
+        bits = answered(table.column("prints").to_pylist(), width)
+        return pa.table([table.column("grp"), table.column("shard"), pa.array(bits, pa.binary())], names=["grp", "shard", "bits"])
+
+    return parts.groupBy("shard").applyInArrow(of, ANSWER)
+
+
+def repeated(answer: pa.Table, hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Which of a partition's distinct hashes, in order, the sketch holds as occurring in two partitions or more."""
+    many = np.diff(_edges(hashes, shards))
+    out = np.zeros(len(hashes), bool)
+    begin = np.cumsum(many) - many
+    for shard, bits in zip(answer.column("shard").to_pylist(), answer.column("bits").to_pylist(), strict=True):
+        n = int(many[shard])
+        out[begin[shard] : begin[shard] + n] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+    return out

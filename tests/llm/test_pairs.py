@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import contamination, licenses, ngram_join, sketch, substring_dedup
@@ -52,19 +54,54 @@ def test_substring_dedup(near_table, near_copies):
     assert got == brute_cut(near_copies)
 
 
-def test_substring_dedup_settles_in_and_across_tasks(near_table, near_copies, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HELD", 50)
+def test_substring_dedup_settles_in_and_across_groups(near_table, near_copies, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 3000)
+    monkeypatch.setattr(substring_dedup, "BUCKET", 9000)
+    monkeypatch.setattr(sketch, "SHARD", 100)
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(near_table.repartition(5)).collect()}
     assert got == {i: x[1] for i, x in brute_cut(near_copies).items()}
 
 
 def test_a_full_sketch_loses_nothing(near_table, near_copies, monkeypatch):
-    monkeypatch.setattr(sketch, "MOST", 64)
-    monkeypatch.setattr(sketch, "LEAST", 64)
+    monkeypatch.setattr(sketch, "WIDTH", 4)
+    monkeypatch.setattr(substring_dedup, "GROUP", 3000)
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(near_table).collect()}
     assert got == {i: x[1] for i, x in brute_cut(near_copies).items()}
 
 
+def test_the_sketch_lets_as_many_single_hashes_through_at_every_size():
+    rates = []
+    for times in (1, 4, 16):
+        n, width, shard = 20_000 * times, 1 << 15, 1 << 12
+        rng = np.random.default_rng(times)
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        twice = hashes[:1000]
+        own = [np.unique(np.r_[hashes[: n // 2], twice]), np.unique(np.r_[hashes[n // 2 :], twice])]
+        shards = max(1, -(-n // shard))
+        tables = [sketch.part(g, h, shards).to_pylist() for g, h in enumerate(own)]
+        bits = {}
+        for s in range(shards):
+            here = [(g, r["prints"]) for g, rows in enumerate(tables) for r in rows if r["shard"] == s]
+            for (g, _), x in zip(here, sketch.answered([p for _, p in here], width), strict=True):
+                bits.setdefault(g, []).append((s, x))
+        hit = 0
+        for g, h in enumerate(own):
+            answer = pa.table({"shard": [s for s, _ in bits[g]], "bits": [x for _, x in bits[g]]})
+            seen = sketch.repeated(answer, h, shards)
+            assert seen[np.isin(h, twice)].all()
+            hit += seen[~np.isin(h, twice)].sum()
+        rates.append(hit / n)
+    assert max(rates) < 0.06 and max(rates) < 1.5 * min(rates)
+
+
+def test_rows_that_repeat_a_document_lose_their_own_words_alone(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 40)
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (2, f"{two} {one}"), (2, "short text"), (2, two), (3, f"x {two}"), (None, one)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [(0, 40, 0), (1, 40, 0), (2, 2, 0), (2, 60, 0), (2, 100, 40), (3, 61, 60)]
+
+
 def test_ngram_join(near_table, near_copies):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(near_table).collect()}
     assert got == brute_components(near_copies)
