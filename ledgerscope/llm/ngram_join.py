@@ -20,8 +20,8 @@ pairs that are connected already need no test.
     cost, it is allocated its partner too: the key becomes the segment and the
     partner, or the partner less any one of its n-grams.  The allocation
     depends on the key alone, so both sides of a link allocate alike.
-3.  The smallest set of a key is its hub, and a set's home is the hub with
-    which it shares most keys.  Sets of one home are compared in blocks; then
+3.  The hub of a key is that of its sets which meets most sets over all keys,
+    and a set's home is the hub of most of its keys.  Sets of one home are compared in blocks; then
     those of keys that hold sets of several homes which aren't connected yet.
     Every comparison is of whole sets, in pieces of bounded size.
 
@@ -269,10 +269,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _homes(rows: DataFrame) -> DataFrame:
-    """``set_id, home``: the hub (the smallest set of a key) with which a set shares most keys."""
-    hubs = rows.groupBy("key").agg(F.min("set_id").alias("home"))
-    each = rows.join(hubs, "key").groupBy("set_id", "home").agg(F.count("*").alias("n"))
-    return materialize(each.groupBy("set_id").agg(F.min_by("home", F.struct(-F.col("n"), F.col("home"))).alias("home")), "homes")
+    """``set_id, home``: the hub of a key is the set that meets most sets over all keys; a set's home is the hub of most of its keys."""
+    held = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    met = held.groupBy("set_id").agg(F.sum("n").alias("met"))
+    ranked = rows.join(met, "set_id").select("key", F.col("set_id").alias("id"), F.struct("met", "set_id").alias("rank"))
+    hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
+    each = ranked.join(hubs, "key").groupBy("id", "hub").agg(F.count("*").alias("n"))
+    best = each.groupBy(F.col("id").alias("set_id")).agg(F.max(F.struct("n", "hub")).alias("best"))
+    return materialize(best.select("set_id", F.col("best.hub.set_id").alias("home")), "homes")
 
 
 def _links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,9 +357,12 @@ def _connect(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labels = components(links)
     known = homes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = keyed.join(known, "set_id")
-    apart = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("c0 < c1 and h0 < h1")
+    sums = [F.sum(F.xxhash64("set_id", F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"s{salt}") for salt in (1, 2)]
+    each = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("home").alias("h0"), F.max("home").alias("h1"), F.count("*").alias("n"), *sums)
+    apart = each.where("c0 < c1 and h0 < h1").groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))  # keys of the same sets are one
     left = materialize(named.join(apart.select("key"), "key", "left_semi").select(F.col("key").alias("grp"), "set_id", "component"), "left")
-    return components(links.union(_links_within(left, sets, percent)))
+    more = _links_within(left, sets, percent)
+    return components(links.union(more)) if more.head(1) else labels
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
