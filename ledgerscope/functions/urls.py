@@ -23,6 +23,25 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def joined(base: Column, link: Column) -> Column:
+    """``link`` as an absolute URL, seen from a page at ``base``; dots in its path are followed."""
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(base), r"^(.*/)[^/]*$", 1)
+    whole = F.when(link == "", base).when(link.startswith("?"), F.concat(origin, path_of(base), link)).when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+    path = F.regexp_extract(link, "^([^?#]*)", 1)
+    rest = F.substr(link, F.length(path) + 1)
+    steps = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path)), "/")
+    last = F.element_at(steps, -1)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+    follow = lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    done = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array(F.lit("")), follow)
+    plain = F.concat(F.array_join(done, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    within = F.concat(origin, F.when(F.contains(path, F.lit(".")), plain).otherwise(F.array_join(steps, "/")), rest)
+    absolute = link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    return F.when(absolute, link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).otherwise(F.coalesce(whole, within))
+
+
 def under_domain(domain: Column, domains) -> Column:
     """Whether a domain is one of ``domains`` or below one."""
     found = domain.isin(*domains)

@@ -12,11 +12,11 @@ from ledgerscope.functions.text import contains_any, excerpt_hash, squeeze
 KEY_WORDS = 4
 
 
-def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, position, excerpt`` of every line long enough to be an excerpt, cut to the longest."""
-    lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("position", "line"))
+def paragraphs(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., position, excerpt`` of every line long enough to be an excerpt, cut to the longest."""
+    lines = docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("position", "line"))
     clean = squeeze(F.regexp_replace("line", r"[\x00-\x08\x0e-\x1f]", ""))
-    return lines.select(key, "position", F.substring(clean, 1, V.EXCERPT_MOST).alias("excerpt")).where(F.length("excerpt") >= V.EXCERPT_LEAST)
+    return lines.select(*keys, "position", F.substring(clean, 1, V.EXCERPT_MOST).alias("excerpt")).where(F.length("excerpt") >= V.EXCERPT_LEAST)
 
 
 def first_of_each(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def first_of_each(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def keyword_evidence(docs: DataFrame, words, most: int = 5, key: str = "doc_id") -> DataFrame:
     """The first ``most`` different paragraphs of each document that have one of ``words``."""
-    found = paragraphs(docs, key).where(contains_any(F.lower("excerpt"), [w.lower() for w in words if w.strip()]))
+    found = paragraphs(docs, [key]).where(contains_any(F.lower("excerpt"), [w.lower() for w in words if w.strip()]))
     once = first_of_each(found, [key, "excerpt"], ["position"])
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("position"))).where(F.col("rank") <= most)
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import urljoin, urlsplit
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
-from ledgerscope.functions.text import squeeze
-from ledgerscope.functions.urls import netloc, path_of
+from ledgerscope.functions.text import contains_any, squeeze
+from ledgerscope.functions.urls import joined, netloc, path_of
 
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -35,10 +31,9 @@ def page_title(html: Column) -> Column:
 
 def article_links(html: Column, url: Column) -> Column:
     """Number of different article-shaped paths that a page links to on its own host."""
-    own = F.regexp_replace(netloc(url), r"^www\.", "")
+    bare = lambda u: F.regexp_replace(netloc(u), r"^www\.", "")
     links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("(?i)href=[\"']([^\"']+)[\"']"), 1)
-    absolute = lambda h: F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.lit("http:"), h)).otherwise(F.concat(F.lit("http://"), own, F.lit("/"), F.ltrim(h, F.lit("/"))))
-    here = F.filter(F.transform(links, absolute), lambda h: F.regexp_replace(netloc(h), r"^www\.", "").isin("") | (F.regexp_replace(netloc(h), r"^www\.", "") == own))
+    here = F.filter(F.transform(links, lambda h: joined(url, F.trim(h))), lambda h: bare(h).isin("") | (bare(h) == bare(url)))
     paths = F.transform(here, lambda h: F.lower(path_of(h)))
 
     def article(path):
@@ -54,73 +49,84 @@ def is_media(html: Column, url: Column) -> Column:
     return article_links(html, url) >= V.ARTICLE_LINKS
 
 
-_ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>(.*?)</a\s*>", re.I | re.S)
-_TAGS = re.compile(r"<[^>]*>")
-
-
-def links_of(html: str | None, base: str, kind: str, same_host: bool = False) -> list[str]:
-    """Absolute links of a page that lead to vacancies (``career``) or to technical and commercial pages (``signal``)."""
-    found, seen = [], set()
-    own = urlsplit(base).netloc.lower().removeprefix("www.")
-    for a, b, label in _ANCHOR.findall(html or ""):
-        href = (a or b).strip()
-        if not href or href.lower().startswith(("#", "mailto:", "tel:", "javascript:")):
-            continue
-        try:
-            full = urljoin(base, href)
-            parts = urlsplit(full.lower())
-        except ValueError:
-            continue
-        host = parts.netloc.removeprefix("www.")
-        if kind == "career":
-            text = f"{full.casefold()} {' '.join(_TAGS.sub(' ', label).split()).casefold()}"
-            wanted = any(h in text for h in V.CAREER_HINTS)
-        else:
-            wanted = parts.scheme in ("http", "https") and (not same_host or host == own) and (host.startswith("blog.") or any(h in parts.path for h in V.SIGNAL_PATHS))
-        if wanted and full.rstrip("/") not in seen:
-            seen.add(full.rstrip("/"))
-            found.append(full)
-    return found
-
-
-def jobs_of(html: str | None) -> list[str]:
+#: An element from its start tag on, with what stands up to the next end tag of its name; elements inside it are found too.
+_ELEMENT = r"(?is)<({names})\b([^>]*)>(?=(.*?)</\1\s*>)"
+_ANCHOR = r"(?is)<a\b(?=[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'))[^>]*>(?=(.*?)</a\s*>)"
+_MARK = "\x01"
+
+
+def _plain(html: Column) -> Column:
+    return squeeze(F.regexp_replace(html, "(?s)<[^>]*>", " "))
+
+
+def _found(html: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), group)
+
+
+def _first_of_each(items: Column, key) -> Column:
+    """Items whose key no earlier item has, in order."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+
+def anchors(html: Column, url: Column) -> Column:
+    """``link`` (absolute) and ``label`` of each link that leads to a page."""
+    pairs = F.arrays_zip(F.zip_with(_found(html, _ANCHOR, 1), _found(html, _ANCHOR, 2), lambda a, b: F.concat(a, b)).alias("href"), _found(html, _ANCHOR, 3).alias("label"))
+    bare = F.transform(pairs, lambda p: F.struct(F.trim(p["href"]).alias("href"), F.lower(_plain(p["label"])).alias("label")))
+    pages = F.filter(bare, lambda p: ~p["href"].rlike("(?i)^(#|mailto:|tel:|javascript:|$)"))
+    return F.transform(pages, lambda p: F.struct(joined(url, p["href"]).alias("link"), p["label"].alias("label")))
+
+
+def _links(wanted: Column) -> Column:
+    return _first_of_each(F.transform(wanted, lambda p: p["link"]), lambda u: F.regexp_replace(u, "/+$", ""))
+
+
+def career_links(html: Column, url: Column) -> Column:
+    """Different links whose address or label speaks of vacancies."""
+    return _links(F.filter(anchors(html, url), lambda p: contains_any(F.lower(F.concat_ws(" ", p["link"], p["label"])), V.CAREER_HINTS)))
+
+
+def signal_links(html: Column, url: Column, *, same_host: bool = False) -> Column:
+    """Different links to technical and commercial pages, by their path or a host named blog."""
+    host = lambda u: F.regexp_replace(netloc(u), r"^www\.", "")
+
+    def signal(p: Column) -> Column:
+        told = p["link"].rlike("(?i)^https?:") & (contains_any(F.lower(path_of(p["link"])), V.SIGNAL_PATHS) | host(p["link"]).startswith("blog."))
+        return told & (host(p["link"]) == host(url)) if same_host else told
+
+    return _links(F.filter(anchors(html, url), signal))
+
+
+def job_titles(html: Column) -> Column:
     """Texts of headings, links, items and spans that name a technical role."""
-    found, seen = [], set()
-    for text in re.findall(rf"<(?:{'|'.join(V.JOB_TAGS)})\b[^>]*>(.*?)</(?:{'|'.join(V.JOB_TAGS)})\s*>", html or "", re.I | re.S):
-        text = " ".join(_TAGS.sub(" ", text).split())
-        low = text.casefold()
-        if V.JOB_CHARS[0] <= len(text) <= V.JOB_CHARS[1] and any(w in low for w in V.ROLE_WORDS) and low not in seen:
-            seen.add(low)
-            found.append(text)
-    return found
-
-
-def clients_of(html: str | None) -> list[str]:
-    """Names in the logos of sections that announce clients or partners by heading, class or id."""
-    found, seen = [], set()
-    for part in re.findall(r"<(?:section|div|ul|aside)\b[^>]*>.*?</(?:section|div|ul|aside)\s*>", html or "", re.I | re.S):
-        head = part[: part.index(">") + 1]
-        titles = " ".join(re.findall(r"<h[1-4]\b[^>]*>(.*?)</h[1-4]\s*>", part, re.I | re.S))
-        marks = " ".join(re.findall(r"(?:class|id)\s*=\s*[\"']([^\"']*)", head, re.I))
-        if not (re.search(V.CLIENT_SECTION, titles, re.I) or re.search(V.CLIENT_SECTION, marks, re.I) or "logo" in marks.casefold()):
-            continue
-        for raw in re.findall(r"<img\b[^>]*?\b(?:alt|title)\s*=\s*[\"']([^\"']*)", part, re.I):
-            name = re.sub(V.LOGO_JUNK, "", " ".join(raw.split()), flags=re.I).strip(" -–—:|")
-            if 1 < len(name) <= 60 and name.casefold() not in seen and not re.fullmatch(V.CLIENT_SECTION, name, re.I):
-                seen.add(name.casefold())
-                found.append(name)
-    return found
+    texts = F.transform(_found(html, _ELEMENT.format(names="|".join(V.JOB_TAGS)), 3), _plain)
+    roles = F.filter(texts, lambda t: F.length(t).between(*V.JOB_CHARS) & contains_any(F.lower(t), V.ROLE_WORDS))
+    return _first_of_each(roles, F.lower)
+
+
+def client_names(html: Column) -> Column:
+    """Names in logos, items and captions of the parts of a page that announce clients or partners.
+
+    Such a part begins with a heading that says so, or with a section, division
+    or list whose class or id does, and ends with the next heading or section.
+    """
+    until = r"(?=(?:(?!<h[1-4]\b|</?(?:section|article|aside|main|footer)\b).)*)"
+    body = until.replace("(?:(?!", "((?:(?!", 1).replace(".)*)", ".)*))", 1)
+    headings = F.arrays_zip(_found(html, r"(?is)<(h[1-4])\b[^>]*>(.*?)</\1\s*>" + body, 2).alias("says"), _found(html, r"(?is)<(h[1-4])\b[^>]*>(.*?)</\1\s*>" + body, 3).alias("part"))
+    by_heading = F.filter(F.transform(headings, lambda h: F.struct(_plain(h["says"]).alias("says"), h["part"].alias("part"))), lambda h: h["says"].rlike(f"(?i){V.CLIENT_SECTION}"))
+    holder = r"(?is)<(?:section|div|ul)\b((?=[^>]*\bclass\s*=)[^>]*)>(?:\s*<h[1-4]\b.*?</h[1-4]\s*>)?" + body
+    names = lambda tag: F.array_join(F.regexp_extract_all(tag, F.lit("(?i)(?:class|id)\\s*=\\s*[\"']([^\"']*)"), 1), " ")
+    holders = F.arrays_zip(F.transform(_found(html, holder, 1), names).alias("says"), _found(html, holder, 2).alias("part"))
+    by_name = F.filter(holders, lambda h: h["says"].rlike(f"(?i){V.CLIENT_SECTION}|logo"))
+    part = F.array_join(F.transform(F.concat(by_heading, by_name), lambda h: h["part"]), _MARK)
+    logos = F.regexp_extract_all(part, F.lit("(?is)<img\\b[^>]*?\\b(?:alt|title)\\s*=\\s*[\"']([^\"']*)"), 1)
+    texts = F.filter(F.transform(F.regexp_extract_all(part, F.lit(r"(?is)<(figcaption|li|span|p)\b[^>]*>(?=([^\x01]*?)</\1\s*>)"), 2), _plain), lambda t: (t != "") & (F.size(F.split(t, " ")) <= 5))
+    bare = F.transform(F.concat(F.transform(logos, squeeze), texts), lambda t: F.regexp_replace(F.regexp_replace(t, f"(?iU){V.LOGO_JUNK}", ""), r"^[ \-–—:|]+|[ \-–—:|]+$", ""))
+    good = F.filter(bare, lambda t: F.length(t).between(2, 60) & ~t.rlike(f"(?i)^{V.CLIENT_SECTION}$"))
+    return _first_of_each(good, F.lower)
 
 
 def page_links(pages: DataFrame, *, same_host: bool = False) -> DataFrame:
     """``page_id, career_links, signal_links, job_titles, client_names`` of each page (page_id, url, html)."""
-    names = ["page_id", "career_links", "signal_links", "job_titles", "client_names"]
-
-    def mapper(batches):
-        for batch in batches:
-            rows = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            made = ([links_of(h, u or "", "career") for u, h in rows], [links_of(h, u or "", "signal", same_host) for u, h in rows], [jobs_of(h) for _, h in rows], [clients_of(h) for _, h in rows])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, pa.list_(pa.string())) for m in made)], names=names)
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(mapper, f"page_id {kind}, " + ", ".join(f"{n} array<string>" for n in names[1:]))
+    html, url = F.col("html"), F.coalesce("url", F.lit(""))
+    return pages.select("page_id", career_links(html, url).alias("career_links"), signal_links(html, url, same_host=same_host).alias("signal_links"), job_titles(html).alias("job_titles"), client_names(html).alias("client_names"))

@@ -131,7 +131,7 @@ def paragraph_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chunks(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"))
-    return chunking.chunk(docs, target=256).join(docs.select("doc_id", url.alias("url"), F.col("lang").alias("category")), "doc_id")
+    return chunking.chunk(docs.select("doc_id", url.alias("url"), F.col("lang").alias("category"), "text"), target=256)
 
 
 @query()
@@ -149,7 +149,7 @@ ev AS (SELECT *, left(sha256(url || '|' || excerpt), 16) AS content_hash FROM pa
 def _evidence(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"))
-    rows = evidence.paragraphs(docs).join(docs.select("doc_id", url.alias("u")), "doc_id")
+    rows = evidence.paragraphs(docs.withColumn("u", url), ["doc_id", "u"])
     return evidence.with_hash(rows, F.col("u")).drop("u")
 
 

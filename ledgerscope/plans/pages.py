@@ -126,8 +126,8 @@ _ARTICLE = f"({any_of('path', V.ARTICLE_PATHS)} OR regexp_matches(path, '{V.DATE
 
 
 @query(
-    f"""WITH h AS (SELECT page_id, regexp_replace({_NETLOC.format('url')}, '^www\\.', '') AS own, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href=["'']([^"'']+)["'']', 1)) AS href FROM pages),
-f AS (SELECT page_id, own, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN 'http:' || href ELSE 'http://' || own || '/' || ltrim(href, '/') END AS u FROM h),
+    f"""WITH h AS (SELECT page_id, url, regexp_replace({_NETLOC.format('url')}, '^www\\.', '') AS own, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS origin, {_PATH.format('url')} AS here, trim(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href=["'']([^"'']+)["'']', 1))) AS href FROM pages),
+f AS (SELECT page_id, own, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || href WHEN href = '' THEN url WHEN starts_with(href, '?') THEN origin || here || href WHEN starts_with(href, '#') THEN regexp_replace(url, '#.*$', '') || href WHEN starts_with(href, '/') THEN origin || href ELSE origin || coalesce(nullif(regexp_extract(here, '^(.*/)[^/]*$', 1), ''), '/') || href END AS u FROM h),
 p AS (SELECT page_id, lower({_PATH.format('u')}) AS path FROM f WHERE regexp_replace({_NETLOC.format('u')}, '^www\\.', '') IN ('', own)),
 n AS (SELECT page_id, count(DISTINCT path) AS n FROM p WHERE {_ARTICLE} GROUP BY page_id)
 SELECT page_id, coalesce(n, 0) AS n_links, coalesce(n, 0) >= {V.ARTICLE_LINKS} AS is_media FROM pages LEFT JOIN n USING (page_id)"""

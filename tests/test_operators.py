@@ -1,29 +1,62 @@
 """Operators that no query states exactly: chunks, merging, citations, sources, sinks, providers, streams."""
 
+import random
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.urls import joined
 from ledgerscope.operators import chunking, evidence, folds, merging, retrieval, routing, web
 from ledgerscope.sources import readers, writers
 
 
-def test_sections_follow_their_headings():
-    found = chunking.sections("intro\n# A\na\n## B\nb\n# C\nc")
-    assert found == [((), "intro"), (("A",), "a"), (("A", "B"), "b"), (("C",), "c")]
+def one(spark, column, text):
+    return spark.createDataFrame([(text,)], "t string").select(column.alias("x")).first()["x"]
+
+
+def test_sections_follow_their_headings(spark):
+    found = one(spark, chunking.sections(F.col("t")), "intro\n# A\na\n## B ##\nb\n#no heading\n# C\nc\n## D\n### E\n## F\nf")
+    assert [(r["path"], r["body"]) for r in found] == [([], "intro"), (["A"], "a"), (["A", "B"], "b\n#no heading"), (["C"], "c"), (["C", "F"], "f")]
+
+
+def test_siblings_merge_and_strangers_do_not(spark):
+    found = one(spark, chunking.merged(chunking.sections(F.col("t")), 100), "# A\n## x\n1\n## y\n2\n# B\n## z\n3")
+    assert [(r["path"], r["body"]) for r in found] == [(["A", "x"], "1\n\n## y\n2"), (["B", "z"], "3")]
+
+
+def test_units_are_paragraphs_sentences_or_windows_of_words(spark):
+    text = "short one\n\n  \nA first sentence of it. A second sentence of it!\n\n" + "w " * 30
+    assert one(spark, chunking.units(F.col("t"), 7), text) == ["short one", "A first sentence of it.", "A second sentence of it!", *["w w w w w"] * 6]
+
+
+def brute_spans(costs, target, room):
+    out, first = [], 0
+    for i in range(len(costs)):
+        if i > first and sum(costs[first : i + 1]) > target:
+            out.append((first, i))
+            fits = [s for s in range(first + 1, i) if sum(costs[s:i]) <= room or s == i - 1]
+            first = min(fits) if fits and room > 0 else i
+    return [*out, (first, len(costs))] if costs else []
 
 
-def test_siblings_merge_and_strangers_do_not():
-    parts = [(("A", "x"), "1"), (("A", "y"), "2"), (("B", "z"), "3")]
-    assert chunking.merged(parts, 100) == [(("A", "x"), "1\n\n## y\n2"), (("B", "z"), "3")]
+@pytest.mark.parametrize(("target", "room"), [(10, 3), (10, 0), (7, 7), (1, 1)])
+def test_spans_pack_units(spark, target, room):
+    r = random.Random(target)
+    lists = [[r.randint(1, 9) for _ in range(n)] for n in (0, 1, 2, 9, 40)]
+    rows = spark.createDataFrame([(x,) for x in lists], "c array<bigint>").select("c", chunking.spans(F.col("c"), target, room).alias("s")).collect()
+    for r in rows:
+        assert [tuple(x) for x in r["s"]] == brute_spans(r["c"], target, room)
 
 
-def test_chunks_overlap_by_whole_units():
+def test_chunks_overlap_by_whole_units(spark):
     text = "\n\n".join(f"Parágrafo número {i} com algumas palavras." for i in range(12))
-    chunks = chunking.chunks_of(text, target=40, overlap=0.3)
-    assert len(chunks) > 1
-    for (_, a), (_, b) in zip(chunks, chunks[1:], strict=False):
+    found = chunking.chunk(spark.createDataFrame([(1, text)], "doc_id long, text string"), target=40, overlap=0.3).orderBy("position").collect()
+    chunks = [r["chunk"] for r in found]
+    assert len(chunks) > 1 and [r["position"] for r in found] == list(range(len(found)))
+    for a, b in zip(chunks, chunks[1:], strict=False):
         assert a.split("\n\n")[-1] == b.split("\n\n")[0]
-    assert all(chunking.tokens_in(c) <= 60 for _, c in chunks)
+    assert all(r["token_estimate"] <= 60 for r in found)
 
 
 def test_chunks_of_nothing(spark):
@@ -92,11 +125,26 @@ def test_media_outlets_by_article_links(spark):
     assert [r[0] for r in rows.select(web.article_links(F.col("h"), F.lit("https://www.p.com.br/"))).collect()] == [20, 5, 0]
 
 
-def test_links_jobs_and_clients():
-    html = '<a href="/vagas">Vagas</a><a href="/pricing">Preço</a><a href="mailto:x@y.z">m</a><h2>Engenheiro de Software</h2><li>Vendas</li><section><h2>Clientes</h2><img alt="Logo Banco X"></section>'
-    assert web.links_of(html, "https://a.com.br", "career") == ["https://a.com.br/vagas"]
-    assert web.links_of(html, "https://a.com.br", "signal") == ["https://a.com.br/pricing"]
-    assert web.jobs_of(html) == ["Engenheiro de Software"] and web.clients_of(html) == ["Banco X"]
+def test_links_are_joined_to_their_page(spark):
+    bases = ["https://a.com.br", "https://a.com.br/x/y?q=1", "http://a.com/x/"]
+    links = ["/v", "v.html", "../v", "./v", "?p=2", "//b.com/z", "https://c.com/d", "a/../../b", "v#top", "#top", "x?u=../a"]
+    pairs = [(b, x) for b in bases for x in links]
+    rows = spark.createDataFrame(pairs, "b string, x string").select(joined(F.col("b"), F.col("x"))).collect()
+    assert [r[0] for r in rows] == [urljoin(b, x) for b, x in pairs]
+
+
+def test_links_jobs_and_clients(spark):
+    html = (
+        '<a href="/vagas">Vagas</a><a href="/pricing">Preço</a><a href="/pricing/">again</a><a href="mailto:x@y.z">m</a><a href=\'https://b.com/q\'><b>Trabalhe</b> conosco: vagas</a>'
+        "<h2>Engenheiro de Software</h2><ul><li><span>Engenheiro de software</span></li><li>Vendas</li></ul>"
+        '<section><h2>Nossos clientes</h2><img alt="Logo Banco X"><img title="banco x"><p>Loja Y</p><p>um texto que tem mais de cinco palavras</p></section>'
+        '<div class="logos"><img alt="Z S.A."></div><h3>Outros</h3><img alt="nada">'
+    )
+    pages = spark.createDataFrame([(1, "https://a.com.br/sobre", html), (2, None, None), (3, "x", "")], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in web.page_links(pages).collect()}
+    assert found[1]["career_links"] == ["https://a.com.br/vagas", "https://b.com/q"] and found[1]["signal_links"] == ["https://a.com.br/pricing"]
+    assert found[1]["job_titles"] == ["Engenheiro de Software"] and found[1]["client_names"] == ["Banco X", "Z S.A.", "Loja Y"]
+    assert all(found[i][c] == [] for i in (2, 3) for c in ("career_links", "signal_links", "job_titles", "client_names"))
 
 
 def test_registry_and_cards(spark, tmp_path):
