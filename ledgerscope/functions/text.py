@@ -42,9 +42,9 @@ def contains_any(text: Column, words) -> Column:
 
 def tokens(text: Column) -> Column:
     """Technical tokens without stopwords, then the parts of compound ones."""
-    stop = F.array(*map(F.lit, V.STOPWORDS))
-    kept = F.filter(F.regexp_extract_all(fold(F.lower(text)), F.lit(V.TOKEN), 0), lambda t: ~F.array_contains(stop, t))
-    parts = F.flatten(F.transform(F.filter(kept, lambda t: t.rlike("[-_./]")), lambda t: F.filter(F.split(t, "[-_./]"), lambda p: (p != "") & ~F.array_contains(stop, p))))
+    telling = lambda t: ~t.isin(*V.STOPWORDS)
+    kept = F.filter(F.regexp_extract_all(fold(F.lower(text)), F.lit(V.TOKEN), 0), telling)
+    parts = F.flatten(F.transform(F.filter(kept, lambda t: t.rlike("[-_./]")), lambda t: F.filter(F.split(t, "[-_./]"), lambda p: (p != "") & telling(p))))
     return F.concat(kept, parts)
 
 

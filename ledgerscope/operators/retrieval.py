@@ -1,13 +1,15 @@
 """Lexical, dense and fused retrieval over documents and vectors.
 
 Search runs a stated set of queries against all rows: lexical search joins the
-queries' terms with the documents' terms, so only documents that share a term
-are scored; dense search multiplies blocks of queries with each task's vectors
-and keeps the best of each task before anything is shuffled.
+queries' terms with an index of the documents' terms, which is made once and can
+be saved, loaded and upserted; dense search multiplies blocks of queries with
+blocks of vectors and keeps the best of each before anything else is shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
 from ledgerscope.functions.text import tokens
+from ledgerscope.sources.readers import read_index
+from ledgerscope.sources.shared import materialize
 
-#: Queries whose vectors a task holds at a time.
-BLOCK = 4096
+#: Vectors and queries of a block.
+ROWS, QUERIES = 8192, 4096
 
 
 def term_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,14 +29,46 @@ def term_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("terms")).withColumn("length", F.size("terms"))
 
 
-def term_stats(lists: DataFrame, key: str = "doc_id") -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A lexical index: ``postings`` (doc_id, term, tf, length) and ``documents`` (doc_id), those without terms too."""
+
+    postings: DataFrame
+    documents: DataFrame
+
+
+def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """Texts are dealt by document once; counting terms and lengths then moves nothing."""
+    terms = docs.select(F.col(key).alias("doc_id"), text).repartition("doc_id").select("doc_id", F.explode(tokens(F.col(text))).alias("term"))
+    counted = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    length = F.sum("tf").over(Window.partitionBy("doc_id"))
+    return Index(materialize(counted.withColumn("length", length), "postings"), docs.select(F.col(key).alias("doc_id")).distinct())
+
+
+def save_index(index: Index, path: str) -> None:
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def load_index(spark, path: str) -> Index:
+    """A saved index, or an empty one where nothing was saved."""
+    return Index(read_index(spark, f"{path}/postings", "doc_id long, term string, tf long, length long"), read_index(spark, f"{path}/documents", "doc_id long"))
+
+
+def upsert(index: Index, docs: DataFrame) -> Index:
+    """``index`` with ``docs``, which replace those of the same id."""
+    new = index_of(docs)
+    old = lambda df: df.join(new.documents, "doc_id", "left_anti")
+    return Index(old(index.postings).unionByName(new.postings), old(index.documents).unionByName(new.documents))
+
+
+def term_stats(index: Index) -> DataFrame:
     """``term, df, idf``: in how many documents a term is, and its weight; a negative weight becomes a share of the mean weight."""
-    df = lists.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = lists.agg(F.count("*").alias("n"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.crossJoin(F.broadcast(n)).withColumn("raw", raw)  # one row
+    n = index.documents.count()
+    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("raw").alias("mean"))
-    return idf.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, V.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return idf.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, V.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -41,17 +77,15 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     """``query_id, doc_id, score`` (six places) of the documents that share a term with a query (query_id, text)."""
-    lists = term_lists(docs)
-    mean = lists.agg(F.avg("length").alias("mean_length"))
+    n = index.documents.count()
+    mean = (index.postings.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
     asked = term_lists(queries, "query_id").select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(term_stats(lists), "term")
-    words = wanted.select("term").distinct()
-    tf = lists.select("doc_id", "length", F.explode("terms").alias("term")).join(words, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    norm = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.col("mean_length"))
+    wanted = asked.join(term_stats(index), "term")
+    norm = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.lit(mean))
     part = F.col("times") * F.col("idf") * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + norm)
-    return tf.crossJoin(F.broadcast(mean)).join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return index.postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def restrict(df: DataFrame, **wanted) -> DataFrame:
@@ -64,9 +98,9 @@ def restrict(df: DataFrame, **wanted) -> DataFrame:
     return df
 
 
-def bm25_filtered(docs: DataFrame, queries: DataFrame, k: int, condition: Column) -> DataFrame:
+def bm25_filtered(index: Index, docs: DataFrame, queries: DataFrame, k: int, condition: Column) -> DataFrame:
     """The best ``3 k`` of each query, then those that meet ``condition``, then the best ``k``: in this order, which changes the result."""
-    wide = top_k(bm25_scores(docs, queries), 3 * k).drop("rank")
+    wide = top_k(bm25_scores(index, queries), 3 * k).drop("rank")
     return top_k(wide.join(docs.where(condition).select("doc_id"), "doc_id"), k)
 
 
@@ -77,44 +111,41 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, doc_id, score, rank`` of the ``k`` nearest vectors by cosine (six places) of each query (query_id, vector)."""
-    sc = vectors.sparkSession.sparkContext
-
-    def against(ids: np.ndarray, block: np.ndarray) -> DataFrame:
-        shared = sc.broadcast((ids, block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)))
-
-        def mapper(batches):
-            asked, unit = shared.value
-            for batch in batches:
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores = np.round(unit @ x.T, 6)
-                order = np.argsort(keys, kind="stable")
-                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                row = np.arange(len(asked))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1])), pa.array(keys[best].ravel()), pa.array(scores[row, best].ravel())], names=["query_id", "doc_id", "score"])
-
-        rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
-        return top_k(rows.mapInArrow(mapper, "query_id long, doc_id long, score double"), k)
-
-    found, ids, block = None, [], []
-
-    def add():
-        nonlocal found
-        part = against(np.array(ids, np.int64), np.array(block, np.float64))
-        found = part if found is None else found.unionByName(part)
-        ids.clear()
-        block.clear()
-
-    for r in queries.select("query_id", vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        ids.append(r[0])
-        block.append(r[1])
-        if len(ids) == BLOCK:
-            add()
-    if ids:
-        add()
-    return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    """``query_id, doc_id, score, rank`` of the ``k`` nearest vectors by cosine (six places) of each query (query_id, vector).
+
+    Queries and vectors are dealt into blocks of bounded size, and each two
+    blocks meet in one task, which keeps the best ``k`` of each query.
+    """
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(vector).alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).alias("v"))
+    many = lambda df, size: max(1, -(-df.count() // size))
+    of_rows, of_asked = many(rows, ROWS), many(asked, QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    placed = rows.withColumn("r", F.pmod(F.xxhash64("doc_id"), F.lit(of_rows)).cast("int")).withColumn("q", every(of_asked))
+    sought = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(of_asked)).cast("int")).withColumn("r", every(of_rows))
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        names = ["query_id", "doc_id", "score"]
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+
+        def unit(column):
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64).reshape(len(column), -1)
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+        ids, keys = asked.column("query_id").to_numpy(), rows.column("doc_id").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        right = unit(rows.column("v"))[order].T
+        left = unit(asked.column("v"))
+        found = []
+        for at in range(0, len(ids), 256):
+            scores = np.round(left[at : at + 256] @ right, 6)
+            near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            found.append((np.repeat(ids[at : at + 256], near.shape[1]), keys[order][near].ravel(), np.take_along_axis(scores, near, 1).ravel()))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+
+    met = sought.groupBy("q", "r").cogroup(placed.groupBy("q", "r")).applyInArrow(best, "query_id long, doc_id long, score double")
+    return top_k(met, k)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ledgerscope.functions import text as T
 from ledgerscope.operators import chunking, evidence, merging, retrieval
 from ledgerscope.plans import adapters as A
 from ledgerscope.plans.registry import any_of, query, quoted
+from ledgerscope.sources.shared import shared_dir
 
 TOP = 30
 _STOP = f"[{quoted(V.STOPWORDS)}]"
@@ -24,10 +27,10 @@ def _terms(table: str, key: str) -> str:
     return f"SELECT {key}, list_concat(kept, {parts}) AS terms, len(list_concat(kept, {parts})) AS length FROM (SELECT {key}, {kept} AS kept FROM {table} WHERE text IS NOT NULL) UNION ALL SELECT {key}, [], 0 FROM {table} WHERE text IS NULL"
 
 
-_BM25 = f"""lists AS ({_terms('documents', 'doc_id')}),
-postings AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, length, unnest(terms) AS term FROM lists) GROUP BY ALL),
+_BM25 = f"""lists AS MATERIALIZED ({_terms('documents', 'doc_id')}),
+postings AS MATERIALIZED (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, length, unnest(terms) AS term FROM lists) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-raw AS (SELECT term, df, ln((SELECT count(*) FROM lists) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df),
+raw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM lists) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN {V.BM25_EPSILON}::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(terms) AS term FROM ({_terms('(SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)', 'query_id')})) GROUP BY ALL),
 bm25 AS (SELECT query_id, doc_id, round(sum(times * idf * tf * {V.BM25_K1 + 1}::DOUBLE / (tf + {V.BM25_K1}::DOUBLE * ({1 - V.BM25_B}::DOUBLE + {V.BM25_B}::DOUBLE * length / (SELECT avg(length) FROM lists)))), 6) AS score FROM asked JOIN idf USING (term) JOIN postings USING (term) GROUP BY ALL),
@@ -64,12 +67,23 @@ def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.term_stats(retrieval.term_lists(_docs(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.term_stats(retrieval.index_of(_docs(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(retrieval.bm25_scores(_docs(spark, sf_dir), _questions(spark, sf_dir)), TOP)
+    return retrieval.top_k(retrieval.bm25_scores(retrieval.index_of(_docs(spark, sf_dir)), _questions(spark, sf_dir)), TOP)
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical")
+def bm25_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index that was saved, loaded, and given a fourth of the documents anew."""
+    docs = _docs(spark, sf_dir)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    stale = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.lit("stale words")).otherwise(F.col("text")))
+    retrieval.save_index(retrieval.index_of(stale.where("doc_id % 4 <> 0")), path)
+    index = retrieval.upsert(retrieval.load_index(spark, path), docs.where("doc_id % 4 <= 1"))
+    return retrieval.top_k(retrieval.bm25_scores(index, _questions(spark, sf_dir)), TOP)
 
 
 @query(
@@ -78,7 +92,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_filtered_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty best, then those in two languages, then ten best: in this order."""
     docs = _docs(spark, sf_dir)
-    return retrieval.bm25_filtered(docs, _questions(spark, sf_dir), 10, F.col("lang").isin("en", "fr")).select("query_id", "doc_id", "score", "rank")
+    return retrieval.bm25_filtered(retrieval.index_of(docs), docs, _questions(spark, sf_dir), 10, F.col("lang").isin("en", "fr")).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM dense")
@@ -98,7 +112,7 @@ def _fused(spark, sf_dir) -> DataFrame:
     questions, vectors = _questions(spark, sf_dir), _vectors(spark, sf_dir)
     asked = _asked(vectors).join(A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
     dense = retrieval.dense_top_k(vectors, asked, TOP)
-    lexical = retrieval.top_k(retrieval.bm25_scores(_docs(spark, sf_dir), questions), TOP)
+    lexical = retrieval.top_k(retrieval.bm25_scores(retrieval.index_of(_docs(spark, sf_dir)), questions), TOP)
     return retrieval.fuse(dense, lexical, TOP)
 
 
