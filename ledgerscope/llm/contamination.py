@@ -18,10 +18,10 @@ What tasks need of the benchmark is a Bloom filter of fixed size; the exact
 comparison is a join, so the benchmark may be of any size.
 
 Words are runs of ASCII letters and digits and of anything beyond ASCII, in
-lower case.  Defined results: null or empty texts and texts of fewer than five
-words match nothing, as do items of fewer than five words; repeated rows of a
-``doc_id`` or ``item_id`` count once; null keys match nothing; extra columns
-are ignored.
+lower case.  An item of fewer than five words is one shingle of as many words.
+Defined results: null or empty texts match nothing; rows that repeat a
+``doc_id`` or ``item_id`` count as one with the shingles of all; null keys match
+nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +55,27 @@ def _sets(bodies: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _short(bodies: list[bytes], n: int) -> list[np.ndarray]:
+    """Distinct shingles of ``n`` words, fewer than ``SHINGLE``, told apart from all others."""
+    return [mix(h, 700 + n) for h in _sets(bodies, n)]
+
+
+def _item_sets(bodies: list[bytes]) -> list[np.ndarray]:
+    """Shingles of items: of fewer than ``SHINGLE`` words all of them are one."""
+    sets = _sets(bodies)
+    for i, body in enumerate(bodies):
+        if not len(sets[i]) and (n := len(body.translate(PLAIN).split())):
+            sets[i] = _short([body], n)[0]
+    return sets
+
+
+def _lengths(items: DataFrame, text: str = "text") -> list[int]:
+    """Numbers of words, fewer than ``SHINGLE``, that items have."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " ")), " ")
+    short = items.select(F.when(F.array_contains(words, ""), 0).otherwise(F.size(words)).alias("n")).where(F.col("n").between(1, SHINGLE - 1))
+    return sorted(r["n"] for r in short.distinct().collect())  # four numbers at most
+
+
 def _bin_keys(hashes: np.ndarray, power: int) -> np.ndarray:
     """Keys of hashes as members of their bins, in a partition of ``2 ** power`` bins."""
     return mix(hashes, 200 + power)
@@ -82,7 +103,7 @@ def item_shingles(items: DataFrame, item: str = "item_id", text: str = "text") -
 
     def mapper(batches):
         for ids, bodies in blocks(batches, 0, 1):
-            sets = _sets(bodies)
+            sets = _item_sets(bodies)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([as_long(s) for s in sets], pa.list_(pa.int64()))], names=["item_id", "shingles"])
 
     found = _lowered(items, item, text).mapInArrow(mapper, "item_id long, shingles array<long>")
@@ -120,19 +141,23 @@ def _may(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment`` of each item that a document contains to ``containment`` or more."""
     shingles = item_shingles(items)
+    lengths = _lengths(items)
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(shingles))
 
     def mapper(batches):
         plane = bits.value
         for ids, bodies in blocks(batches, 0, 1):
             keys, shared, of = [], [], []
-            for doc, h in zip(ids, _sets(bodies), strict=True):
-                if not len(h):
+            short = [np.concatenate(x) for x in zip(*(_short(bodies, n) for n in lengths), strict=True)] if lengths else [np.empty(0, U64)] * len(bodies)
+            for doc, h, few in zip(ids, _sets(bodies), short, strict=True):
+                if not len(h) + len(few):
                     continue
-                power = int(min(MOST_BINS, max(LEAST_BINS, np.ceil(np.log2(len(h))))))
+                power = int(min(MOST_BINS, max(LEAST_BINS, np.ceil(np.log2(max(1, len(h)))))))
                 bins = h >> U64(64 - power)
-                least = h[np.r_[True, bins[1:] != bins[:-1]]]  # sorted: the first of each bin is its smallest
-                known = h[_may(plane, h)]
+                new = np.ones(len(h), bool)
+                new[1:] = bins[1:] != bins[:-1]
+                least = h[new]  # sorted: the first of each bin is its smallest
+                known = np.r_[h[_may(plane, h)], few[_may(plane, few)]]
                 if len(known):
                     of.append(doc)
                     keys.append(as_long(np.r_[_whole_keys(known), _bin_keys(least[_may(plane, least)], power)]))
@@ -148,7 +173,9 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
 
     found = _lowered(docs, "doc_id", "text").mapInArrow(mapper, "doc_id long, keys array<long>, shared array<long>")
     wanted = shingles.mapInArrow(asked, "item_id long, key long")
-    pairs = found.select("doc_id", "shared", F.explode("keys").alias("key")).join(wanted, "key").groupBy("doc_id", "item_id").agg(F.first("shared").alias("shared"))
+    once = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    whole = found.groupBy("doc_id").agg(once("keys"), once("shared"))
+    pairs = whole.select("doc_id", "shared", F.explode("keys").alias("key")).join(wanted, "key").groupBy("doc_id", "item_id").agg(F.first("shared").alias("shared"))
     n = F.size("shingles").cast("long")
     exact = pairs.join(shingles, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("shared", "shingles")).cast("long").alias("n_shared"), n.alias("n_item"))
     return exact.where(F.col("n_shared") >= F.lit(float(containment)) * F.col("n_item")).withColumn("containment", F.col("n_shared") / F.col("n_item"))

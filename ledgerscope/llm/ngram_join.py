@@ -150,11 +150,11 @@ def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(mapper, "key long, set_id long, about long")
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """The distinct rows of keys that two sets or more hold, from rows in the order of key and set."""
+def _shared(keyed: DataFrame, whole: bool = False) -> DataFrame:
+    """The distinct rows of keys that two sets or more hold; ``whole``: one of them at least with an ``about`` above 0."""
 
     def mapper(batches):
-        last, told = None, False  # the row that the next batch goes on from, and whether it was passed on
+        last, told, open_key = None, False, False  # the row that the next batch goes on from, whether it was passed on, whether its key may pass
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
             if not len(rows):
@@ -162,19 +162,24 @@ def _shared(keyed: DataFrame) -> DataFrame:
             if last is not None:
                 rows = np.concatenate([last, rows])
             rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]]
-            run = np.cumsum(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) - 1
-            hit = np.bincount(run)[run] > 1
+            begins = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            many = np.diff(np.r_[begins, len(rows)])
+            may = rows[begins, 2] > 0 if whole else np.ones(len(begins), bool)  # the largest comes first
+            if last is not None:
+                may[0] = open_key
+            good = may & (many > 1)
+            if last is not None:
+                good[0] |= told
+            hit = np.repeat(good, many)
+            again, open_key = bool(hit[-1]), bool(may[-1])
             if last is not None:
-                hit |= told & (run == 0)
-                again = bool(hit[-1])
                 hit[0] &= not told
-            else:
-                again = bool(hit[-1])
             last, told = rows[-1:], again
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rows[hit, i]) for i in range(3)], names=["key", "set_id", "about"])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(mapper, "key long, set_id long, about long")
+    order = ["key", F.desc("about"), "set_id"] if whole else ["key", "set_id"]
+    return keyed.repartition("key").sortWithinPartitions(*order).mapInArrow(mapper, "key long, set_id long, about long")
 
 
 def _enough(shared: DataFrame) -> DataFrame:
@@ -211,7 +216,7 @@ def _whole(docs: DataFrame, base: DataFrame, wanted: DataFrame, n: int) -> DataF
 
 
 def _partners(costly: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For ``costly`` (key, set_id, lower): keys of the segment with its partner, or with its partner less one n-gram."""
+    """For ``costly`` (key, set_id, lower): keys of the segment with its partner (``about`` 1), or with its partner less one n-gram (0)."""
     edges = np.array(band_edges(percent))
     per_set = costly.groupBy("set_id").agg(F.collect_list(F.struct("key", "lower")).alias("keys"))  # as many as a set has segments
 
@@ -219,17 +224,21 @@ def _partners(costly: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for set_id, wanted, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens = listed.values.to_numpy().view(U64)
-                out = [np.empty(0, U64)]
+                full, less = [np.empty(0, U64)], [np.empty(0, U64)]
                 for lower in {w["lower"] for w in wanted}:
                     own = np.array([w["key"] for w in wanted if w["lower"] == lower], np.int64).view(U64)
                     x = Segments(tokens, np.array([len(tokens)]), edges, percent, lower)
                     for i in np.flatnonzero(np.isin(x.keys, own)):
                         j = i ^ 1
-                        # the last of an odd number stands alone: it tolerates no difference
-                        variants = np.r_[x.sums[j], x.sums[j] - x.marks[x.segment == j]] if j < len(x.keys) else x.keys[i : i + 1]
-                        out.append(mix(mix(variants, 404) + x.keys[i], 405))
-                keys = np.unique(np.concatenate(out))
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(np.full(len(keys), set_id, np.int64)), pa.array(np.zeros(len(keys), np.int64))], names=["key", "set_id", "about"])
+                        finer = lambda sums, i=i: mix(mix(sums, 404) + x.keys[i], 405)  # noqa: B023, E731
+                        if j < len(x.keys):
+                            full.append(finer(x.sums[j : j + 1]))
+                            less.append(finer(x.sums[j] - x.marks[x.segment == j]))
+                        else:  # the last of an odd number stands alone: it tolerates no difference
+                            full.append(finer(x.keys[i : i + 1]))
+                full, less = np.unique(np.concatenate(full)), np.unique(np.concatenate(less))
+                keys = np.r_[full, less]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(np.full(len(keys), set_id, np.int64)), pa.array(np.r_[np.ones(len(full), np.int64), np.zeros(len(less), np.int64)])], names=["key", "set_id", "about"])
 
     return per_set.join(sets.select("set_id", "tokens"), "set_id").select("set_id", "keys", "tokens").mapInArrow(mapper, "key long, set_id long, about long")
 
@@ -238,7 +247,8 @@ def _allocated(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``key, set_id``: keys of segments, or of segments and partners where the former cost more."""
     held = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
     dear = F.col("n") > BALANCE * partner_keys(percent)
-    finer = _shared(_partners(held.where(dear).select("key", "set_id", "lower"), sets, percent))
+    # sets whose partners are within one n-gram of each other agree in a key that is the whole partner of one
+    finer = _shared(_partners(held.where(dear).select("key", "set_id", "lower"), sets, percent), whole=True)
     return materialize(held.where(~dear).select("key", "set_id").union(finer.select("key", "set_id")), "allocated")
 
 
@@ -357,10 +367,9 @@ def _connect(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labels = components(links)
     known = homes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = keyed.join(known, "set_id")
-    sums = [F.sum(F.xxhash64("set_id", F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"s{salt}") for salt in (1, 2)]
-    each = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("home").alias("h0"), F.max("home").alias("h1"), F.count("*").alias("n"), *sums)
-    apart = each.where("c0 < c1 and h0 < h1").groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))  # keys of the same sets are one
-    left = materialize(named.join(apart.select("key"), "key", "left_semi").select(F.col("key").alias("grp"), "set_id", "component"), "left")
+    each = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("home").alias("h0"), F.max("home").alias("h1"), F.mode("home", True).alias("main"))
+    apart = each.where("c0 < c1 and h0 < h1").select("key", F.col("main").alias("grp"))  # such keys' sets join the home of most of them
+    left = materialize(named.join(apart, "key").select("grp", "set_id", "component").distinct(), "left")
     more = _links_within(left, sets, percent)
     return components(links.union(more)) if more.head(1) else labels
 

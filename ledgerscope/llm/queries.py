@@ -104,7 +104,8 @@ SELECT doc_id, len(g) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id)
 ORACLES["op8_benchmark_containment"] = r"""
 WITH words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL
  UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark WHERE item_id IS NOT NULL),
-g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(0, len(w) - 4), lambda i: list_aggregate(w[i + 1:i + 5], 'string_agg', ' '))) AS x FROM words WHERE len(w) >= 5),
+sizes AS (SELECT DISTINCT least(len(w), 5) AS n FROM words WHERE kind = 'b' AND len(w) > 0 UNION SELECT 5),
+g AS (SELECT DISTINCT kind, id, n, unnest(list_transform(range(0, len(w) - n + 1), lambda i: list_aggregate(w[i + 1:i + n], 'string_agg', ' '))) AS x FROM words, sizes WHERE len(w) >= n AND (kind = 'd' OR n = least(len(w), 5))),
 n AS (SELECT id AS item_id, count(*) AS n_item FROM g WHERE kind = 'b' GROUP BY id),
-m AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM g a JOIN g b ON a.x = b.x AND a.kind = 'd' AND b.kind = 'b' GROUP BY ALL)
+m AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM g a JOIN g b ON a.x = b.x AND a.n = b.n AND a.kind = 'd' AND b.kind = 'b' GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item"""

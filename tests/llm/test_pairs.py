@@ -141,6 +141,13 @@ def test_containment_of_partial_items(spark):
     assert got == {i: 50 - i for i in range(11)}
 
 
+def test_items_of_fewer_words_than_a_shingle_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "gamma"), (3, "Delta, epsilon!"), (4, "beta alpha"), (5, None), (6, "one two three four five"), (6, "six seven eight nine ten eleven")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "gamma"), (2, "delta epsilon"), (3, "alpha beta gamma delta"), (4, ""), (5, None), (6, "one two three four five"), (6, "six seven eight nine ten")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in contamination.contained_items(docs, items).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 2), (6, 6)]
+
+
 def test_short_items_are_never_missed(spark):
     r = random.Random(11)
     items = {k: [f"i{k}x{j}" for j in range(5 + k % 5)] for k in range(60)}  # 1 to 5 shingles
@@ -227,3 +234,28 @@ def test_odd_rows(spark, odd_table, empty_table):
 def test_digest_of_kept_words(spark, near_table, near_copies):
     got = {r["doc_id"]: r["d"] for r in substring_dedup.remove_repeats(near_table).select("doc_id", F.sha2("kept_text", 256).alias("d")).collect()}
     assert got[41] == hashlib.sha256(brute_cut(near_copies)[41][2].encode()).hexdigest()
+
+
+def test_shared_keys_over_batches(spark, monkeypatch):
+    r = random.Random(8)
+    rows = list({(k, s): (k, s, r.randrange(2)) for k, s in ((r.randrange(40), r.randrange(60)) for _ in range(400))}.values()) + [(99, 1, 1), (98, 1, 0), (98, 2, 0), (97, 3, 0), (97, 4, 1)]
+    df = spark.createDataFrame(rows + rows[:50], "key long, set_id long, about long").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for whole in (False, True):
+            got = sorted(tuple(x)[:2] for x in ngram_join._shared(df, whole).collect())
+            held = {}
+            for k, s, a in rows:
+                held.setdefault(k, []).append((s, a))
+            want = sorted((k, s) for k, m in held.items() if len(m) > 1 and (not whole or any(a for _, a in m)) for s, _ in m)
+            assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_partners_are_allocated_where_keys_cost_more(spark, near_table, near_copies, monkeypatch):
+    seen = []
+    partners = ngram_join._partners
+    monkeypatch.setattr(ngram_join, "_partners", lambda costly, *rest: seen.append(costly.count()) or partners(costly, *rest))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(near_table).collect()}
+    assert got == brute_components(near_copies) and seen[0] > 0
