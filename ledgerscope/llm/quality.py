@@ -1,8 +1,10 @@
 """Quality scores learned from pairs of documents (Bradley-Terry).
 
 Each preference pair is a labelled good and a labelled bad document; the score
-is linear in a few figures of the whole text, and its weights minimise the
-logistic loss on the pairs' feature differences.  The cut between good and bad
+is linear in figures of the whole text (shares of kinds of letters, of repeated
+words and lines, and square roots of the shares of its words in ``HASHED``
+classes by hash), and its weights minimise the logistic loss on the pairs'
+feature differences, with a penalty on their squares.  The cut between good and bad
 is the quantile of the training scores that separates the labels best, and the
 score a document gets is a logistic curve that is 0.3 at that cut.
 
@@ -25,11 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import U64, block_words, held_out, mix, small_batches
 
 SAMPLE = 20_000
 PAIRS = 8
 CUT = 0.3
+#: Classes of words, and the penalties on the weights of figures and of classes.
+HASHED = 128
+PENALTY = (1e-3, 3e-2)
+#: Pairs that a step of the fit takes at a time.
+AT_ONCE = 4096
 FEATURES = ("upper_share", "digit_share", "mark_share", "odd_mark_share", "high_share", "distinct_share", "adjacent_share", "lone_mark_share", "marked_end_share", "word_length", "log_words", "line_share")
 _BYTES = np.zeros((256, 5))
 _BYTES[ord("A") : ord("Z") + 1, 0] = 1
@@ -42,7 +49,7 @@ _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _ODD_ENDS = frozenset(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()?")
 
 
-def features(body: bytes) -> np.ndarray:
+def figures(body: bytes) -> np.ndarray:
     """Figures of a whole text, none of which grows with its length but by logarithm."""
     words = body.split()
     if not words:
@@ -56,6 +63,17 @@ def features(body: bytes) -> np.ndarray:
     return np.array([*counts, np.log1p(distinct) / np.log1p(n), adjacent, lone, ends, sum(map(len, words)) / n, np.log1p(n), len(set(lines)) / len(lines)])
 
 
+def features(bodies: list[bytes]) -> np.ndarray:
+    """A row for each text: its figures, and the square roots of the shares of its words in each class."""
+    if not bodies:
+        return np.zeros((0, len(FEATURES) + HASHED))
+    h, starts = block_words(bodies)
+    sizes = np.diff(starts)
+    place = np.repeat(np.arange(len(bodies)), sizes) * HASHED + (mix(h, 601) % U64(HASHED)).astype(np.int64)
+    counts = np.bincount(place, minlength=len(bodies) * HASHED).reshape(len(bodies), HASHED)
+    return np.hstack([np.array([figures(b) for b in bodies]), np.sqrt(counts / np.maximum(sizes, 1)[:, None])])
+
+
 def _mapped(df: DataFrame, of, name: str, kind: str, pa_kind) -> DataFrame:
     """``df`` with a column of what ``of`` makes of a list of texts."""
     df = small_batches(df).drop(name)
@@ -85,28 +103,41 @@ class Ranking:
         return 1 / (1 + np.exp(-z))
 
 
+def gradient(diff: np.ndarray, w: np.ndarray, penalty: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Penalised logistic loss of pairs (rows of ``diff`` should score above 0), its gradient and its second derivatives."""
+    n, d = diff.shape
+    loss, first, second = 0.5 * float(penalty @ (w * w)), penalty * w, np.diag(penalty)
+    for at in range(0, n, AT_ONCE):
+        x = diff[at : at + AT_ONCE].astype(float)
+        z = x @ w
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        loss += float(np.logaddexp(0, -z).sum()) / n
+        first = first - x.T @ (1 - p) / n
+        second = second + (x * (p * (1 - p))[:, None]).T @ x / n
+    return loss, first, second
+
+
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranking:
     """Bradley-Terry weights from pairs of rows of ``x`` labelled 1 and 0."""
-    d = len(FEATURES)
+    d = x.shape[1]
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Ranking(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0)
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1
-    z = np.clip((x - mean) / scale, -6, 6)
+    z = np.clip((x - mean) / scale, -6, 6).astype(np.float32)
     n = PAIRS * min(len(good), len(bad))
     n = max(n, len(good), len(bad))
     over = lambda rows: np.concatenate([rng.permutation(rows) for _ in range(-(-n // len(rows)))])[:n]
     diff = z[over(good)] - z[over(bad)]
+    penalty = np.where(np.arange(d) < len(FEATURES), *PENALTY)
     w = np.zeros(d)
-    for _ in range(25):  # Newton steps on the regularised logistic loss
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-        gradient = diff.T @ (1 - p) / n - 1e-3 * w
-        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / n + 1e-3 * np.eye(d)
-        step = np.linalg.solve(hessian, gradient)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    for _ in range(25):  # Newton steps
+        _, first, second = gradient(diff, w, penalty)
+        step = np.linalg.solve(second, first)
+        w -= step
+        if np.abs(step).max() < 1e-6:
             break
     s = z @ w
     order = np.argsort(s, kind="stable")
@@ -123,8 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     teach = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).select(F.col("doc_id").alias("__of"), F.col("quality").cast("int").alias("__label"))
     teach = teach.orderBy(F.xxhash64("__of"), "__of").limit(sample)
     known = docs.select("doc_id", "text").join(F.broadcast(teach), F.col("doc_id") == F.col("__of"))  # SAMPLE small rows at most
-    rows = _mapped(known, lambda texts: [features(t).tolist() for t in texts], "x", "array<double>", pa.list_(pa.float64())).groupBy("doc_id").agg(F.first("x").alias("x"), F.first("__label").alias("y")).orderBy("doc_id").collect()
-    return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], int))
+    rows = _mapped(known, lambda texts: features(texts).astype(np.float32).tolist(), "x", "array<float>", pa.list_(pa.float32())).select("doc_id", "__label", "x").distinct().toArrow()
+    x = np.array(rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(rows.num_rows, len(FEATURES) + HASHED)
+    y, key = (rows.column(c).to_numpy() for c in ("__label", "doc_id"))
+    order = np.lexsort((*x.T[:3], y, key))
+    return fit(x[order], y[order].astype(int))
 
 
 def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
@@ -132,6 +166,6 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranking)
 
     def of(texts):
-        return shared.value.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))) if texts else []
+        return shared.value.score(features(texts)) if texts else []
 
     return _mapped(docs.drop("predicted"), of, "score", "double", pa.float64()).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
