@@ -16,8 +16,8 @@ Symbols are letters in lower case; whatever stands between letters is one
 space; letters that no sample has are one symbol that never matches.  Learning
 takes rows whose crc32 of the key doesn't leave 1 by 3 and whose text and
 language aren't null: the distinct texts of a language with the smallest hashes,
-four times ``ROWS`` or all if there are fewer, which share ``SYMBOLS`` symbols.
-More than ``LANGUAGES`` languages are an error.
+four times ``ROWS`` or all if there are fewer, which share ``SYMBOLS`` symbols, or
+the language's part of ``ALL_SYMBOLS`` where there are many languages.
 
 Defined results: ``und`` and score 0 for a null text or one without a letter,
 or if nothing could be learned; the score of a text is the winner's share of
@@ -37,7 +37,8 @@ from .common import held_out, small_batches
 
 ROWS = 64
 SYMBOLS = 40_000
-LANGUAGES = 64
+#: Symbols of all languages together: it bounds what is broadcast, not which languages are learned.
+ALL_SYMBOLS = 640_000
 PIECE = 1024
 #: Symbols that a task parses side by side.
 BLOCK = 4_000_000
@@ -186,20 +187,18 @@ def shares(sizes: list[int], total: int) -> list[int]:
 def train(docs: DataFrame, rows: int = ROWS) -> Parser:
     """Automata from a bounded sample of the labelled rows."""
     labelled = docs.where(~held_out(3, 1) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    names = [r["lang"] for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     hashed = labelled.withColumn("drawn", F.xxhash64("text", F.lit(3)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
     least = hashed.select("lang", "drawn").distinct().withColumn("nth", rank).where(F.col("nth") <= 4 * rows).drop("nth")
-    few = hashed.join(F.broadcast(least), ["lang", "drawn"], "left_semi")  # LANGUAGES times 4 * rows at most
-    got = few.groupBy("lang", "drawn").agg(F.min("text").alias("text")).orderBy("lang", "drawn").collect()
+    few = hashed.join(least, ["lang", "drawn"], "left_semi")  # 4 * rows texts a language
+    got = few.groupBy("lang", "drawn").agg(F.min(F.substring("text", 1, 2 * SYMBOLS)).alias("text")).orderBy("lang", "drawn").collect()
     samples: dict[str, list[np.ndarray]] = {}
     for r in got:
         found = letters(r["text"])
         if len(found):
             samples.setdefault(r["lang"], []).append(found)
-    samples = {k: [t[:n] for t, n in zip(v, shares([len(t) for t in v], SYMBOLS - len(v)), strict=True)] for k, v in samples.items()}
+    each = min(SYMBOLS, ALL_SYMBOLS // max(1, len(samples)))
+    samples = {k: [t[:n] for t, n in zip(v, shares([len(t) for t in v], max(1, each - len(v))), strict=True) if n] for k, v in samples.items()}
     return Parser(samples)
 
 
