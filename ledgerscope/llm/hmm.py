@@ -9,10 +9,12 @@ one.  A word's probability is its class's under the hidden Markov model times
 ``V`` distinct words of the class in training; what was never seen shares the
 last part).
 
-Baum-Welch starts from a mixture fitted on a bounded sample (``SAMPLE`` texts,
-fewest by hash of the text) and then takes ``ROUNDS`` rounds over all training
-texts, in stretches of ``STRETCH`` tokens: each task sums its expected counts,
-Spark adds the tasks' sums.  Scores come from the scaled forward recursion over
+Baum-Welch starts from the class counts of all training texts, which each state
+weighs in its own way, and takes rounds over all training texts until a round
+gains less than ``SETTLED`` a token, ``ROUNDS`` at most: each task sums its
+expected counts, Spark adds the tasks' sums.  Training reads long texts in
+stretches of ``STRETCH`` tokens, of which all but the first begin with the
+states' overall shares.  Scores come from the scaled forward recursion over
 whole texts, however long; texts of a task advance side by side.
 
 Counts of the ``KNOWN`` commonest words at most are broadcast; those of all
@@ -38,9 +40,9 @@ TOP, TAILS = 4096, 128
 END = TOP + TAILS
 SYMBOLS = END + 1
 KNOWN = 1 << 18
-SAMPLE, SAMPLE_TOKENS = 1500, 2000
-ROUNDS = 2
-STRETCH = 256
+#: Rounds at most, and the gain in log10 a token below which training has settled.
+ROUNDS, SETTLED = 6, 0.003
+STRETCH = 512
 #: Tokens that a task holds side by side, in training and in scoring.
 TRAINED, SCORED = 400_000, 3_000_000
 
@@ -112,6 +114,9 @@ class Lexicon:
         np.subtract.at(n, TOP + self.tail[top], self.c[top])
         np.subtract.at(v, TOP + self.tail[top], 1)
         self.ends = ends
+        self.classes = n.copy()
+        self.classes[: len(top)] = self.c[top]
+        self.classes[END] = ends
         self.within = np.zeros(SYMBOLS)
         self.within[TOP:END] = -np.log10(n[TOP:END] + v[TOP:END] + 1)
 
@@ -160,22 +165,11 @@ class Model:
         return cls(share(start + 1.0), share(move + 1.0), share(emit), later)
 
 
-def mixture(texts: list[np.ndarray], rounds: int = 12, seed: int = 11) -> Model:
-    """A model whose states are the parts of a mixture of whole texts."""
-    rng = np.random.default_rng(seed)
-    counts = np.zeros((len(texts), SYMBOLS), np.float32)
-    for i, t in enumerate(texts):
-        counts[i] = np.bincount(t, minlength=SYMBOLS)
-    part = rng.dirichlet(np.ones(STATES), len(texts)).astype(np.float32)
-    for _ in range(rounds if len(texts) else 0):
-        emit = part.T @ counts + 0.1
-        logs = np.log(emit / emit.sum(1, keepdims=True))
-        z = counts @ logs.T + np.log(part.sum(0) + 1e-3)
-        part = np.exp(z - z.max(1, keepdims=True))
-        part /= part.sum(1, keepdims=True)
-    weight = part.sum(0).astype(float)
-    emit = (part.T @ counts).astype(float)
-    return Model.of_counts(weight, np.diag(emit.sum(1)) * 0.9 + emit.sum(1, keepdims=True) * 0.1 / STATES, emit)
+def started(classes: np.ndarray, seed: int = 11) -> Model:
+    """States that stay as they are nine times of ten and weigh the class counts by chance."""
+    emit = classes * np.exp(np.random.default_rng(seed).normal(size=(STATES, SYMBOLS)))
+    share = emit.sum(1, keepdims=True)
+    return Model.of_counts(share[:, 0], np.diag(share[:, 0]) * 0.9 + share * 0.1 / STATES, emit)
 
 
 def _side_by_side(texts: list[np.ndarray]):
@@ -206,7 +200,7 @@ def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def expected(model: Model, texts: list[np.ndarray], first: np.ndarray):
-    """Expected start, transition and emission counts of stretches; ``first``: which of them begin a text."""
+    """Expected start, transition and emission counts of stretches, and log10 of their probability; ``first``: which of them begin a text."""
     flat, begin, alive, order = _side_by_side(texts)
     first = first[order]
     emit = np.ascontiguousarray(model.emit.T)
@@ -236,11 +230,11 @@ def expected(model: Model, texts: list[np.ndarray], first: np.ndarray):
     gamma, at = np.concatenate(gammas), np.concatenate(at)
     for k in range(STATES):
         emission[k] = np.bincount(at, gamma[:, k], SYMBOLS)
-    return start, move * model.move, emission
+    return start, move * model.move, emission, float(sum(np.log10(x).sum() for x in scales))
 
 
-def _baum_welch(coded: DataFrame, model: Model) -> Model:
-    """One round over all training texts."""
+def _baum_welch(coded: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round over all training texts: the model after it, and log10 a token before it."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
     states = [f"s{k}" for k in range(STATES)]
 
@@ -248,12 +242,14 @@ def _baum_welch(coded: DataFrame, model: Model) -> Model:
         m = shared.value
         start, move, emission = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
         texts, first, n = [], [], 0
+        told = np.zeros(STATES)
 
         def add():
-            a, b, c = expected(m, texts, np.array(first))
+            a, b, c, log = expected(m, texts, np.array(first))
             start.__iadd__(a)
             move.__iadd__(b)
             emission.__iadd__(c)
+            told[:2] += log, n
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
@@ -267,24 +263,16 @@ def _baum_welch(coded: DataFrame, model: Model) -> Model:
                     texts, first, n = [], [], 0
         if n:
             add()
-        rows = np.vstack([start[None], move, emission.T])
+        rows = np.vstack([start[None], move, emission.T, told[None]])
         some = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(rows[some, k]) for k in range(STATES))], names=["row", *states])
 
     schema = "row int, " + ", ".join(f"{s} double" for s in states)
     summed = coded.where(~F.col("held_out")).select("symbols").mapInArrow(mapper, schema).groupBy("row").agg(*(F.sum(s).alias(s) for s in states))
-    rows = np.zeros((1 + STATES + SYMBOLS, STATES))
+    rows = np.zeros((2 + STATES + SYMBOLS, STATES))
     for r in summed.collect():  # as many rows as classes and states
         rows[r["row"]] = [r[s] for s in states]
-    return Model.of_counts(rows[0], rows[1 : 1 + STATES], rows[1 + STATES :].T)
-
-
-def _sample(coded: DataFrame, texts: int) -> list[np.ndarray]:
-    drawn = F.xxhash64("symbols", F.lit(5)).bitwiseAND(F.lit((1 << 30) - 1))
-    share = int(min(1.0, 2 * SAMPLE / max(1, texts)) * (1 << 30))
-    few = coded.where(~F.col("held_out")).select(drawn.alias("drawn"), F.substring("symbols", 1, 2 * SAMPLE_TOKENS).alias("symbols")).where(F.col("drawn") < share)
-    got = few.groupBy("drawn").agg(F.min("symbols").alias("symbols")).orderBy("drawn").limit(SAMPLE).collect()
-    return [np.frombuffer(r["symbols"], "<u2") for r in got]
+    return Model.of_counts(rows[0], rows[1 : 1 + STATES], rows[1 + STATES : -1].T), rows[-1, 0] / max(rows[-1, 1], 1)
 
 
 def score_texts(docs: DataFrame, held) -> DataFrame:
@@ -295,9 +283,12 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
     ends = source.where(~F.col("held_out")).count()
     lexicon = Lexicon(counts, ends)
     coded = materialize(_coded(source, sc.broadcast(lexicon)).withColumn("row", F.monotonically_increasing_id()), "coded")
-    model = mixture(_sample(coded, ends))
+    model, before = started(lexicon.classes), -np.inf
     for _ in range(ROUNDS):
-        model = _baum_welch(coded, model)
+        model, now = _baum_welch(coded, model)
+        if now - before < SETTLED:
+            break
+        before = now
     shared = sc.broadcast(model)
 
     def mapper(batches):
