@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg(?![^>]*/\s*>)|iframe|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<with>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<\Z|<[a-zA-Z][^<]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -76,7 +76,45 @@ TAUGHT = (
     (35, 0.05, 3, 1.0, 80, 0.0, 0, 0, 1),
     (20, 0.0, 90, 0.0, 60, 0.0, 0, 0, 1),
     (120, 0.2, 2, 0.0, 2, 1.0, 0, 0, 1),
+    (3, 0.0, 60, 0.0, 80, 0.0, 0, 0, 1),
+    (6, 0.0, 40, 0.0, 90, 0.0, 0, 0, 1),
+    (2, 0.0, 120, 0.05, 45, 0.0, 0, 0, 1),
+    (1, 0.0, 35, 0.0, 30, 0.1, 0, 0, 1),
+    (7, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1),
+    (4, 0.0, 2, 1.0, 110, 0.0, 0, 0, 1),
+    (5, 0.0, 30, 0.0, 50, 0.0, 0, 0, 1),
+    (6, 0.0, 0, 0.0, 95, 0.0, 0, 0, 1),
+    (40, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1),
+    (25, 0.0, 60, 0.0, 1, 0.0, 0, 0, 1),
+    (40, 0.0, 40, 0.0, 1, 0.0, 0, 0, 1),
+    (30, 0.05, 1, 0.0, 3, 0.0, 0, 0, 1),
+    (55, 0.1, 5, 0.0, 0, 0.0, 0, 0, 1),
+    (18, 0.0, 2, 0.0, 3, 0.0, 0, 0, 1),
+    (90, 0.0, 2, 0.0, 5, 0.0, 0, 0, 1),
+    (22, 0.0, 30, 0.0, 6, 1.0, 0, 0, 1),
+    (35, 0.0, 80, 0.0, 2, 0.5, 0, 0, 1),
+    (14, 0.0, 35, 0.0, 28, 0.0, 0, 0, 1),
+    (45, 0.3, 2, 1.0, 3, 1.0, 0, 0, 1),
+    (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 80, 0.0, 0, 0, 0),
+    (6, 1.0, 2, 1.0, 40, 0.0, 0, 0, 0),
+    (3, 1.0, 0, 0.0, 100, 0.0, 0, 0, 0),
+    (8, 0.9, 5, 1.0, 90, 0.0, 0, 0, 0),
+    (12, 0.8, 60, 0.0, 50, 0.0, 0, 0, 0),
+    (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0),
+    (6, 0.0, 3, 0.5, 2, 0.0, 0, 0, 0),
+    (20, 0.0, 1, 1.0, 90, 0.0, 1, 0, 0),
+    (5, 0.0, 3, 1.0, 60, 0.0, 1, 0, 0),
+    (2, 1.0, 1, 1.0, 70, 0.0, 1, 1, 0),
+    (60, 0.0, 5, 0.0, 80, 0.0, 1, 0, 0),
+    (3, 0.0, 70, 0.0, 50, 0.0, 1, 1, 0),
     (5, 0.0, 2, 1.0, 3, 0.0, 0, 0, 0),
+    (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0),
+    (4, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0),
+    (6, 0.0, 120, 0.0, 4, 1.0, 0, 0, 0),
+    (3, 0.0, 50, 0.0, 6, 0.9, 0, 0, 0),
+    (8, 0.8, 50, 0.0, 60, 0.0, 0, 1, 1),
+    (12, 0.7, 90, 0.1, 70, 0.0, 0, 1, 1),
     (3, 1.0, 4, 1.0, 3, 1.0, 0, 0, 0),
     (10, 0.8, 3, 1.0, 4, 0.9, 0, 0, 0),
     (40, 0.9, 30, 0.9, 20, 1.0, 0, 0, 0),
@@ -90,7 +128,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     if depth == 0 or len(set(y.tolist())) < 2:
         return int(y.mean() >= 0.5)
     best = None
-    for f in range(x.shape[1] - 1, -1, -1):
+    for f in range(x.shape[1] - 1, -1, -1):  # of equal splits that by the later feature
         values = np.unique(x[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= t
@@ -147,7 +185,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 close() if m["raw"].lower() in ("title", "textarea", "select", "iframe") else None
             continue
         tag = tag.lower()
-        if tag in INLINE:
+        if tag in INLINE or tag == "svg":
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
