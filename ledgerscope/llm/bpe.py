@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 SHORT = 128
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, and the letters of the longest of them.
+REMEMBERED, LETTERS = 100_000, 64
 NONE = 1 << 30
 #: White space as the vocabulary's normaliser takes it.
 SPACE = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
@@ -118,18 +118,20 @@ class WordBpe:
             ids = [x for x in ids if x is not None]
         ids = self._merged(ids) if len(ids) <= SHORT else self._merged_long(ids)
         found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = found
+        if len(word) <= LETTERS:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def chunk(self, text: str) -> bytes:
         """Ids of what stands between two spaces; no word reaches over a space."""
         known, word = self.known, self.word
         found = b"".join([known.get(w) or word(w) for w in self.words.findall(text)])
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        self.chunks[text] = found
+        if len(text) <= LETTERS:
+            if len(self.chunks) >= REMEMBERED:
+                self.chunks.clear()
+            self.chunks[text] = found
         return found
 
     def _plain(self, text: str) -> bytes:

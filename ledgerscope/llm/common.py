@@ -7,15 +7,16 @@ at ASCII white space (0x20, 0x09-0x0D); a null text has no words.  Hashes are
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.sources.shared import materialize, shared_dir  # noqa: F401
+
 U64 = np.uint64
 #: Characters of text that a task turns into words at a time.
 BLOCK_CHARS = 1_000_000
@@ -23,24 +24,6 @@ BLOCK_CHARS = 1_000_000
 BATCH_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerscope-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, by: str, files: int) -> DataFrame:
     """``df`` as a table in the shared folder, in ``files`` buckets of column ``by``: later joins and groups on it don't move it."""
     name = f"t{uuid.uuid4().hex}"
@@ -62,8 +45,8 @@ def text_bytes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> D
 
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id"):
-    """Whether crc32 of the key written as text leaves ``remainder``."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder
+    """Whether crc32 of the key written as text leaves ``remainder``; not so for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def blocks(batches, *columns: int, size: int = BLOCK_CHARS) -> Iterator[list[list]]:
