@@ -34,7 +34,7 @@ PAIRS = 8
 CUT = 0.3
 #: Classes of words, and the penalties on the weights of figures and of classes.
 HASHED = 128
-PENALTY = (1e-3, 3e-2)
+PENALTY = (1e-2, 0.3)
 #: Pairs that a step of the fit takes at a time.
 AT_ONCE = 4096
 FEATURES = ("upper_share", "digit_share", "mark_share", "odd_mark_share", "high_share", "distinct_share", "adjacent_share", "lone_mark_share", "marked_end_share", "word_length", "log_words", "line_share")
