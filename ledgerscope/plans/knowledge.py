@@ -321,7 +321,9 @@ def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", good.alias("n_cited"), (F.size(cited) - good).alias("n_invalid"), (5 - good).alias("n_uncited"), (good / F.lit(5.0)).alias("coverage"))
 
 
-@query()
+@query(
+    f"WITH {_ANSWERS}, s AS (SELECT conv_id, turn, trim(unnest(string_split(regexp_replace(trim(answer), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))) AS sentence FROM answers) SELECT conv_id, turn, count(*) AS n, min(sentence) AS first_sentence FROM s WHERE length(sentence) >= {V.CLAIM_CHARS} AND NOT regexp_matches(sentence, '^[#*-]') AND NOT regexp_matches(sentence, '{V.CITATION}') GROUP BY conv_id, turn"
+)
 def unsupported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of answers that claim something and cite nothing."""
     rows = _answers(spark, sf_dir).select("conv_id", "turn", F.explode(T.unsupported_sentences(F.col("answer"))).alias("sentence"))
@@ -355,7 +357,9 @@ def citation_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.reconcile(cited, retrieved)
 
 
-@query()
+@query(
+    "WITH c AS (SELECT doc_id, left(sha256('https://' || source || '.example.com/' || lang || '|' || text), 24) AS chunk_id FROM documents WHERE text IS NOT NULL), h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id)) AS d FROM c) SELECT doc_id, chunk_id, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || substr('89ab89ab89ab89ab', CAST('0x' || d[17:17] AS INT) + 1, 1) || d[18:20] || '-' || d[21:32] AS point_id FROM h"
+)
 def chunk_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point ids of a vector store: version 5 UUIDs of the documents' chunk ids."""
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"))

@@ -223,8 +223,10 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "x.n", F.round("x.total", 4).alias("total"))
 
 
-@query()
+@query(
+    f"WITH b AS (SELECT user_id AS company_id, event_id AS id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, value AS after FROM events) SELECT company_id, id, before, after, CASE WHEN after - before > {V.SCORE_NOISE} THEN 'melhorou' WHEN after - before < -{V.SCORE_NOISE} THEN 'piorou' ELSE 'estavel' END AS kind FROM b WHERE before IS NOT NULL"
+)
 def stream_score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's value against the user's one before, from keyed state."""
-    scores = _events_stream(spark, sf_dir).select(F.col("user_id").alias("company_id"), "ts", F.col("value").alias("score"))
-    return E.drain(E.changes(scores)).drop("batch")
+    scores = _events_stream(spark, sf_dir).select(F.col("user_id").alias("company_id"), "ts", F.col("event_id").alias("id"), F.col("value").alias("score"))
+    return E.drain(E.changes(scores)).select("company_id", "id", "before", "after", "kind")

@@ -64,22 +64,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def changes(scores: DataFrame, floor: float = V.SCORE_NOISE) -> DataFrame:
-    """Each score against the company's one before (company_id, ts, score): the previous one is kept as state."""
+    """Each score against the company's one before (company_id, ts, id, score; ties by id): the previous one is kept as state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            rows = []
-            for ts, score in frame.sort_values("ts")[["ts", "score"]].itertuples(index=False):
-                if last is not None:
-                    kind = "melhorou" if score - last > floor else "piorou" if last - score > floor else "estavel"
-                    rows.append((key[0], ts, last, score, kind))
-                last = float(score)
-            yield pd.DataFrame(rows, columns=["company_id", "ts", "before", "after", "kind"])
-        if last is not None:
-            state.update((last,))
-
-    return scores.groupBy("company_id").applyInPandasWithState(step, "company_id long, ts timestamp, before double, after double, kind string", "last double", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
+        before = rows["score"].shift(fill_value=state.get[0] if state.exists else float("nan"))
+        state.update((float(rows["score"].iloc[-1]),))
+        told = pd.DataFrame({"company_id": key[0], "ts": rows["ts"], "id": rows["id"], "before": before, "after": rows["score"]})
+        gain = told["after"] - told["before"]
+        told["kind"] = gain.gt(floor).map({True: "melhorou", False: "estavel"}).mask(gain.lt(-floor), "piorou")
+        yield told[told["before"].notna()]
+
+    return scores.groupBy("company_id").applyInPandasWithState(step, "company_id long, ts timestamp, id long, before double, after double, kind string", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def waits(requests: DataFrame, seconds: float = V.HOST_SECONDS) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.urls import joined
-from ledgerscope.operators import chunking, evidence, folds, merging, retrieval, routing, web
+from ledgerscope.operators import chunking, evidence, folds, merging, read_models, retrieval, routing, web
 from ledgerscope.sources import readers, writers
 
 
@@ -209,3 +209,34 @@ def test_stream_waits(spark, tmp_path):
     spark.sql("SELECT 'h' AS host, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts FROM range(3)").coalesce(1).write.parquet(str(tmp_path / "in"))
     rows = events.drain(events.waits(events.stream(spark, str(tmp_path / "in")), 2.0)).orderBy("ts").collect()
     assert [r["wait"] for r in rows] == [0.0, 1.0, 2.0]
+
+
+def test_weights_and_prices_are_checked():
+    read_models.checked_weights({"a": 60, "b": 40}, {"gpu": 1.5})
+    for weights, prices in (({"a": 60}, {}), ({"a": 100}, {"gpu": 0}), ({"a": 100}, {"gpu": float("nan")})):
+        with pytest.raises(ValueError):
+            read_models.checked_weights(weights, prices)
+
+
+def test_no_answer_without_a_chunk(spark):
+    rows = spark.createDataFrame([("c", 1), ("", 0)], "c string, n int").select("n", read_models.grounded(F.col("c"), F.col("n"), F.lit("q")).alias("t"))
+    assert rows.where("n = 1").first()["t"] == "c\n\nq"
+    with pytest.raises(Exception, match="no chunk"):
+        rows.where("n = 0").collect()
+
+
+def test_orphan_references_are_left_out(spark):
+    rows = spark.createDataFrame([(1, [5, 9, 5, 4]), (2, [9]), (3, [])], "run long, refs array<long>")
+    store = spark.createDataFrame([(4, "d"), (5, "e")], "ref long, v string")
+    assert {r["run"]: [tuple(x) for x in r["found"]] for r in read_models.resolved(rows, "refs", store, "ref", "run").collect()} == {1: [(5, "e"), (5, "e"), (4, "d")]}
+
+
+def test_index_is_saved_loaded_and_upserted(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "beta delta")], "query_id long, text string")
+    assert retrieval.load_index(spark, f"{tmp_path}/none").documents.count() == 0
+    retrieval.save_index(retrieval.index_of(docs), f"{tmp_path}/i")
+    index = retrieval.upsert(retrieval.load_index(spark, f"{tmp_path}/i"), spark.createDataFrame([(2, "delta delta"), (4, "epsilon")], "doc_id long, text string"))
+    fresh = spark.createDataFrame([(1, "alpha beta"), (2, "delta delta"), (3, None), (4, "epsilon")], "doc_id long, text string")
+    found, want = (sorted(map(tuple, retrieval.bm25_scores(i, asked).collect())) for i in (index, retrieval.index_of(fresh)))
+    assert found == want and [x[1] for x in found] == [1, 2] and index.documents.count() == 4
