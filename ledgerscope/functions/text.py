@@ -6,6 +6,7 @@ All of it stays in the JVM.  Null in, null out, unless a docstring says otherwis
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from ledgerscope import fixed_values as V
 
 
 def _folds() -> tuple[str, str]:
-    """Letters from U+00C0 to U+017F that decompose to one plain letter, and those letters."""
-    pairs = [(c, d) for c in map(chr, range(0xC0, 0x180)) if len(d := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and d != c]
+    """Letters up to U+1FFF (Latin, Greek, Cyrillic) that decompose to one plain letter, and those letters."""
+    pairs = [(c, d) for c in map(chr, range(0xC0, 0x2000)) if c.isalpha() and len(d := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and d != c]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -23,7 +24,7 @@ _ACCENTED, _PLAIN = _folds()
 
 
 def fold(text: Column) -> Column:
-    """Latin letters without their accents."""
+    """Letters without their accents."""
     return F.translate(F.regexp_replace(text, "[\\x{300}-\\x{36f}]", ""), _ACCENTED, _PLAIN)
 
 
@@ -32,6 +33,27 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _references() -> dict[str, str]:
+    """Named character references of one letter or sign, from the standard library's table."""
+    return {name: sign for name, sign in html5.items() if name.endswith(";") and name != "amp;"}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references, named and numbered, as what they stand for; ``&amp;`` comes last, so nothing is decoded twice."""
+    names = F.create_map(*(F.lit(x) for pair in _references().items() for x in pair))
+    point = lambda digits, base: F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+
+    def sign(ref: Column) -> Column:
+        number, hexadecimal = F.regexp_extract(ref, "^#([0-9]{1,7});$", 1), F.regexp_extract(ref, "(?i)^#x([0-9a-f]{1,6});$", 1)
+        value = F.when(number != "", number.cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
+        good = value.between(1, 0xD7FF) | value.between(0xE000, 0x10FFFF)
+        return F.when(good & (number != ""), point(number, 10)).when(good, point(hexadecimal, 16)).otherwise(names[ref])
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(#?[a-zA-Z0-9]{1,40};)"), 1))
+    decoded = F.aggregate(found, text, lambda t, ref: F.replace(t, F.concat(F.lit("&"), ref), F.coalesce(sign(ref), F.concat(F.lit("&"), ref))))
+    return F.replace(F.when(F.contains(text, F.lit("&")), decoded).otherwise(text), F.lit("&amp;"), F.lit("&"))
+
+
 def contains_any(text: Column, words) -> Column:
     """Whether any of ``words`` is a substring."""
     found = F.lit(False)

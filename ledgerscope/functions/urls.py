@@ -94,7 +94,7 @@ def headline_title(title: Column) -> Column:
 def subject_title(title: Column) -> Column:
     """A phrase with a linking preposition and no capital after its first word."""
     words = F.split(F.trim(title), r"\s+")
-    capital = F.exists(F.slice(words, 2, 1000), lambda w: w.rlike(r"^\p{Lu}"))
+    capital = F.exists(F.slice(words, 2, F.size(words)), lambda w: w.rlike(r"^\p{Lu}"))
     return contains_any(_padded(title), V.SUBJECT_PREPOSITIONS) & ~capital
 
 
@@ -116,4 +116,4 @@ def likely_name(url: Column, title: Column) -> Column:
     for mark in reversed(V.NAME_SEPARATORS):
         cut = F.when(bare.contains(mark), F.trim(F.substring_index(bare, mark, 1))).otherwise(cut)
     label = F.substring_index(domain_of(url), ".", 1)
-    return F.when(F.length(cut) >= 2, F.substring(cut, 1, V.NAME_CHARS)).otherwise(F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1000)))
+    return F.when(F.length(cut) >= 2, F.substring(cut, 1, V.NAME_CHARS)).otherwise(F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, F.length(label))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,22 +36,33 @@ def keyword_evidence(docs: DataFrame, words, most: int = 5, key: str = "doc_id")
 def literal_matches(texts: DataFrame, excerpts: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """``key, item`` of the excerpts that stand in a text, white space and case aside.
 
-    Of an excerpt of six words or more the second to fifth are whole words of
-    any text that has it, so texts and excerpts meet on their hash first;
-    shorter excerpts are compared with every text, from a broadcast list.
+    The words of an excerpt but its first and last are whole words of any text
+    that has it, so texts and excerpts meet on a hash of up to ``KEY_WORDS`` of
+    them first; excerpts of one or two words, which have none, are compared
+    with every text.
     """
     norm = lambda c: F.lower(squeeze(c))
-    t = texts.select(key, norm(F.col("text")).alias("body"))
+    body = texts.select(key, norm(F.col("text")).alias("body"))
     e = excerpts.select(item, norm(F.col("text")).alias("excerpt")).where(F.col("excerpt") != "").withColumn("w", F.split("excerpt", " "))
-    row = lambda words, at: F.xxhash64(*(F.get(words, at + i) for i in range(KEY_WORDS)))
-    long = e.where(F.size("w") >= KEY_WORDS + 2).select(item, "excerpt", row(F.col("w"), F.lit(1)).alias("h"))
-    t = t.withColumn("words", F.split("body", " "))
-    words = F.col("words")
-    starts = F.when(F.size(words) >= KEY_WORDS, F.sequence(F.lit(0), F.size(words) - KEY_WORDS))
-    met = t.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: row(words, i)))).alias("h")).join(long.select("h", item), "h").select(key, item).distinct()
-    exact = met.join(long.select(item, "excerpt"), item).join(t.select(key, "body"), key).where(F.col("body").contains(F.col("excerpt"))).select(key, item)
-    short = e.where(F.size("w") < KEY_WORDS + 2).select(item, "excerpt")
-    return exact.unionByName(t.select(key, "body").join(short, F.col("body").contains(F.col("excerpt"))).select(key, item))
+    e = e.withColumn("k", F.least(F.size("w") - 2, F.lit(KEY_WORDS)))
+    row = lambda words, at, n: F.xxhash64(F.lit(n), *(F.get(words, at + i) for i in range(n)))
+    lengths = sorted(r["k"] for r in e.select("k").distinct().collect())  # six numbers at most
+    keyed = [k for k in lengths if k > 0]
+    found = []
+    if keyed:
+        of = F.lit(None).cast("long")
+        for k in keyed:
+            of = F.when(F.col("k") == k, row(F.col("w"), F.lit(1), k)).otherwise(of)
+        long = e.where("k > 0").select(item, "excerpt", of.alias("h"))
+        words = F.split("body", " ")
+        starts = lambda k: F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k)).otherwise(F.array().cast("array<int>"))
+        of_length = lambda k: F.transform(starts(k), lambda i: row(F.col("words"), i, k))
+        hashes = F.concat(*map(of_length, keyed))
+        met = body.select(key, words.alias("words")).select(key, F.explode(F.array_distinct(hashes)).alias("h")).join(long.select("h", item), "h").select(key, item).distinct()
+        found.append(met.join(long.select(item, "excerpt"), item).join(body, key).where(F.col("body").contains(F.col("excerpt"))).select(key, item))
+    if len(keyed) < len(lengths) or not keyed:
+        found.append(body.join(e.where("k <= 0").select(item, "excerpt"), F.col("body").contains(F.col("excerpt"))).select(key, item))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def prune(fields: DataFrame, literal: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
+from ledgerscope.sources.shared import materialize
 from ledgerscope.functions import scores as S
 
 
@@ -101,3 +102,12 @@ def in_order(found: DataFrame, limit: int | None = None, offset: int = 0) -> Dat
     ordered = found.orderBy(F.coalesce("urgency", "risk").desc(), F.col("created_at").desc(), "company_id")
     ordered = ordered.offset(offset) if offset else ordered
     return ordered if limit is None else ordered.limit(limit)
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with numbers from 1 in the order of a column without ties: ranges are numbered each by itself, from where the ones before end."""
+    ranged = materialize(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")  # a range keeps its number
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")

@@ -6,19 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
-from ledgerscope.functions.text import contains_any, squeeze
+from ledgerscope.functions.text import contains_any, squeeze, unescaped
 from ledgerscope.functions.urls import joined, netloc, path_of
 
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
-
 def visible_text(html: Column) -> Column:
-    """Text outside of scripts, styles, templates, drawings, comments and tags, with common entities decoded."""
+    """Text outside of scripts, styles, templates, drawings, comments and tags, with character references decoded."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|template|svg)\b.*?</(script|style|noscript|template|svg)\s*>", " ")
     text = F.regexp_replace(F.regexp_replace(text, "(?s)<!--.*?-->", " "), "(?s)<[^>]*>", " ")
-    for name, letter in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return squeeze(text)
+    return squeeze(unescaped(text))
 
 
 def needs_rendering(html: Column) -> Column:
@@ -26,7 +21,7 @@ def needs_rendering(html: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    return squeeze(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
+    return squeeze(unescaped(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def article_links(html: Column, url: Column) -> Column:

@@ -235,10 +235,12 @@ _TERMS = ", ".join(f"'{t}'" for t in V.TECH_TERMS)
 
 
 @query(
-    f"WITH t AS (SELECT unnest([{_TERMS}]) AS term), x AS (SELECT conv_id, turn, lower(text) AS low FROM conversations), m AS (SELECT conv_id, turn, term FROM x JOIN t ON contains(low, term) WHERE regexp_matches(low, '(^|[^\\w\\x{{80}}-\\x{{10FFFF}}-])' || regexp_escape(term) || '([^\\w\\x{{80}}-\\x{{10FFFF}}-]|$)')) SELECT conv_id, turn, count(*) AS n, min(term) AS first_term FROM m GROUP BY ALL"
+    f"WITH t AS (SELECT unnest([{_TERMS}]) AS term), x AS (SELECT conv_id, turn, lower(text || ' ' || CASE WHEN (conv_id + turn) % 4 = 0 THEN 'with' ELSE 'pre' END || CASE WHEN (conv_id + turn) % 2 = 0 THEN ' ' ELSE '-' END || [{_TERMS}][CAST((conv_id * 7 + turn) % {len(V.TECH_TERMS)} + 1 AS INT)] || '.') AS low FROM conversations), m AS (SELECT conv_id, turn, term FROM x JOIN t ON contains(low, term) WHERE regexp_matches(low, '(^|[^\\w\\x{{80}}-\\x{{10FFFF}}-])' || regexp_escape(term) || '([^\\w\\x{{80}}-\\x{{10FFFF}}-]|$)')) SELECT conv_id, turn, count(*) AS n, min(term) AS first_term FROM m GROUP BY ALL"
 )
 def tech_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.tech_mentions(F.col("text"))).alias("term"))
+    key = F.col("conv_id") + F.col("turn")
+    told = F.concat(F.col("text"), F.lit(" "), F.when(key % 4 == 0, "with").otherwise("pre"), F.when(key % 2 == 0, " ").otherwise("-"), A.pick(V.TECH_TERMS, (F.col("conv_id") * 7 + F.col("turn")) % len(V.TECH_TERMS)), F.lit("."))
+    found = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.tech_mentions(told)).alias("term"))
     return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.min("term").alias("first_term"))
 
 

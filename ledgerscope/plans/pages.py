@@ -82,13 +82,11 @@ _SCORED = f"{_BASE}, s AS (SELECT page_id, domain, (page_id * 7919) % 1000 AS sc
 @query(f"WITH {_SCORED}, o AS (SELECT *, min(page_id) OVER (PARTITION BY domain) AS arrival, row_number() OVER (PARTITION BY domain ORDER BY score DESC, page_id) AS place FROM blocked QUALIFY place <= 2) SELECT page_id, domain, score, place, dense_rank() OVER (ORDER BY arrival) AS domain_place FROM o")
 def dedupe_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two best candidates of each domain; domains in order of arrival."""
-    from pyspark.sql import Window
-
     rows = A.pages(spark, sf_dir).select("page_id", U.domain_of(F.col("url")).alias("domain"), (F.col("page_id") * 7919 % 1000).alias("score"))
     rows = rows.where(~U.under_domain(F.col("domain"), V.BLOCKED_DOMAINS))
     best = history.ranked(rows, "domain", F.col("score").desc(), F.col("page_id"), name="place").where(F.col("place") <= 2)
-    order = rows.groupBy("domain").agg(F.min("page_id").alias("arrival")).withColumn("domain_place", F.dense_rank().over(Window.orderBy("arrival")))  # a row for each domain
-    return best.join(order, "domain").select("page_id", "domain", "score", "place", "domain_place")
+    order = history.numbered(rows.groupBy("domain").agg(F.min("page_id").alias("arrival")), "arrival", "domain_place")
+    return best.join(order, "domain").select("page_id", "domain", "score", "place", F.col("domain_place").cast("int").alias("domain_place"))
 
 
 @query(f"WITH {_BASE} SELECT domain, count(*) AS pages, {_under('domain', V.BLOCKED_DOMAINS)} AS blocked FROM base GROUP BY ALL")
@@ -97,13 +95,21 @@ def blocked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("blocked", U.under_domain(F.col("domain"), V.BLOCKED_DOMAINS))
 
 
+#: The character references that the given pages have.
+_SIGNS = (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _decoded(text: str) -> str:
+    for name, letter in _SIGNS:
+        text = "replace({}, '{}', '{}')".format(text, name, letter.replace("'", "''"))
+    return text
+
+
 def _visible() -> str:
     text = "coalesce(html, '')"
     text = f"regexp_replace({text}, '<(script|style|noscript|template|svg)\\b.*?</(script|style|noscript|template|svg)\\s*>', ' ', 'gis')"
     text = f"regexp_replace(regexp_replace({text}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
-    for name, letter in web.ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, name, letter.replace("'", "''"))
-    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({_decoded(text)}, '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, sha256({_visible()}) AS text_sha256, length({_visible()}) AS n_chars FROM pages")
@@ -117,7 +123,7 @@ def needs_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", web.needs_rendering(F.col("html")).alias("needs_render"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\\s+', ' ', 'g')) AS title FROM pages")
+@query("SELECT page_id, trim(regexp_replace({}, '\\s+', ' ', 'g')) AS title FROM pages".format(_decoded("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")))
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", web.page_title(F.col("html")).alias("title"))
 

@@ -6,8 +6,9 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.text import unescaped
 from ledgerscope.functions.urls import joined
-from ledgerscope.operators import chunking, evidence, folds, merging, read_models, retrieval, routing, web
+from ledgerscope.operators import chunking, evidence, folds, history, merging, read_models, retrieval, routing, web
 from ledgerscope.sources import readers, writers
 
 
@@ -240,3 +241,25 @@ def test_index_is_saved_loaded_and_upserted(spark, tmp_path):
     fresh = spark.createDataFrame([(1, "alpha beta"), (2, "delta delta"), (3, None), (4, "epsilon")], "doc_id long, text string")
     found, want = (sorted(map(tuple, retrieval.bm25_scores(i, asked).collect())) for i in (index, retrieval.index_of(fresh)))
     assert found == want and [x[1] for x in found] == [1, 2] and index.documents.count() == 4
+
+
+def test_literal_matches_of_any_length(spark):
+    texts = ["Alpha beta gamma delta epsilon zeta eta", "xalpha beta gammay", "gamma  DELTA epsilon", "", None, "eta"]
+    excerpts = ["alpha beta gamma", "beta gamma delta epsilon zeta", "gamma delta", "eta", "alpha beta gamma delta epsilon zeta eta", "", "beta gamma delta epsilon zeta et"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(excerpts)), "item_id long, text string")
+    norm = lambda t: " ".join((t or "").lower().split())
+    want = sorted((i, j) for i, t in enumerate(texts) if t is not None for j, e in enumerate(excerpts) if norm(e) and norm(e) in norm(t))
+    assert sorted(map(tuple, evidence.literal_matches(docs, items).collect())) == want
+    assert evidence.literal_matches(docs, items.where("false")).count() == 0
+
+
+def test_character_references(spark):
+    text = "a &amp; b &lt;c&gt; &eacute;&#233;&#xE9; &#128512; &nope; &#0; &amp;lt; &notin;"
+    assert one(spark, unescaped(F.col("t")), text) == "a & b <c> ééé \U0001f600 &nope; &#0; &lt; ∉"
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"))
+    got = [(r["x"], r["n"]) for r in history.numbered(rows.repartition(7), "x", "n").orderBy("x").collect()]
+    assert [n for _, n in got] == list(range(1, 1001))
