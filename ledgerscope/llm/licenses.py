@@ -35,7 +35,7 @@ CONTAINMENT = 0.8
 COLLIDE = 0.999
 #: Templates that a scan takes at most: they are part of the plan.
 MOST = 500
-#: Short notices of common licenses, and the opening words of long ones.
+#: Short notices of common licenses, whole texts of short licenses, and the opening words of long ones.
 TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -48,17 +48,23 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice"),
     ("mit", "Released under the MIT License."),
     ("mit-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-3-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file"),
 )
 #: Sizes of templates in shingles: up to (the first), windows of (m) every (s).
-GROUPS = ((4, 8, 4), (9, 12, 4), (28, 35, 8), (48, 59, 12), (96, 119, 24), (192, 239, 48))
+GROUPS = ((4, 8, 4), (9, 12, 4), (28, 35, 8), (48, 59, 12))
 
 
 def group_of(size: int) -> tuple[int, int, int]:
+    """A template's group; those beyond ``GROUPS`` are twice as large each."""
     for group in GROUPS:
         if size <= group[0]:
             return group
-    raise ValueError(f"a template of {size} shingles is longer than any window")
+    largest = 96
+    while largest < size:
+        largest *= 2
+    return largest, largest + largest // 4 - 1, largest // 4
 
 
 def jaccard(size: int) -> float:
@@ -82,11 +88,6 @@ def shingles_of(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _order(shingle: Column, band: int) -> Column:
-    """Another ordering of the shingles for each band."""
-    return shingle if band == 0 else shingle.bitwiseXOR(F.lit(_SALTS[band]))
-
-
 def _salts(n: int) -> list[int]:
     """Odd multiples of the golden ratio, as signed 64-bit numbers: their leading bits differ evenly."""
     values = [(i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for i in range(n)]
@@ -163,7 +164,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         if few:
             keys += [(min(r[2]), r[0]) for r in few]
             hits.append(F.array_intersect(f"h{n}", F.array(*(F.lit(min(r[2])) for r in few))))
-    for group in GROUPS[1:]:
+    for group in sorted({group_of(len(r[2])) for r in rows if len(r[2]) > 4}):
         many = [r for r in rows if len(r[2]) > 4 and group_of(len(r[2])) == group]
         if many:
             bands = most
@@ -194,7 +195,8 @@ def scan_sql(templates=TEMPLATES) -> str:
     quoted = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in templates)
     words = r"regexp_extract_all(lower({}), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
     shingles = "list_transform(range(0, len(w) - n + 1), lambda i: list_aggregate(w[i + 1:i + n], 'string_agg', ' '))"
-    cases = lambda k: " ".join(f"WHEN t <= {g[0]} THEN {g[k]}" for g in GROUPS)
+    groups = sorted({group_of(n + 1) for n in range(max(len(notice.split()) * 3 for _, notice in templates) if templates else 1)})
+    cases = lambda k: " ".join(f"WHEN t <= {g[0]} THEN {g[k]}" for g in groups)
     return f"""
 WITH notices AS (SELECT license_id, {words.format('notice')} AS w FROM (VALUES {quoted}) v(license_id, notice)),
 sized AS (SELECT license_id, least(len(w), {SHINGLE}) AS n, w FROM notices),

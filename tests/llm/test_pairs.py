@@ -185,7 +185,7 @@ def test_edited_licenses_are_found(spark):
     long = {name: plain(t) for name, t in licenses.TEMPLATES if len(plain(t)) >= 14}
     docs = {}
     for name, own in long.items():
-        size = len(own) - 4
+        size = len(set(grams(own)))
         assert 1 - (1 - licenses.jaccard(size)) ** licenses.bands_of(size) >= 0.999
         for _ in range(500):
             cut = size - math.ceil(0.8 * size - 1e-9)
@@ -211,7 +211,7 @@ def test_license_scan_runs_no_python(spark, near_table):
 
 
 def test_license_bands_keep_their_promise():
-    for size in range(5, 40):
+    for size in [*range(5, 200), 1000, 6000]:
         assert 1 - (1 - licenses.jaccard(size)) ** licenses.bands_of(size) >= licenses.COLLIDE
         assert licenses.group_of(size)[1] >= size + licenses.group_of(size)[2] - 1
 
