@@ -1,4 +1,12 @@
-"""From raw documents to token ids, each stage on all that the one before kept."""
+"""From raw documents to token ids, each stage on all that the one before kept.
+
+Defined results: null and empty texts are scored by the classifier like any
+other and stay after it (they are no one's copies, have no words to lose and
+contain no item) with no tokens; rows with a null ``doc_id`` stay and are
+compared with nothing; rows that repeat a ``doc_id`` stay or go as the
+operators say of each; an empty table stays empty; other columns stay up to
+the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
