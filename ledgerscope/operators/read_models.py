@@ -95,3 +95,8 @@ def robots_url(url: Column) -> Column:
 def axis_order(axis: Column) -> Column:
     """Axes by falling weight."""
     return F.array_position(F.array(*map(F.lit, sorted(V.AXIS_WEIGHTS, key=V.AXIS_WEIGHTS.get, reverse=True))), axis)
+
+
+def errors(checks: dict[str, Column], most: int = 15) -> Column:
+    """Names of the checks that fail, in order."""
+    return F.slice(F.array_compact(F.array(*(F.when(wrong, F.lit(name)) for name, wrong in checks.items()))), 1, most)

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
 from ledgerscope.functions import text as T
+from ledgerscope.functions import urls as U
 from ledgerscope.operators import history
 from ledgerscope.operators import read_models as R
 from ledgerscope.plans import adapters as A
 from ledgerscope.plans.knowledge import _ANSWERS, _CITED, _answers, _docs
+from ledgerscope.plans.pages import _NETLOC, _PATH
 from ledgerscope.plans.registry import query
 from ledgerscope.plans.scoring import RUNS
+from ledgerscope.sources import readers
 
 #: References of a run to documents as its evidence; some lead nowhere.
 _REFS = "[(o_orderkey * 7 + o_custkey) % 5000, (o_orderkey * 13) % 5000, o_custkey % 5000]"
@@ -185,3 +188,36 @@ def robots_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", R.robots_url(F.col("url")).alias("robots"))
 
 
+
+
+@query("SELECT doc_id, sha256(concat_ws('|', 'model', lang, text)) AS cache_key FROM documents")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys under which answers about documents are cached."""
+    return _docs(spark, sf_dir).select("doc_id", readers.cache_key(F.lit("model"), F.col("lang"), F.col("text")).alias("cache_key"))
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT {_NETLOC.format('url')} AS host, {_PATH.format('url')} AS path FROM pages), h AS (SELECT host, min(path) AS least, max(path) AS most FROM p GROUP BY host),
+rules AS (SELECT host, left(most, 4) AS prefix, false AS allow FROM h UNION ALL SELECT host, least, true FROM h UNION ALL SELECT host, '', false FROM h),
+hit AS (SELECT p.host, p.path, allow, length(prefix) AS n FROM p JOIN rules r ON p.host = r.host AND starts_with(path, prefix) AND prefix <> ''),
+best AS (SELECT host, path, allow FROM hit QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY n DESC, allow DESC) = 1)
+SELECT host, path, coalesce(allow, true) AS allowed FROM p LEFT JOIN best USING (host, path)"""
+)
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that their host's rules let a robot read: the longest rule decides, and allows on ties."""
+    pages = A.table(spark, sf_dir, "pages").select(U.netloc(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path")).distinct()
+    ends = pages.groupBy("host").agg(F.min("path").alias("least"), F.max("path").alias("most"))
+    rule = lambda prefix, allow: ends.select("host", F.lit("*").alias("agent"), prefix.alias("prefix"), F.lit(allow).alias("allow"))
+    rules = rule(F.substring("most", 1, 4), False).union(rule(F.col("least"), True)).union(rule(F.lit(""), False))
+    return readers.robots_allows(pages, rules)
+
+
+@query(
+    "WITH e AS (SELECT event_id, json_valid(props) AS good, CAST(json_extract(CASE WHEN json_valid(props) THEN props ELSE '{}' END, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, array_to_string(list_filter([CASE WHEN NOT good THEN 'no object' END, CASE WHEN k IS NULL THEN 'k: missing' END, CASE WHEN k > 50 THEN 'k: above 50' END, CASE WHEN k % 2 = 1 THEN 'k: odd' END], lambda x: x IS NOT NULL), '; ') AS errors FROM e"
+)
+def output_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each structured answer, fifteen errors at most."""
+    k = F.from_json("props", "k bigint", {"mode": "PERMISSIVE"})["k"]
+    checks = {"no object": ~F.coalesce(F.col("props").rlike(r"^\s*\{.*\}\s*$"), F.lit(False)), "k: missing": F.col("k").isNull(), "k: above 50": F.col("k") > 50, "k: odd": F.col("k") % 2 == 1}
+    rows = A.table(spark, sf_dir, "events").select("event_id", "props", k.alias("k"))
+    return rows.select("event_id", F.array_join(R.errors(checks), "; ").alias("errors"))
