@@ -189,3 +189,25 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFram
     """``df`` with ``decoded``, the text that its ids spell."""
     path = path or default_path()
     return _with_column(df, ids, "decoded", "string", pa.string(), lambda x: vocabulary(path).decode(x).decode())
+
+
+def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and what they decode to (``decoded``) in place of the text, by one vocabulary a worker."""
+    path = path or default_path()
+    df = small_batches(docs).drop("ids", "decoded")
+    columns = df.columns
+    at = columns.index(text)
+    others = [i for i in range(len(columns)) if i != at]
+
+    def mapper(batches):
+        own = vocabulary(path)
+        for batch in batches:
+            step = max(1, batch.num_rows * 1_000_000 // max(1, batch.column(at).nbytes))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                ids = [own.encode(x) for x in part.column(at).to_pylist()]
+                made = [pa.array(ids, pa.binary()), pa.array([own.decode(x).decode() for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in others), *made], names=[*(columns[i] for i in others), "ids", "decoded"])
+
+    schema = "".join(f"`{columns[i]}` {df.schema[columns[i]].dataType.simpleString()}, " for i in others)
+    return df.mapInArrow(mapper, f"{schema}ids binary, decoded string")

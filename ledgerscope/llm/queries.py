@@ -48,7 +48,7 @@ def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -267,7 +267,9 @@ def test_bpe_equals_the_library(spark, sf_dir):
 def test_bpe_of_odd_rows(odd_table, empty_table):
     rows = bpe.decode(bpe.encode(odd_table)).collect()
     assert [r["ids"] for r in rows if r["doc_id"] in (1, 2)] == [b"", b""] and len(rows) == odd_table.count()
-    assert bpe.decode(bpe.encode(empty_table)).count() == 0
+    assert bpe.decode(bpe.encode(empty_table)).count() == 0 and bpe.round_trip(empty_table).count() == 0
+    both = lambda df: sorted((bytes(r["ids"]), r["decoded"]) for r in df.collect())
+    assert both(bpe.round_trip(odd_table)) == both(bpe.decode(bpe.encode(odd_table)))
 
 
 # language model
