@@ -46,7 +46,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, checked by decoding them again."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text"))
+    coded = bpe.round_trip(docs.select("doc_id", "text"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
