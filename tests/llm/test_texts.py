@@ -328,3 +328,22 @@ def test_language_model_of_odd_rows(odd_table, empty_table):
     rows = hmm.score_texts(odd_table, held_out(7, 2)).collect()
     assert len(rows) == odd_table.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert all(math.isfinite(r["score"]) for r in rows) and hmm.score_texts(empty_table, held_out(7, 2)).count() == 0
+
+
+def _figures_used(node):
+    return set() if isinstance(node, int) else {node[0]} | _figures_used(node[2]) | _figures_used(node[3])
+
+
+def test_the_tree_looks_at_neighbours():
+    assert _figures_used(html_text.tree()) & {2, 3, 4, 5}
+    plain = lambda *blocks: "<html><body>" + "".join(blocks) + "</body></html>"
+    long = f"<p>{'word ' * 40}</p>"
+    assert "Sub title" in html_text.main_text(plain(long, "<h2>Sub title</h2>", long))
+    assert "Sub title" not in html_text.main_text(plain("<p>Next</p>", "<p>Sub title</p>", "<p>Other</p>"))
+
+
+@pytest.mark.parametrize("body", ['<body class="has-sidebar">', '<body class="no-sidebar post">', '<body class="comments-open single">', '<body id="page"><main class="page-header-fixed">', '<body><article class="post no-comments">'])
+def test_names_of_the_page_hide_no_article(body):
+    long = f"<p>{'word ' * 40}</p>"
+    text = html_text.main_text(f"<html>{body}<nav><a href=x>Home</a></nav><h1>The title</h1>{long}<svg viewBox='0 0 1 1'/>{long}<footer>Copyright</footer></html>")
+    assert text.count("word") == 80 and "The title" in text and "Home" not in text and "Copyright" not in text
