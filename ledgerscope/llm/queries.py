@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, hmm, html_text, language, licenses, media, ngram_join, quality, substring_dedup
+from . import bpe, contamination, divergence, hmm, html_text, language, licenses, manifest, media, ngram_join, quality, substring_dedup, token_counts
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,8 +80,28 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_rows(_table(spark, sf_dir, "documents"))
+
+
 ORACLES["op1_license_scan"] = licenses.scan_sql()
 
+ORACLES["op11_source_divergence"] = divergence.audit_sql()
+
+ORACLES["op13_merkle_manifest"] = manifest.manifest_sql()
+
 
 ORACLES["op4_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
