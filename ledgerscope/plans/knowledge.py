@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerscope import fixed_values as V
 from ledgerscope.functions import scores as S
 from ledgerscope.functions import text as T
-from ledgerscope.operators import chunking, evidence, merging, retrieval
+from ledgerscope.operators import chunking, evidence, ingest, merging, retrieval
 from ledgerscope.plans import adapters as A
 from ledgerscope.plans.registry import any_of, query, quoted
 from ledgerscope.sources.shared import shared_dir
@@ -200,6 +200,48 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.join(known, "content_hash", "left").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("collected"), F.count("*").alias("different"), F.count_if("known").alias("skipped"), F.count_if(F.col("known").isNull()).alias("added"))
 
 
+def _by_lines(docs: DataFrame) -> DataFrame:
+    """Lines as pieces: what SQL can cut too."""
+    rows = evidence.paragraphs(docs, ["url", "technology", "category"])
+    return rows.select("url", F.col("position").cast("long").alias("position"), F.col("excerpt").alias("context"), F.col("excerpt").alias("chunk"), "technology", "category")
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model: how often each of eight letters is in a text."""
+    return [[float(t.count(c)) for c in "aeinorst"] for t in texts]
+
+
+def _as_sources(docs: DataFrame) -> DataFrame:
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"))
+    return docs.select(url.alias("url"), F.col("source").alias("title"), "text", F.col("lang").alias("technology"), F.col("source").alias("category"))
+
+
+_STORE = f"""{_LINES}, pieces AS (SELECT doc_id % 4 = 0 AS early, url, excerpt, left(sha256(url || '|' || excerpt), 24) AS chunk_id FROM ev),
+first AS (SELECT chunk_id, bool_or(early) AS early, min(excerpt) AS text FROM pieces GROUP BY 1),
+words AS (SELECT early, unnest(terms) AS term, chunk_id FROM ({_terms('first', 'chunk_id')}) JOIN first USING (chunk_id)),
+postings AS (SELECT early, count(*) AS n FROM (SELECT DISTINCT early, chunk_id, term FROM words) GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_STORE}
+SELECT 'early' AS stage, (SELECT count(DISTINCT (source, lang)) FROM documents WHERE doc_id % 4 = 0) AS documents, (SELECT count(*) FROM pieces WHERE early) AS collected, count(*) AS different, 0 AS skipped, count(*) AS added, count(*) AS chunks, count(*) AS vectors, (SELECT n FROM postings WHERE early) AS postings FROM first WHERE early
+UNION ALL SELECT 'stream', (SELECT count(DISTINCT (source, lang)) FROM documents), (SELECT count(*) FROM pieces), count(*), count(*) FILTER (WHERE early), count(*) FILTER (WHERE NOT early), count(*), count(*), (SELECT sum(n) FROM postings) FROM first"""
+)
+def ingest_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents as a job, then all of them as a stream: what each step adds to the store."""
+    docs = A.table(spark, sf_dir, "documents")
+    kept = ingest.store(spark, f"{shared_dir(spark)}/knowledge-{uuid.uuid4().hex}")
+    ingest.ingest(_as_sources(docs.where("doc_id % 4 = 0")), kept, _letters, cut=_by_lines)
+    sizes = lambda: tuple(kept.table(name).count() for name in ("chunks", "vectors", "postings"))
+    early = sizes()
+    arriving = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may be a file or a folder
+    ingest.ingest_stream(_as_sources(arriving), kept, _letters, cut=_by_lines)
+    known = [("early", *early), ("stream", *sizes())]
+    reports = kept.table("reports").withColumn("stage", F.when(F.col("batch").isNull(), "early").otherwise("stream"))
+    told = reports.groupBy("stage").agg(*(F.sum(c).alias(c) for c in ("documents", "collected", "different", "skipped", "added")))
+    return told.join(spark.createDataFrame(known, "stage string, chunks long, vectors long, postings long"), "stage")
+
+
 @query("WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body FROM documents), b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS excerpt FROM benchmark) SELECT doc_id, item_id FROM n JOIN b ON contains(body, excerpt)")
 def literal_evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.literal_matches(_docs(spark, sf_dir), A.table(spark, sf_dir, "benchmark"))
