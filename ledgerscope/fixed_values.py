@@ -136,6 +136,8 @@ ROLE_WORDS = (
     "engenheir", "engineer", "desenvolvedor", "developer", "dev ", "cientista de dados", "data scientist", "data engineer", "machine learning", "ml engineer", "mlops", "devops", "sre",
     "infra", "backend", "back-end", "frontend", "front-end", "fullstack", "full stack", "arquiteto", "architect", "tech lead", "cto", "analista de dados", "qa ", "software",
 )
+#: What a word inside a link and a block cost a stretch of main text.
+LINK_COST, BLOCK_COST = 2, 4
 JOB_TAGS = ("h1", "h2", "h3", "h4", "a", "li", "span")
 JOB_CHARS = (4, 90)
 CLIENT_SECTION = r"(clientes?|parceiros?|cases?|customers?|partners?|trusted\s+by|quem\s+(usa|confia)|empresas\s+que)"

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
-from ledgerscope.functions.text import contains_any, squeeze, unescaped
+from ledgerscope.functions import markup
+from ledgerscope.functions.text import squeeze, unescaped
 from ledgerscope.functions.urls import joined, netloc, path_of
 
+
 def visible_text(html: Column) -> Column:
     """Text outside of scripts, styles, templates, drawings, comments and tags, with character references decoded."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|template|svg)\b.*?</(script|style|noscript|template|svg)\s*>", " ")
@@ -44,84 +49,83 @@ def is_media(html: Column, url: Column) -> Column:
     return article_links(html, url) >= V.ARTICLE_LINKS
 
 
-#: An element from its start tag on, with what stands up to the next end tag of its name; elements inside it are found too.
-_ELEMENT = r"(?is)<({names})\b([^>]*)>(?=(.*?)</\1\s*>)"
-_ANCHOR = r"(?is)<a\b(?=[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'))[^>]*>(?=(.*?)</a\s*>)"
-_MARK = "\x01"
-
-
-def _plain(html: Column) -> Column:
-    return squeeze(F.regexp_replace(html, "(?s)<[^>]*>", " "))
-
-
-def _found(html: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), group)
-
-
-def _first_of_each(items: Column, key) -> Column:
-    """Items whose key no earlier item has, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-
+#: What ``page_links`` finds on a page.
+LINKS = ("career_links", "signal_links", "job_titles", "client_names")
 
-def anchors(html: Column, url: Column) -> Column:
-    """``link`` (absolute) and ``label`` of each link that leads to a page."""
-    pairs = F.arrays_zip(F.zip_with(_found(html, _ANCHOR, 1), _found(html, _ANCHOR, 2), lambda a, b: F.concat(a, b)).alias("href"), _found(html, _ANCHOR, 3).alias("label"))
-    bare = F.transform(pairs, lambda p: F.struct(F.trim(p["href"]).alias("href"), F.lower(_plain(p["label"])).alias("label")))
-    pages = F.filter(bare, lambda p: ~p["href"].rlike("(?i)^(#|mailto:|tel:|javascript:|$)"))
-    return F.transform(pages, lambda p: F.struct(joined(url, p["href"]).alias("link"), p["label"].alias("label")))
 
+def page_links(pages: DataFrame, *, same_host: bool = False) -> DataFrame:
+    """``page_id, career_links, signal_links, job_titles, client_names`` of each page (page_id, url, html), by one pass over its tags."""
 
-def _links(wanted: Column) -> Column:
-    return _first_of_each(F.transform(wanted, lambda p: p["link"]), lambda u: F.regexp_replace(u, "/+$", ""))
-
-
-def career_links(html: Column, url: Column) -> Column:
-    """Different links whose address or label speaks of vacancies."""
-    return _links(F.filter(anchors(html, url), lambda p: contains_any(F.lower(F.concat_ws(" ", p["link"], p["label"])), V.CAREER_HINTS)))
-
-
-def signal_links(html: Column, url: Column, *, same_host: bool = False) -> Column:
-    """Different links to technical and commercial pages, by their path or a host named blog."""
-    host = lambda u: F.regexp_replace(netloc(u), r"^www\.", "")
-
-    def signal(p: Column) -> Column:
-        told = p["link"].rlike("(?i)^https?:") & (contains_any(F.lower(path_of(p["link"])), V.SIGNAL_PATHS) | host(p["link"]).startswith("blog."))
-        return told & (host(p["link"]) == host(url)) if same_host else told
+    @F.arrow_udf(", ".join(f"{name} array<string>" for name in LINKS))
+    def found(html: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages, urls in html:
+            rows = [markup.extracted(h.as_py(), u.as_py(), same_host=same_host) for h, u in zip(pages, urls, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in range(len(LINKS))], list(LINKS))
 
-    return _links(F.filter(anchors(html, url), signal))
+    return pages.select("page_id", found("html", "url").alias("found")).select("page_id", "found.*")
 
 
-def job_titles(html: Column) -> Column:
-    """Texts of headings, links, items and spans that name a technical role."""
-    texts = F.transform(_found(html, _ELEMENT.format(names="|".join(V.JOB_TAGS)), 3), _plain)
-    roles = F.filter(texts, lambda t: F.length(t).between(*V.JOB_CHARS) & contains_any(F.lower(t), V.ROLE_WORDS))
-    return _first_of_each(roles, F.lower)
+#: Where a block of text begins or ends, and what isn't text.
+_BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
+_NOT_TEXT = ("script", "style", "noscript", "template", "svg", "head", "nav", "footer", "aside")
 
 
-def client_names(html: Column) -> Column:
-    """Names in logos, items and captions of the parts of a page that announce clients or partners.
+def main_text(html: Column) -> Column:
+    """The densest stretch of a page's blocks, one a line.
 
-    Such a part begins with a heading that says so, or with a section, division
-    or list whose class or id does, and ends with the next heading or section.
+    A block gains its words outside of links and loses those inside, and a
+    little for being one more; the stretch of neighbours with the largest sum is
+    found in one fold that keeps six numbers.  Blocks in the stretch that are
+    mostly links are left out.
     """
-    until = r"(?=(?:(?!<h[1-4]\b|</?(?:section|article|aside|main|footer)\b).)*)"
-    body = until.replace("(?:(?!", "((?:(?!", 1).replace(".)*)", ".)*))", 1)
-    headings = F.arrays_zip(_found(html, r"(?is)<(h[1-4])\b[^>]*>(.*?)</\1\s*>" + body, 2).alias("says"), _found(html, r"(?is)<(h[1-4])\b[^>]*>(.*?)</\1\s*>" + body, 3).alias("part"))
-    by_heading = F.filter(F.transform(headings, lambda h: F.struct(_plain(h["says"]).alias("says"), h["part"].alias("part"))), lambda h: h["says"].rlike(f"(?i){V.CLIENT_SECTION}"))
-    holder = r"(?is)<(?:section|div|ul)\b((?=[^>]*\bclass\s*=)[^>]*)>(?:\s*<h[1-4]\b.*?</h[1-4]\s*>)?" + body
-    names = lambda tag: F.array_join(F.regexp_extract_all(tag, F.lit("(?i)(?:class|id)\\s*=\\s*[\"']([^\"']*)"), 1), " ")
-    holders = F.arrays_zip(F.transform(_found(html, holder, 1), names).alias("says"), _found(html, holder, 2).alias("part"))
-    by_name = F.filter(holders, lambda h: h["says"].rlike(f"(?i){V.CLIENT_SECTION}|logo"))
-    part = F.array_join(F.transform(F.concat(by_heading, by_name), lambda h: h["part"]), _MARK)
-    logos = F.regexp_extract_all(part, F.lit("(?is)<img\\b[^>]*?\\b(?:alt|title)\\s*=\\s*[\"']([^\"']*)"), 1)
-    texts = F.filter(F.transform(F.regexp_extract_all(part, F.lit(r"(?is)<(figcaption|li|span|p)\b[^>]*>(?=([^\x01]*?)</\1\s*>)"), 2), _plain), lambda t: (t != "") & (F.size(F.split(t, " ")) <= 5))
-    bare = F.transform(F.concat(F.transform(logos, squeeze), texts), lambda t: F.regexp_replace(F.regexp_replace(t, f"(?iU){V.LOGO_JUNK}", ""), r"^[ \-–—:|]+|[ \-–—:|]+$", ""))
-    good = F.filter(bare, lambda t: F.length(t).between(2, 60) & ~t.rlike(f"(?i)^{V.CLIENT_SECTION}$"))
-    return _first_of_each(good, F.lower)
-
-
-def page_links(pages: DataFrame, *, same_host: bool = False) -> DataFrame:
-    """``page_id, career_links, signal_links, job_titles, client_names`` of each page (page_id, url, html)."""
-    html, url = F.col("html"), F.coalesce("url", F.lit(""))
-    return pages.select("page_id", career_links(html, url).alias("career_links"), signal_links(html, url, same_host=same_host).alias("signal_links"), job_titles(html).alias("job_titles"), client_names(html).alias("client_names"))
+    body = F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<!--.*?-->", " ")
+    for tag in _NOT_TEXT:
+        body = F.regexp_replace(body, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
+    words = lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+    plain = lambda t: squeeze(F.regexp_replace(t, "(?s)<[^>]*>", " "))
+
+    def block(part: Column) -> Column:
+        whole, free = plain(part), plain(F.regexp_replace(part, r"(?is)<a\b.*?</a\s*>", " "))
+        return F.struct(whole.alias("text"), words(whole).alias("words"), words(free).alias("free"))
+
+    blocks = F.filter(F.transform(F.split(body, _BLOCK), block), lambda b: b["text"] != "")
+    kind = "struct<i:int,sum:bigint,from:int,best:bigint,first:int,end:int>"
+
+    def step(a: Column, b: Column) -> Column:
+        gain = (b["free"] - V.LINK_COST * (b["words"] - b["free"]) - V.BLOCK_COST).cast("long")
+        fresh = a["sum"] <= 0
+        total, start = F.when(fresh, gain).otherwise(a["sum"] + gain), F.when(fresh, a["i"]).otherwise(a["from"])
+        better = total > a["best"]
+        return F.struct((a["i"] + 1).alias("i"), total.alias("sum"), start.alias("from"), F.greatest(total, a["best"]).alias("best"), F.when(better, start).otherwise(a["first"]).alias("first"), F.when(better, a["i"] + 1).otherwise(a["end"]).alias("end")).cast(kind)
+
+    nothing = F.struct(*(F.lit(0).alias(n) for n in ("i", "sum", "from", "best", "first", "end"))).cast(kind)
+    cut = F.aggregate(blocks, nothing, step, lambda a: F.struct(a["first"].alias("first"), a["end"].alias("end")))
+    kept = lambda bs, at: F.filter(F.slice(bs, at["first"] + 1, at["end"] - at["first"]), lambda b: 2 * b["free"] >= b["words"])
+    joined = F.transform(F.array(F.struct(blocks.alias("bs"), cut.alias("at"))), lambda x: F.array_join(F.transform(kept(x["bs"], x["at"]), lambda b: unescaped(b["text"])), "\n"))
+    return joined[0]
+
+
+#: A day as pages write it: with or without a time.
+_DAY = r"((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?)"
+#: Where a page says when it was published, the surest place first.
+DATE_PLACES = (
+    r"(?is)<meta\b(?=[^>]*\b(?:property|name|itemprop)\s*=\s*[\"'](?:article:published_time|og:published_time|datepublished|date|dc\.date|pubdate)[\"'])[^>]*\bcontent\s*=\s*[\"']\s*" + _DAY,
+    r"(?is)\"datePublished\"\s*:\s*\"" + _DAY,
+    r"(?is)<time\b[^>]*\bdatetime\s*=\s*[\"']\s*" + _DAY,
+)
+URL_DAY = r"/((?:19|20)[0-9]{2})/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])(?:/|$)"
+
+
+def published_at(html: Column, url: Column) -> Column:
+    """When a page was published, as an instant: from its head, its data, its first dated time, or its address; null if none says so."""
+    told = [F.nullif(F.regexp_extract(F.coalesce(html, F.lit("")), place, 1), F.lit("")) for place in DATE_PLACES]
+    day = F.nullif(F.concat_ws("-", *(F.nullif(F.regexp_extract(url, URL_DAY, k), F.lit("")) for k in (1, 2, 3))), F.lit(""))
+    return F.coalesce(*(F.try_to_timestamp(F.replace(t, F.lit(" "), F.lit("T"))) for t in told), F.try_to_timestamp(day))
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """``page_id, title, text, fallback, published_at``: main text, or all visible text where that is too short to be cited."""
+    html = F.col("html")
+    rows = pages.select("page_id", page_title(html).alias("title"), main_text(html).alias("main"), visible_text(html).alias("all"), published_at(html, F.col("url")).alias("published_at"))
+    short = F.length(F.trim("main")) < V.EXCERPT_LEAST
+    return rows.select("page_id", F.nullif("title", F.lit("")).alias("title"), F.when(short, F.col("all")).otherwise(F.col("main")).alias("text"), short.alias("fallback"), "published_at")

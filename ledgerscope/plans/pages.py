@@ -143,6 +143,42 @@ def article_link_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("is_media", F.col("n_links") >= V.ARTICLE_LINKS)
 
 
+_BLOCK = "(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\\b[^>]*>"
+
+
+def _main_blocks() -> str:
+    body = "regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs')"
+    for tag in ("script", "style", "noscript", "template", "svg", "head", "nav", "footer", "aside"):
+        body = f"regexp_replace({body}, '<{tag}\\b.*?</{tag}\\s*>', ' ', 'gis')"
+    plain = lambda t: f"trim(regexp_replace(regexp_replace({t}, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))"
+    words = lambda t: f"CASE WHEN {t} = '' THEN 0 ELSE len(string_split({t}, ' ')) END"
+    free = plain("regexp_replace(part, '<a\\b.*?</a\\s*>', ' ', 'gis')")
+    return f"""parts AS (SELECT page_id, unnest(p) AS part, unnest(range(len(p))) AS pos FROM (SELECT page_id, regexp_split_to_array({body}, '{_BLOCK}') AS p FROM pages)),
+cut AS (SELECT page_id, pos, {plain('part')} AS text, {free} AS free_text FROM parts),
+block AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i, {words('text')} AS words, {words('free_text')} AS free FROM cut WHERE text <> ''),
+gain AS (SELECT *, free - {V.LINK_COST} * (words - free) - {V.BLOCK_COST} AS gain FROM block),
+total AS (SELECT *, sum(gain) OVER (PARTITION BY page_id ORDER BY i) AS s FROM gain),
+low AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM total),
+best AS (SELECT page_id, i AS last, low FROM low WHERE s - low > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY s - low DESC, i) = 1),
+span AS (SELECT b.page_id, last, coalesce(max(t.i), 0) AS before FROM best b LEFT JOIN total t ON t.page_id = b.page_id AND t.i < b.last AND t.s = b.low GROUP BY ALL),
+main AS (SELECT s.page_id, string_agg({_decoded('text')}, chr(10) ORDER BY i) AS main FROM span s JOIN block b ON b.page_id = s.page_id AND b.i > s.before AND b.i <= s.last WHERE 2 * free >= words GROUP BY 1)"""
+
+
+_URL_DAY = "/((?:19|20)[0-9]{2})/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])(?:/|$)"
+
+
+@query(
+    f"""WITH {_main_blocks()}
+SELECT page_id, coalesce(length(trim(main)), 0) < {V.EXCERPT_LEAST} AS fallback, sha256(CASE WHEN coalesce(length(trim(main)), 0) < {V.EXCERPT_LEAST} THEN {_visible()} ELSE main END) AS text_sha256,
+ CASE WHEN regexp_matches(url, '{_URL_DAY}') THEN regexp_extract(url, '{_URL_DAY}', 1) || '-' || regexp_extract(url, '{_URL_DAY}', 2) || '-' || regexp_extract(url, '{_URL_DAY}', 3) || ' 00:00:00' END AS published_at
+FROM pages LEFT JOIN main USING (page_id)"""
+)
+def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text or, where that is too short, all visible text; the day of publication (the given pages tell it by their address alone)."""
+    rows = web.extracted(A.table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "fallback", F.sha2("text", 256).alias("text_sha256"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
 @query()
 def signal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links to vacancies and to technical pages, job titles, names of clients."""
