@@ -164,3 +164,30 @@ def rerank(fused: DataFrame, n: int, scorer=None, *, strict: bool = False) -> Da
             raise ValueError("no reranker")
         return top_k(fused.drop("rank").withColumn("rerank_score", F.lit(None).cast("double")), n, score="rrf_score")
     return top_k(scorer(fused.drop("rank")), n, score="rerank_score")
+
+
+def positional(chunks: DataFrame, ranking: DataFrame) -> DataFrame:
+    """A reranker's answer (query_id, index, rerank_score) joined with the list that it was given (query_id, rank from 1): by position; an index outside of the list is an error, not a row less."""
+    sizes = chunks.groupBy("query_id").agg(F.count("*").alias("__n"))
+    known = ranking.join(sizes, "query_id", "left")
+    wrong = F.col("index").isNull() | (F.col("index") < 0) | (F.col("index") >= F.coalesce("__n", F.lit(0)))
+    message = F.format_string("rank %s outside of the list of query %s", F.col("index"), F.col("query_id"))
+    placed = known.withColumn("rank", F.when(wrong, F.raise_error(message).cast("int")).otherwise(F.col("index") + 1).cast("int"))
+    return placed.select("query_id", "rank", "rerank_score").join(chunks, ["query_id", "rank"])
+
+
+def rerank_or_half(chunks: DataFrame, ranking: DataFrame, unavailable: DataFrame, n: int) -> DataFrame:
+    """``query_id, doc_id, place``: the ``n`` best of each query by the reranker; of queries that it failed (``unavailable``) the upper half of the fused list, one at least."""
+    answered = positional(chunks.join(unavailable, "query_id", "left_anti"), ranking.join(unavailable, "query_id", "left_anti"))
+    best = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")
+    ranked = answered.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
+    failed = chunks.join(unavailable, "query_id", "left_semi").withColumn("__n", F.count("*").over(Window.partitionBy("query_id")))
+    half = failed.where(F.col("rank") <= F.greatest(F.floor(F.col("__n") / 2), F.lit(1))).withColumn("rerank_score", F.lit(None).cast("double")).withColumn("place", F.col("rank"))
+    columns = ["query_id", "doc_id", "rerank_score", "place"]
+    return ranked.select(*columns).unionByName(half.select(*columns))
+
+
+def by_company(found: DataFrame, axes: DataFrame) -> DataFrame:
+    """``company_id, doc_id, axis_order, place``: what the queries of a company's axes (query_id, company_id, axis_order) found, each chunk where it came first."""
+    first = F.min(F.struct("axis_order", "place")).alias("at")
+    return found.join(axes, "query_id").groupBy("company_id", "doc_id").agg(first).select("company_id", "doc_id", "at.axis_order", "at.place")
