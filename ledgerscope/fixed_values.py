@@ -155,3 +155,50 @@ HISTORY_KEPT = 20
 HOST_SECONDS = 2
 CACHE_DAYS = 7
 CALL_BUDGET = 400
+
+# Texts of briefings and reports, which readers of the results compare word by word.
+AXIS_LABELS = {"proprietary_data": "Dados proprietários", "workflow_depth": "Profundidade de workflow", "stack_ownership": "Domínio da stack", "distribution": "Distribuição"}
+BRIEFING_TEXTS = {
+    "axes": "| Eixo | Peso | Score | Confiança | Leitura |\n|---|---:|---:|---:|---|",
+    "weak": "**evidência insuficiente** (não é nota baixa)",
+    "no_costs": "_Não calculado: nenhum provedor de API externa identificado publicamente, portanto não há custo atual com que comparar._",
+    "costs": "| Cenário | Tokens/mês | Custo API | Stack NVIDIA | Economia | Migrar compensa? |\n|---|---:|---:|---:|---:|---|",
+    "favorable": "sim",
+    "unfavorable": "**não, neste volume**",
+    "estimate": "**Estimativa a partir de sinais públicos, não medição.** Premissas:",
+    "no_recommendations": "_Nenhuma recomendação foi emitida: não houve trecho da base NVIDIA que fundamentasse uma. O sistema bloqueia recomendação sem citação em vez de produzir uma plausível._",
+    "source": "KB NVIDIA",
+    "no_starters": "- (nenhuma)",
+    "no_inception": "_Sem encaixe evidente neste estágio._",
+}
+GAP_TEXTS = {
+    "axis": "eixo '%s' com confiança %.2f: evidência insuficiente, não é nota baixa",
+    "costs": "TCO não calculado: nenhum provedor de API externa foi identificado publicamente, então não há custo atual com que comparar",
+    "coverage": "cobertura de evidência do perfil em %d%% — vários campos não puderam ser fundamentados em fonte pública",
+    "again": "houve re-coleta: os sinais desta empresa não estavam na primeira leitura do site",
+    "none": "- nenhuma lacuna registrada",
+}
+COVERAGE_FLOOR = 0.6
+ASSUMPTION_TEXTS = (
+    "Volume estimado de %.0fM tokens/mês (categoria '%s', cenário %s).",
+    "Preço de API: US$ %.2f por 1M tokens (%s), mix aproximado de 3:1 entrada:saída.",
+    "Stack NVIDIA: %s sob demanda a US$ %.2f/hora, %dh/mês.",
+    "Utilização média de %d%% — tráfego real é irregular, dimensionar por pico superestima a economia.",
+    "Throughput de referência: %s tokens/s para modelo ~8B quantizado com TensorRT-LLM em lote. Ordem de grandeza, não benchmark medido nesta startup.",
+    "Break-even neste cenário: ~%.0fM tokens/mês.",
+    "Preços de referência atualizados em %s. Instância reservada ou anual reduz o custo de GPU de forma relevante.",
+    "Não inclui engenharia de migração, observabilidade nem operação — custos reais que pesam mais em time pequeno.",
+    "ATENÇÃO: volume abaixo do piso de %.0fM tokens/mês. Nesta faixa a conversa sobre stack própria deve ser motivada por latência, residência de dados ou privacidade — não por custo.",
+)
+STEP_TEXTS = {
+    "pages": "%d página(s) coletada(s)",
+    "again": "evidência insuficiente, voltando a coletar",
+    "enough": "evidência suficiente",
+    "score": "score %s · eixo mais fraco: %s",
+    "chunks": "%d trecho(s) da base NVIDIA",
+    "recommendations": "%d recomendação(ões) com citação verificada",
+}
+PRICES_OF = "2026-08-13"
+PROMPT_DOCS, PROMPT_CHARS = 12, 12_000
+CAPACITY_LABELS = {"funding": "capital recente", "founder": "founder técnico", "hiring": "contratação de engenharia", "stage": "maturidade do estágio"}
+NO_DOCUMENTS = "(nenhum documento coletado)"

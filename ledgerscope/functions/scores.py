@@ -84,6 +84,18 @@ def capacity(funding: Column, founder: Column, hiring: Column, stage: Column) ->
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.bround(total / 100, 3).cast("double")))
 
 
+def capacity_told(funding: Column, founder: Column, hiring: Column, stage: Column) -> Column:
+    """What a capacity is made of, in words: each signal with its weight."""
+    parts = {"funding": funding, "founder": founder, "hiring": hiring, "stage": stage}
+    return F.concat_ws(", ", *(F.format_string(f"{V.CAPACITY_LABELS[name]} %.2f (peso {V.CAPACITY_WEIGHTS[name]}%%)", F.bround(signal.cast("decimal(9,6)"), 2).cast("double")) for name, signal in parts.items()))
+
+
+def capacity_rationale(capacity_to_act: Column, told: Column, risk: Column, confidence: Column) -> Column:
+    """Why a company is as urgent as it is."""
+    two = lambda c: F.bround(c.cast("decimal(9,4)"), 2).cast("double")
+    return F.format_string("Capacidade de agir %.2f — %s. Urgência = risco %.0f × capacidade %.2f × confiança %.2f.", two(capacity_to_act), told, F.bround(risk.cast("decimal(9,4)"), 0).cast("double"), two(capacity_to_act), two(confidence))
+
+
 def bucket(total: Column, confidence: Column, capacity_to_act: Column, maturity: Column) -> Column:
     return (
         F.when((F.coalesce(maturity, F.lit("")) == "indeterminado") | (confidence < V.MIN_GLOBAL_CONFIDENCE), "monitorar")

@@ -141,3 +141,25 @@ def uuid5(namespace: str, name: Column) -> Column:
     variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     whole = F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
     return F.concat_ws("-", *(F.substring(whole, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def fingerprint(model: Column, temperature: Column, params: Column, messages: Column) -> Column:
+    """Identity of a call to a model: its name, temperature, parameters (a map of written values) by name, and messages (role, content) in order."""
+    said = F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda p: F.concat(p["key"], F.lit("="), p["value"], F.lit(";"))), "")
+    spoken = F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit("\x00"), m["content"], F.lit("\x01"))), "")
+    return F.sha2(F.concat(model, F.format_string("|%.4f|", temperature.cast("double")), F.coalesce(said, F.lit("")), spoken), 256)
+
+
+def enforced(answer: Column, n_chunks: Column) -> Column:
+    """``answer``, if it cites only the chunks that there are and leaves no claim without citation; else an error."""
+    invalid = F.filter(citations(answer), lambda i: (i < 1) | (i > n_chunks))
+    bare = unsupported_sentences(answer)
+    wrong = F.when(F.size(invalid) > 0, F.format_string("cites %s of %s chunks", F.array_join(invalid.cast("array<string>"), ", "), n_chunks)).when(F.size(bare) > 0, F.format_string("%s claims without citation: %s", F.size(bare), F.substring(F.get(bare, F.lit(0)), 1, 120)))
+    return F.when(wrong.isNull(), answer).otherwise(F.raise_error(wrong).cast("string"))
+
+
+def literal(excerpt: Column, source: Column) -> Column:
+    """``excerpt`` squeezed and cut, if it is long enough and stands in its source word for word, whatever the case; else an error."""
+    clean = F.substring(squeeze(excerpt), 1, V.EXCERPT_MOST)
+    wrong = F.when(F.length(clean) < V.EXCERPT_LEAST, F.concat(F.lit("excerpt too short: "), clean)).when(source.isNotNull() & ~F.contains(F.lower(squeeze(source)), F.lower(clean)), F.lit("excerpt not in its source"))
+    return F.when(wrong.isNull(), clean).otherwise(F.raise_error(wrong).cast("string"))

@@ -53,14 +53,19 @@ def estimates(companies: DataFrame) -> DataFrame:
 
 
 def assumptions() -> Column:
-    """Sentences that go with an estimate; the last only below the floor."""
-    millions = F.col("tokens") / 1_000_000
+    """The sentences that go with an estimate; the last only below the floor."""
+    say, millions = V.ASSUMPTION_TEXTS, lambda tokens: F.bround(tokens / 1_000_000, 0)
+    of = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[F.lower(F.regexp_extract("gpu", r"^[0-9]+x (.*)$", 1))]
     return F.array_compact(
         F.array(
-            F.format_string("Volume estimado de %.0fM tokens/mês (categoria '%s', cenário %s).", millions, F.col("category"), F.col("scenario")),
-            F.format_string("Preço de API: US$ %.2f por 1M tokens (%s).", F.col("price"), F.col("provider")),
-            F.format_string("GPU: %s sob demanda, %dh/mês, utilização média de %d%%.", F.col("gpu"), F.lit(V.HOURS_PER_MONTH), F.lit(round(V.GPU_UTILISATION * 100))),
-            F.format_string("Break-even neste cenário: ~%.0fM tokens/mês.", F.col("break_even_tokens") / 1_000_000),
-            F.when(F.col("below_floor"), F.format_string("ATENÇÃO: volume abaixo do piso de %.0fM tokens/mês.", F.lit(V.LEAST_TOKENS / 1e6))),
+            F.format_string(say[0], millions(F.col("tokens")), F.col("category"), F.col("scenario")),
+            F.format_string(say[1], F.col("price"), F.col("provider")),
+            F.format_string(say[2], F.col("gpu"), of(V.GPU_HOURLY), F.lit(V.HOURS_PER_MONTH)),
+            F.format_string(say[3], F.lit(round(V.GPU_UTILISATION * 100))),
+            F.format_string(say[4], F.format_number(of(V.GPU_TOKENS_PER_SECOND), 0)),
+            F.format_string(say[5], millions(F.col("break_even_tokens"))),
+            F.format_string(say[6], F.lit(V.PRICES_OF)),
+            F.lit(say[7]),
+            F.when(F.col("below_floor"), F.format_string(say[8], F.lit(V.LEAST_TOKENS / 1e6))),
         )
     )

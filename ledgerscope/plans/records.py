@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
+from ledgerscope.functions import scores as S
+from ledgerscope.functions import text as T
 from ledgerscope.functions import urls as U
-from ledgerscope.operators import history, records, retrieval
+from ledgerscope.operators import briefings, cost, history, records, retrieval
 from ledgerscope.plans import adapters as A
 from ledgerscope.plans.knowledge import _BM25, _DENSE, _FUSED, _fused, _letters
 from ledgerscope.plans.pages import _NETLOC, _PATH
 from ledgerscope.plans.registry import query
-from ledgerscope.plans.scoring import RUNS
+from ledgerscope.plans.scoring import _COSTS, RUNS, _products
 from ledgerscope.sources import readers
 from ledgerscope.sources.embeddings import EmbeddingCache
 from ledgerscope.sources.shared import shared_dir
@@ -177,3 +179,72 @@ def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cache.embed(docs, _letters, "text", "letters").withColumn("t", F.coalesce("text", F.lit(""))).join(early, "t", "left")
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return found.select("doc_id", F.get("vector", F.lit(0)).cast("double").alias("first"), total.alias("total"), F.coalesce("known", F.lit(False)).alias("was_known"))
+
+
+_SAY = [t.replace("'", "''") for t in V.ASSUMPTION_TEXTS]
+_OF_GPU = "CASE gpu WHEN 'l40s' THEN {} WHEN 'a100_80gb' THEN {} ELSE {} END"
+
+
+@query(
+    f"""WITH {_COSTS}, b AS (SELECT *, floor(gpu_usd / price * 1000000) AS even FROM best WHERE r = 1)
+SELECT product_id, scenario, CASE WHEN tokens < {V.LEAST_TOKENS} THEN 9 ELSE 8 END AS n, sha256(printf('{_SAY[0]}', tokens / 1000000, category, scenario) || chr(10) || printf('{_SAY[1]}', price, provider) || chr(10) || printf('{_SAY[2]}', n || 'x ' || upper(gpu), {_OF_GPU.format(*(f"{x}::DOUBLE" for x in V.GPU_HOURLY.values()))}, {V.HOURS_PER_MONTH})
+ || chr(10) || printf('{_SAY[3]}', {round(V.GPU_UTILISATION * 100)}) || chr(10) || printf('{_SAY[4]}', {_OF_GPU.format(*(f"'{x:,}'" for x in V.GPU_TOKENS_PER_SECOND.values()))}) || chr(10) || printf('{_SAY[5]}', even / 1000000) || chr(10) || printf('{_SAY[6]}', '{V.PRICES_OF}') || chr(10) || '{_SAY[7]}'
+ || CASE WHEN tokens < {V.LEAST_TOKENS} THEN chr(10) || printf('{_SAY[8]}', {V.LEAST_TOKENS / 1e6}::DOUBLE) ELSE '' END) AS said_sha256 FROM b"""
+)
+def estimate_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight or nine sentences under each estimate of costs."""
+    rows = cost.estimates(_products(spark, sf_dir)).withColumn("said", cost.assumptions())
+    return rows.select("product_id", "scenario", F.size("said").alias("n"), F.sha2(F.array_join("said", "\n"), 256).alias("said_sha256"))
+
+
+@query()
+def company_briefings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole briefing of each scored company: axes by gap, costs by scenario, recommendations with their sources, gaps in the evidence."""
+    latest, key = history.totals(history.latest(A.runs(spark, sf_dir))), F.col("company_id")
+    users = A.companies(spark, sf_dir).select(key, "name", "headcount", A.pick(tuple(V.BASE_TOKENS), key % 7).alias("category"), F.when(key % 6 != 5, A.pick(tuple(V.API_PRICES), key % 6 % 5)).alias("provider"))
+    told = cost.estimates(users).withColumn("assumptions", cost.assumptions())
+    tco = told.groupBy("company_id").agg(F.collect_list(F.struct("scenario", "tokens", "api_usd", "gpu_usd", "savings_usd", "is_favorable", "assumptions")).alias("tco"))  # three each
+    tco = tco.select("company_id", F.array_sort("tco", lambda a, b: (a["tokens"] - b["tokens"]).cast("int")).alias("tco"))
+    line = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
+    cited = F.array(F.struct(F.when(F.col("p") % 3 != 0, F.concat(F.lit("Guia "), F.col("p").cast("string"))).alias("title"), F.concat(F.lit("https://k/"), F.col("p").cast("string")).alias("url")))
+    one = F.struct("n", "p", A.pick(_TECHNOLOGIES, F.col("p") % 5).alias("technology"), A.pick(V.AXES, F.col("p") % 4).alias("axis"), F.lit("alta").alias("priority"), F.lit("media").alias("complexity"), F.lit("T.").alias("technical"), F.lit("N.").alias("business"), F.lit("P.").alias("next_action"), cited.alias("citations"))
+    recommended = line.groupBy("run_id").agg(F.array_sort(F.collect_list(one)).alias("recommendations"))
+    signals = (F.lit(0.5), F.lit(1.0), F.lit(0.4), S.stage_signal(A.pick(A.STAGES, key % 6)))
+    act = S.capacity(*signals)
+    urgent = S.urgency(F.col("risk"), act, F.col("confidence"))
+    bucket = S.bucket(F.col("total"), F.col("confidence"), act, F.lit(None).cast("string"))
+    priority = F.struct(bucket.alias("bucket"), urgent.alias("urgency"), act.alias("capacity"), S.capacity_rationale(act, S.capacity_told(*signals), F.col("risk"), F.col("confidence")).alias("rationale"), F.lit("Ligar.").alias("next_step"))
+    whole = latest.join(users, "company_id").join(tco, "company_id", "left").join(recommended, "run_id", "left")
+    texts = {"generated_at": F.col("created_at").cast("timestamp"), "weights_version": F.lit("0.1.0"), "maturity": F.lit("ai_native"), "summary": F.lit("Resumo."), "priority": priority, "moat_plan": F.lit("Plano."), "starters": F.array().cast("array<string>"), "inception": F.lit(None).cast("string")}
+    rows = whole.withColumns(texts)
+    rows = rows.withColumn("caveats", briefings.evidence_gaps(F.lit(None).cast("array<string>"), F.col("axes"), F.col("tco"), key % 100 / 100, (key % 3).cast("int")))
+    return rows.select("company_id", F.sha2(briefings.markdown(F.col), 256).alias("markdown_sha256"), F.size("caveats").alias("n_gaps"))
+
+
+@query("SELECT doc_id, sha256('model-' || (doc_id % 2) || '|' || printf('%.4f', doc_id % 7 / 10.0::DOUBLE) || '|' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'max_tokens=' || (doc_id % 5) || ';top_p=0.9;' END || 'system' || chr(0) || lang || chr(1) || 'human' || chr(0) || coalesce(text, '') || chr(1)) AS fingerprint FROM documents")
+def call_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of calls about documents: a parameter that changes the answer changes the key."""
+    k = F.col("doc_id")
+    params = F.when(k % 3 != 0, F.create_map(F.lit("top_p"), F.lit("0.9"), F.lit("max_tokens"), (k % 5).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    said = F.array(F.struct(F.lit("system").alias("role"), F.col("lang").alias("content")), F.struct(F.lit("human").alias("role"), F.coalesce("text", F.lit("")).alias("content")))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.concat(F.lit("model-"), (k % 2).cast("string")), k % 7 / 10, params, said).alias("fingerprint"))
+
+
+@query(
+    "WITH n AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'collect' WHEN 1 THEN 'validate' WHEN 2 THEN 'classify' WHEN 3 THEN 'score' WHEN 4 THEN 'rag' ELSE 'recommend' END AS node, event_id % 4 AS k FROM events) SELECT event_id, CASE node WHEN 'collect' THEN CASE WHEN k > 0 THEN k || ' página(s) coletada(s)' END WHEN 'validate' THEN CASE WHEN k = 1 THEN 'evidência insuficiente, voltando a coletar' ELSE 'evidência suficiente' END WHEN 'classify' THEN CASE WHEN k <> 2 THEN 'ai_native' END WHEN 'score' THEN CASE WHEN k <> 3 THEN 'score ' || k || '.5 · eixo mais fraco: distribution' END WHEN 'rag' THEN k || ' trecho(s) da base NVIDIA' ELSE k || ' recomendação(ões) com citação verificada' END AS detail FROM n"
+)
+def step_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log says of each step."""
+    k = (F.col("event_id") % 4).cast("int")
+    node = A.pick(("collect", "validate", "classify", "score", "rag", "recommend"), F.col("event_id") % 6)
+    total = F.when(k != 3, (k + F.lit(0.5)).cast("decimal(4,1)"))
+    return A.table(spark, sf_dir, "events").select("event_id", briefings.step_detail(node, k, k == 1, F.when(k != 2, "ai_native"), total, F.lit("distribution"), k, k).alias("detail"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Section ' || lang ELSE source END AS source_title, sha256(text) AS text_sha256, lang AS technology, doc_id / 8.0::DOUBLE AS rrf_score, CAST(NULL AS DOUBLE) AS rerank_score, 11 AS n_fields FROM documents")
+def chunk_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as a store keeps them, and as the readers of a search see them."""
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("u").alias("source_url"), F.col("source").alias("source_title"), F.col("lang").alias("technology"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Section "), F.col("lang"))).alias("section_title"))
+    kept = rows.select("doc_id", briefings.payload(rows.columns).alias("p"))
+    seen = kept.select("doc_id", "p", briefings.retrieved(F.col("p"), rrf_score=F.col("doc_id") / 8).alias("r"))
+    return seen.select("doc_id", "r.source_title", F.sha2("r.text", 256).alias("text_sha256"), "r.technology", "r.rrf_score", "r.rerank_score", F.lit(len(briefings.PAYLOAD)).alias("n_fields"))

@@ -159,4 +159,4 @@ def test_costs(spark, category, provider, headcount, scenario, tokens, gpu, usd,
     company = spark.createDataFrame([(category, provider, headcount)], "category string, provider string, headcount int")
     row = cost.estimates(company).where(F.col("scenario") == scenario).withColumn("a", cost.assumptions()).first()
     assert (row["tokens"], row["gpu"], row["gpu_usd"], row["savings_usd"]) == (tokens, gpu, usd, saved)
-    assert len(row["a"]) == (5 if tokens < 30_000_000 else 4)
+    assert len(row["a"]) == (9 if tokens < 30_000_000 else 8)
