@@ -2,8 +2,8 @@
 
 Search runs a stated set of queries against all rows: lexical search joins the
 queries' terms with an index of the documents' terms, which is made once and can
-be saved, loaded and upserted; dense search multiplies blocks of queries with
-blocks of vectors and keeps the best of each before anything else is shuffled.
+be saved, loaded and upserted; dense search takes a bounded number of queries to
+the vectors, or lets blocks of both meet, and passes on the best of each.
 """
 
 from __future__ import annotations
@@ -31,44 +31,83 @@ def term_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 @dataclass(frozen=True)
 class Index:
-    """A lexical index: ``postings`` (doc_id, term, tf, length) and ``documents`` (doc_id), those without terms too."""
+    """A lexical index: ``postings`` (doc_id, term, tf, length), ``documents`` (doc_id, length), those without terms too, and ``terms`` (term, df)."""
 
     postings: DataFrame
     documents: DataFrame
+    terms: DataFrame
+
+    def stored(self) -> "Index":
+        return Index(*(materialize(df, name) for df, name in ((self.postings, "postings"), (self.documents, "documents"), (self.terms, "terms"))))
+
+
+def counted(terms: Column) -> Column:
+    """``term, tf`` of a list of terms: the list is sorted, and each stretch of equal terms told by where it begins."""
+
+    def stretches(x: Column) -> Column:
+        s = x["s"]
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        placed = F.transform(F.array(F.struct(s.alias("s"), begins.alias("b"))), lambda y: F.transform(y["b"], lambda i, k: F.struct(F.get(y["s"], i).alias("term"), (F.coalesce(F.get(y["b"], k + 1), F.size(y["s"])) - i).cast("long").alias("tf"))))[0]
+        return F.when(F.size(s) > 0, placed).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return F.transform(F.array(F.struct(F.array_sort(terms).alias("s"))), stretches)[0]
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """Texts are dealt by document once; counting terms and lengths then moves nothing."""
-    terms = docs.select(F.col(key).alias("doc_id"), text).repartition("doc_id").select("doc_id", F.explode(tokens(F.col(text))).alias("term"))
-    counted = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    length = F.sum("tf").over(Window.partitionBy("doc_id"))
-    return Index(materialize(counted.withColumn("length", length), "postings"), docs.select(F.col(key).alias("doc_id")).distinct())
+    """Terms are counted where their document is read: no text moves, and what is shuffled is a count a term."""
+    lists = materialize(docs.select(F.col(key).alias("doc_id"), counted(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).alias("terms")), "lists")
+    length = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"])
+    sized = lists.select("doc_id", "terms", length.alias("length"))
+    postings = sized.select("doc_id", "length", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.tf", "length")
+    return Index(postings, sized.select("doc_id", "length").distinct(), materialize(_terms(postings), "terms"))
+
+
+_KNOWN: dict[tuple, Index] = {}
+
+
+def index_once(docs: DataFrame) -> Index:
+    """The index of a table's documents (doc_id, text), made the first time that this application asks for it; the table's files are its name."""
+    name = (docs.sparkSession.sparkContext.applicationId, tuple(sorted(docs.inputFiles())))
+    if name not in _KNOWN:
+        _KNOWN[name] = index_of(docs)
+    return _KNOWN[name]
 
 
 def save_index(index: Index, path: str) -> None:
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load_index(spark, path: str) -> Index:
     """A saved index, or an empty one where nothing was saved."""
-    return Index(read_index(spark, f"{path}/postings", "doc_id long, term string, tf long, length long"), read_index(spark, f"{path}/documents", "doc_id long"))
+    return Index(read_index(spark, f"{path}/postings", "doc_id long, term string, tf long, length long"), read_index(spark, f"{path}/documents", "doc_id long, length long"), read_index(spark, f"{path}/terms", "term string, df long"))
 
 
 def upsert(index: Index, docs: DataFrame) -> Index:
-    """``index`` with ``docs``, which replace those of the same id."""
+    """``index`` with ``docs``, which replace those of the same id; only the terms of replaced and new documents are counted again."""
     new = index_of(docs)
-    old = lambda df: df.join(new.documents, "doc_id", "left_anti")
-    return Index(old(index.postings).unionByName(new.postings), old(index.documents).unionByName(new.documents))
+    old = lambda df: df.join(new.documents.select("doc_id"), "doc_id", "left_anti")
+    gone = _terms(index.postings.join(new.documents.select("doc_id"), "doc_id", "left_semi")).select("term", (-F.col("df")).alias("df"))
+    terms = index.terms.unionByName(new.terms).unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    return Index(old(index.postings).unionByName(new.postings), old(index.documents).unionByName(new.documents), terms)
 
 
 def term_stats(index: Index) -> DataFrame:
     """``term, df, idf``: in how many documents a term is, and its weight; a negative weight becomes a share of the mean weight."""
+    return _weighed(index, index.terms)
+
+
+def _weighed(index: Index, terms: DataFrame) -> DataFrame:
+    """``term, df, idf`` of some of the index' terms; the mean that common terms fall back to is that of all."""
     n = index.documents.count()
-    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    return idf.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, V.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = index.terms.agg(F.avg(raw)).first()[0]
+    return terms.select("term", "df", F.when(raw < 0, V.BM25_EPSILON * F.lit(mean)).otherwise(raw).alias("idf"))
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -79,10 +118,10 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id
 
 def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     """``query_id, doc_id, score`` (six places) of the documents that share a term with a query (query_id, text)."""
-    n = index.documents.count()
-    mean = (index.postings.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
+    n, total = index.documents.agg(F.count("*"), F.sum("length")).first()
+    mean = (total or 0) / max(n, 1)
     asked = term_lists(queries, "query_id").select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(term_stats(index), "term")
+    wanted = asked.join(_weighed(index, index.terms.join(asked.select("term").distinct(), "term", "left_semi")), "term")
     norm = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.lit(mean))
     part = F.col("times") * F.col("idf") * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + norm)
     return index.postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -110,14 +149,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def _unit(vectors) -> np.ndarray:
+    """Vectors (an Arrow list column) as rows of length one."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(queries: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and cosines (six places) of the ``k`` nearest vectors of each query; ``keys`` ascend, so ties go to the smallest."""
+    near_keys, near_scores = [], []
+    for at in range(0, len(queries), 256):
+        scores = np.round(queries[at : at + 256] @ vectors.T, 6)
+        near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        near_keys.append(keys[near])
+        near_scores.append(np.take_along_axis(scores, near, 1))
+    return np.concatenate(near_keys), np.concatenate(near_scores)
+
+
+NEAR = "query_id long, doc_id long, score double"
+
+
+def _near_table(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.ravel()), pa.array(scores.ravel())]
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", vector: str = "embedding", most: int = QUERIES) -> DataFrame:
     """``query_id, doc_id, score, rank`` of the ``k`` nearest vectors by cosine (six places) of each query (query_id, vector).
 
-    Queries and vectors are dealt into blocks of bounded size, and each two
-    blocks meet in one task, which keeps the best ``k`` of each query.
+    Up to ``most`` queries go to the tasks, which read vectors where they are
+    and pass on the best ``k`` of each query: no vector moves.  More queries
+    are dealt into blocks, and so are vectors; each two blocks meet in one task.
     """
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(vector).alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).alias("v"))
+    held = asked.limit(most + 1).toArrow()
+    if held.num_rows > most:
+        return top_k(_between_blocks(rows, asked, k), k)
+    if not held.num_rows:
+        return top_k(rows.sparkSession.createDataFrame([], NEAR), k)
+    ids, left = held.column("query_id").to_numpy(), _unit(held.column("v").combine_chunks())
+
+    def best(batches):
+        keys, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            order = np.argsort(own, kind="stable")
+            found = _nearest(left, own[order], _unit(batch.column(1))[order], k) if len(own) else (keys[:, :0], scores[:, :0])
+            keys, scores = np.concatenate([keys, found[0]], axis=1), np.concatenate([scores, found[1]], axis=1)
+            by = np.lexsort((keys, -scores), axis=1)[:, :k]
+            keys, scores = np.take_along_axis(keys, by, 1), np.take_along_axis(scores, by, 1)
+        yield pa.RecordBatch.from_arrays(_near_table(ids, keys, scores), names=["query_id", "doc_id", "score"])
+
+    return top_k(rows.mapInArrow(best, NEAR), k)
+
+
+def _between_blocks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each block of vectors for each query, however many queries there are."""
     many = lambda df, size: max(1, -(-df.count() // size))
     of_rows, of_asked = many(rows, ROWS), many(asked, QUERIES)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -128,24 +215,11 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_
         names = ["query_id", "doc_id", "score"]
         if not asked.num_rows or not rows.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        rows = rows.sort_by("doc_id")
+        found = _nearest(_unit(asked.column("v").combine_chunks()), rows.column("doc_id").to_numpy(), _unit(rows.column("v").combine_chunks()), k)
+        return pa.table(_near_table(asked.column("query_id").to_numpy(), *found), names=names)
 
-        def unit(column):
-            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64).reshape(len(column), -1)
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-        ids, keys = asked.column("query_id").to_numpy(), rows.column("doc_id").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        right = unit(rows.column("v"))[order].T
-        left = unit(asked.column("v"))
-        found = []
-        for at in range(0, len(ids), 256):
-            scores = np.round(left[at : at + 256] @ right, 6)
-            near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            found.append((np.repeat(ids[at : at + 256], near.shape[1]), keys[order][near].ravel(), np.take_along_axis(scores, near, 1).ravel()))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
-
-    met = sought.groupBy("q", "r").cogroup(placed.groupBy("q", "r")).applyInArrow(best, "query_id long, doc_id long, score double")
-    return top_k(met, k)
+    return sought.groupBy("q", "r").cogroup(placed.groupBy("q", "r")).applyInArrow(best, NEAR)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:

@@ -65,14 +65,18 @@ def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("doc_id", F.col("length").cast("long").alias("length"), F.size(F.array_distinct("terms")).cast("long").alias("different"), F.coalesce(F.array_min("terms"), F.lit("")).alias("least"))
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(
+    f"""WITH lists AS ({_terms('documents', 'doc_id')}), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM lists) GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n), mean AS (SELECT avg(raw) AS mean FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN {V.BM25_EPSILON}::DOUBLE * mean ELSE raw END, 6) AS idf FROM raw, mean"""
+)
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.term_stats(retrieval.index_of(_docs(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.term_stats(retrieval.index_once(_docs(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(retrieval.bm25_scores(retrieval.index_of(_docs(spark, sf_dir)), _questions(spark, sf_dir)), TOP)
+    return retrieval.top_k(retrieval.bm25_scores(retrieval.index_once(_docs(spark, sf_dir)), _questions(spark, sf_dir)), TOP)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical")
@@ -92,7 +96,7 @@ def bm25_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_filtered_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty best, then those in two languages, then ten best: in this order."""
     docs = _docs(spark, sf_dir)
-    return retrieval.bm25_filtered(retrieval.index_of(docs), docs, _questions(spark, sf_dir), 10, F.col("lang").isin("en", "fr")).select("query_id", "doc_id", "score", "rank")
+    return retrieval.bm25_filtered(retrieval.index_once(docs), docs, _questions(spark, sf_dir), 10, F.col("lang").isin("en", "fr")).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM dense")
@@ -112,7 +116,7 @@ def _fused(spark, sf_dir) -> DataFrame:
     questions, vectors = _questions(spark, sf_dir), _vectors(spark, sf_dir)
     asked = _asked(vectors).join(A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
     dense = retrieval.dense_top_k(vectors, asked, TOP)
-    lexical = retrieval.top_k(retrieval.bm25_scores(retrieval.index_of(_docs(spark, sf_dir)), questions), TOP)
+    lexical = retrieval.top_k(retrieval.bm25_scores(retrieval.index_once(_docs(spark, sf_dir)), questions), TOP)
     return retrieval.fuse(dense, lexical, TOP)
 
 
