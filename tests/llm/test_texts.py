@@ -23,14 +23,27 @@ def read(spark, sf_dir, name):
 
 def test_automaton_knows_all_substrings():
     text = [random.Random(3).randrange(3) for _ in range(60)]
-    table = language.automaton(text, 3).reshape(-1, 3)
+    rows = language.Rows(language.automaton(text), 3)
     known = {tuple(text[i:j]) for i in range(60) for j in range(i + 1, min(60, i + 6) + 1)}
     for n in range(1, 6):
         for word in itertools.product(range(3), repeat=n):
-            state = 0
-            for c in word:
-                state = table[state, c] if state >= 0 else -1
-            assert (state >= 0) == (word in known)
+            state, whole = np.zeros(1, np.int32), True
+            for i, c in enumerate(word):
+                state, new = rows.step(state, np.array([c]))
+                whole &= bool(new[0]) == (i == 0) and state[0] > 0
+            assert whole == (word in known)
+
+
+def test_rows_hold_all_transitions_whatever_the_alphabet():
+    r = random.Random(8)
+    text = [r.randrange(3000) if r.random() < 0.5 else r.randrange(20) for _ in range(20_000)]
+    follow = language.automaton(text)
+    rows = language.Rows(follow, 3000)
+    for s in r.sample(range(len(follow)), 3000):
+        for c in [*follow[s], *(r.randrange(3001) for _ in range(5))]:
+            at = rows.base[s] + c
+            assert (rows.target[at] if rows.owner[at] == s else -1) == follow[s].get(c, -1)
+    assert len(rows.owner) < 5 * sum(map(len, follow))
 
 
 def brute_phrases(text, sample):
@@ -54,6 +67,29 @@ def test_phrases_are_longest_matches():
     assert parser.phrases(coded)[:, 0].tolist() == [brute_phrases("".join(map(chr, c)), known) for c in coded]
 
 
+@pytest.mark.parametrize("kind", ["random", "period", "unknown"])
+def test_pieces_make_the_parse_of_the_whole(monkeypatch, kind):
+    monkeypatch.setattr(language, "PIECE", 16)
+    r = random.Random(7)
+    sample = "".join(r.choice("abc") for _ in range(60)) + "abcabcabcabd" * 4
+    make = {"random": lambda n: "".join(r.choice("abc") for _ in range(n)), "period": lambda n: ("abcabcabcabd" * n)[:n], "unknown": lambda n: "".join(r.choice("abcx") for _ in range(n))}[kind]
+    parser = language.Parser({"x": [language.letters(sample)], "y": [language.letters("bca" * 30)]})
+    texts = [make(n) for n in (0, 1, 15, 16, 17, 32, 33, 200, 333, 1000)]
+    coded = [language.letters(t) for t in texts]
+    for k, own in enumerate((sample, "bca" * 30)):
+        assert parser.phrases(coded)[:, k].tolist() == [brute_phrases(t, own + " ") for t in texts]
+
+
+def test_many_letters_and_languages_stay_small():
+    r = random.Random(1)
+    wide = np.array([r.randrange(0x4E00, 0x4E00 + 3000) for _ in range(language.SYMBOLS)], np.int32)
+    parsers = [language.Parser({"zh": [wide], "en": [language.letters("the quick brown fox " * 100)]})]
+    each = language.ALL_SYMBOLS // 500
+    parsers.append(language.Parser({f"l{i}": [np.array([r.randrange(97, 123) for _ in range(each)], np.int32)] for i in range(500)}))
+    for parser in parsers:
+        assert sum(a.nbytes for rows in parser.rows for a in (rows.base, rows.owner, rows.target, rows.root)) + sum(c.nbytes for c in parser.codes) < 200 << 20
+
+
 def test_languages_held_out(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text", F.col("lang").alias("truth")), language.train(docs)).where(held_out(3, 1)).collect()
@@ -80,11 +116,12 @@ def test_samples_are_drawn_from_distinct_texts(spark):
 
 
 def test_symbols_are_shared_and_languages_are_not_dropped(spark):
-    assert language.shares([5, 100, 2, 100], 67) == [5, 30, 2, 30] and language.shares([3, 4], 99) == [3, 4] and language.shares([], 9) == []
     learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
     rows = [(learned[i], "x" * 60_000 if i == 0 else f"{chr(97 + i)}{chr(98 + i)} " * 20, "aa") for i in range(20)]
     parser = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(map(chr, parser.alphabet)) >= set("bcdefghijklmnopqrst")
+    late = language.train(spark.createDataFrame([(learned[0], "a" * 5000 + "z" * 200_000, "aa")], "doc_id long, text string, lang string"))
+    assert ord("z") in late.alphabet  # passages are drawn from all of a text
     many = [(i, f"texto {i}", f"l{i % 65}") for i in range(650)]
     assert len(language.train(spark.createDataFrame(many, "doc_id long, text string, lang string")).names) == 65
 
