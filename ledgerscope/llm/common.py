@@ -24,8 +24,13 @@ BLOCK_CHARS = 1_000_000
 BATCH_BYTES = 2 << 20
 
 
-def bucketed(df: DataFrame, by: str, files: int) -> DataFrame:
-    """``df`` as a table in the shared folder, in ``files`` buckets of column ``by``: later joins and groups on it don't move it."""
+#: Buckets that Spark lets a table have (spark.sql.sources.bucketing.maxBuckets); with more data each bucket grows.
+MOST_BUCKETS = 100_000
+
+
+def bucketed(df: DataFrame, by: str, files: int, most: int = MOST_BUCKETS) -> DataFrame:
+    """``df`` as a table in the shared folder, in ``files`` buckets (``most`` at most) of column ``by``: later joins and groups on it don't move it."""
+    files = min(files, most)
     name = f"t{uuid.uuid4().hex}"
     df.write.format("parquet").bucketBy(files, by).option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
     return df.sparkSession.table(name)

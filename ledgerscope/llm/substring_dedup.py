@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import BLOCK_CHARS, U64, as_long, block_words, bucketed, mix, small_batches, window_hashes, within_texts
+from .common import BLOCK_CHARS, MOST_BUCKETS, U64, as_long, block_words, bucketed, mix, small_batches, window_hashes, within_texts
 
 WINDOW = 13
 #: Bytes of text of a group, and of a bucket, which holds a few groups.
@@ -54,9 +54,9 @@ def _group_of(row, groups: int):
     return F.pmod(F.xxhash64(row), F.lit(groups)).cast("int")
 
 
-def _dealt(docs: DataFrame, size: int, groups: int) -> DataFrame:
-    """``docs`` with packed texts, a number for each row (``__row``) and its group (``__grp``), in buckets of groups."""
-    files = max(1, -(-size // BUCKET))
+def _dealt(docs: DataFrame, size: int, groups: int, most: int = MOST_BUCKETS) -> DataFrame:
+    """``docs`` with packed texts, a number for each row (``__row``) and its group (``__grp``), in buckets of groups; groups keep their size when buckets can't be more."""
+    files = min(most, max(1, -(-size // BUCKET)))
     packed = _packed(docs, docs.columns.index("text")).withColumn("__row", F.monotonically_increasing_id())
     return bucketed(packed.withColumn("__grp", _group_of("__row", groups)).repartition(files, "__grp"), "__grp", files)
 

@@ -259,3 +259,10 @@ def test_partners_are_allocated_where_keys_cost_more(spark, near_table, near_cop
     monkeypatch.setattr(ngram_join, "_partners", lambda costly, *rest: seen.append(costly.count()) or partners(costly, *rest))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(near_table).collect()}
     assert got == brute_components(near_copies) and seen[0] > 0
+
+
+def test_few_buckets_change_no_result(near_table):
+    docs = near_table.select("doc_id", "text")
+    size = 6 * substring_dedup.BUCKET  # as if the texts were larger: six buckets, if two weren't the most
+    runs = [{tuple(r) for r in substring_dedup.repeated_runs(substring_dedup._dealt(docs, size, 12, most=most), size, 12).groupBy("row").agg(F.sum("n")).collect()} for most in (2, 100)]
+    assert [len(r) for r in runs] == [len(runs[0])] * 2 and len(runs[0]) > 0
