@@ -1,11 +1,18 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags.  Each block has its number of
-words and its share of words in links, those of the block before and after it,
-whether it stands in a container that names itself as page furniture (by tag,
-class, id or role: whole names, and none of html, body, main and article) and
-whether it stands in the article.  A decision tree
-trained here on ``TAUGHT`` keeps the blocks of the article.
+words and its share of words in links, the words and link share of the up to
+``NEAR`` blocks before and after it that stand with it (in the same article or
+section, on the same side of any furniture), whether it stands in page
+furniture, and whether it stands in the article.  A decision tree trained here
+on ``TAUGHT`` keeps the blocks of the article: long ones for what they are,
+short ones by their neighbours.
+
+An element is furniture by its tag, or if its class, id or role is a whole name
+of some; but an element that holds more than three quarters of the page's words outside
+of links is none, whatever it is called: forms and notices around whole pages
+hide no article.  Where the tree keeps less than half of the words outside of
+furniture and links, all blocks there that aren't mostly links are the text.
 
 Character references are decoded, white space inside a block (line breaks too)
 becomes one space, and kept blocks are joined in page order by one newline.
@@ -48,10 +55,14 @@ ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|post|entry|story|content|body
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HOLDERS = frozenset("html body div section article main ul ol dl table tbody thead tr td th details figure blockquote".split()) | FURNITURE_TAGS
 
-#: Labelled blocks: words, link share, the same of the block before and after, in furniture, in the article, kept.
+#: Tags that part a block's neighbours from others.
+SECTIONS = frozenset("article main section".split())
+#: Blocks before and after that are a block's neighbours.
+NEAR = 4
+#: Labelled blocks: words, link share, the same of the neighbours before and after, in furniture, in the article, kept.
 TAUGHT = (
-    (12, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1),
-    (40, 0.0, 12, 0.0, 30, 0.0, 0, 1, 1),
+    (12, 0.0, 0, 0.0, 140, 0.0, 0, 1, 1),
+    (40, 0.0, 12, 0.0, 90, 0.0, 0, 1, 1),
     (1, 0.0, 40, 0.0, 1, 0.0, 0, 1, 1),
     (1, 0.0, 1, 0.0, 60, 0.0, 0, 1, 1),
     (3, 0.0, 90, 0.05, 0, 0.0, 0, 1, 1),
@@ -59,11 +70,38 @@ TAUGHT = (
     (25, 0.4, 60, 0.0, 80, 0.0, 0, 1, 1),
     (8, 0.0, 3, 1.0, 8, 0.0, 0, 1, 1),
     (700, 0.0, 5, 1.0, 12, 0.0, 0, 1, 1),
+    (2, 0.0, 9, 0.0, 0, 0.0, 0, 1, 1),
+    (2, 0.0, 0, 0.0, 9, 0.0, 0, 1, 1),
+    (4, 0.0, 3, 0.0, 20, 0.0, 0, 1, 1),
+    (3, 0.0, 20, 0.0, 4, 0.0, 0, 1, 1),
+    (5, 0.0, 7, 0.0, 7, 0.0, 0, 1, 1),
+    (6, 0.0, 0, 0.0, 8, 0.0, 0, 1, 1),
+    (9, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1),
+    (9, 0.0, 3, 0.0, 0, 0.0, 0, 1, 1),
+    (8, 0.8, 50, 0.0, 60, 0.0, 0, 1, 1),
+    (12, 0.7, 90, 0.1, 70, 0.0, 0, 1, 1),
+    (3, 0.0, 0, 0.0, 2, 0.0, 0, 1, 1),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 1, 1),
+    (1, 0.0, 2, 0.0, 0, 0.0, 0, 1, 1),
+    (1, 0.0, 1, 0.0, 0, 0.0, 0, 1, 1),
+    (1, 0.0, 0, 0.0, 1, 0.0, 0, 1, 1),
+    (5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 1),
+    (7, 0.0, 113, 0.0, 0, 0.0, 0, 1, 1),
+    (8, 0.0, 12, 0.0, 0, 0.0, 0, 1, 1),
+    (4, 0.0, 3, 0.0, 0, 0.0, 0, 1, 1),
+    (6, 0.0, 2, 0.0, 0, 0.0, 0, 1, 1),
+    (6, 0.0, 0, 0.0, 4, 0.0, 0, 1, 1),
+    (8, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1),
+    (8, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0),
+    (6, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0),
+    (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0),
     (6, 1.0, 60, 0.0, 5, 1.0, 0, 1, 0),
     (4, 1.0, 5, 1.0, 5, 1.0, 0, 1, 0),
     (9, 0.9, 80, 0.0, 0, 0.0, 0, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0),
+    (1, 1.0, 0, 0.0, 3, 1.0, 1, 0, 0),
+    (1, 1.0, 3, 1.0, 3, 1.0, 1, 0, 0),
     (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0),
     (30, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0),
     (25, 0.1, 150, 0.0, 0, 0.0, 1, 0, 0),
@@ -71,6 +109,11 @@ TAUGHT = (
     (45, 0.0, 20, 0.0, 50, 0.0, 1, 1, 0),
     (2, 0.0, 3, 0.0, 4, 0.0, 1, 0, 0),
     (200, 0.0, 40, 0.0, 40, 0.0, 1, 0, 0),
+    (20, 0.0, 1, 1.0, 90, 0.0, 1, 0, 0),
+    (5, 0.0, 3, 1.0, 60, 0.0, 1, 0, 0),
+    (2, 1.0, 1, 1.0, 70, 0.0, 1, 1, 0),
+    (60, 0.0, 5, 0.0, 80, 0.0, 1, 0, 0),
+    (3, 0.0, 70, 0.0, 50, 0.0, 1, 1, 0),
     (60, 0.0, 8, 0.0, 70, 0.02, 0, 0, 1),
     (90, 0.1, 60, 0.0, 5, 0.5, 0, 0, 1),
     (35, 0.05, 3, 1.0, 80, 0.0, 0, 0, 1),
@@ -86,13 +129,10 @@ TAUGHT = (
     (6, 0.0, 0, 0.0, 95, 0.0, 0, 0, 1),
     (40, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1),
     (25, 0.0, 60, 0.0, 1, 0.0, 0, 0, 1),
-    (40, 0.0, 40, 0.0, 1, 0.0, 0, 0, 1),
     (30, 0.05, 1, 0.0, 3, 0.0, 0, 0, 1),
     (55, 0.1, 5, 0.0, 0, 0.0, 0, 0, 1),
     (18, 0.0, 2, 0.0, 3, 0.0, 0, 0, 1),
-    (90, 0.0, 2, 0.0, 5, 0.0, 0, 0, 1),
     (22, 0.0, 30, 0.0, 6, 1.0, 0, 0, 1),
-    (35, 0.0, 80, 0.0, 2, 0.5, 0, 0, 1),
     (14, 0.0, 35, 0.0, 28, 0.0, 0, 0, 1),
     (45, 0.3, 2, 1.0, 3, 1.0, 0, 0, 1),
     (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0),
@@ -103,18 +143,11 @@ TAUGHT = (
     (12, 0.8, 60, 0.0, 50, 0.0, 0, 0, 0),
     (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0),
     (6, 0.0, 3, 0.5, 2, 0.0, 0, 0, 0),
-    (20, 0.0, 1, 1.0, 90, 0.0, 1, 0, 0),
-    (5, 0.0, 3, 1.0, 60, 0.0, 1, 0, 0),
-    (2, 1.0, 1, 1.0, 70, 0.0, 1, 1, 0),
-    (60, 0.0, 5, 0.0, 80, 0.0, 1, 0, 0),
-    (3, 0.0, 70, 0.0, 50, 0.0, 1, 1, 0),
     (5, 0.0, 2, 1.0, 3, 0.0, 0, 0, 0),
     (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0),
     (4, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0),
     (6, 0.0, 120, 0.0, 4, 1.0, 0, 0, 0),
     (3, 0.0, 50, 0.0, 6, 0.9, 0, 0, 0),
-    (8, 0.8, 50, 0.0, 60, 0.0, 0, 1, 1),
-    (12, 0.7, 90, 0.1, 70, 0.0, 0, 1, 1),
     (3, 1.0, 4, 1.0, 3, 1.0, 0, 0, 0),
     (10, 0.8, 3, 1.0, 4, 0.9, 0, 0, 0),
     (40, 0.9, 30, 0.9, 20, 1.0, 0, 0, 0),
@@ -123,7 +156,7 @@ TAUGHT = (
 )
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10):
     """A decision tree by Gini impurity: (feature, threshold, low, high) or the label of a leaf."""
     if depth == 0 or len(set(y.tolist())) < 2:
         return int(y.mean() >= 0.5)
@@ -155,19 +188,19 @@ def kept(features) -> bool:
     return bool(node)
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, in furniture, in the article) of the page's blocks."""
+def blocks_of(page: str) -> list[tuple[str, int, int, tuple[int, ...], bool, int]]:
+    """(text, words, words in links, furniture elements around it, in the article, article or section around it) of the page's blocks."""
     out, parts, linked = [], [], 0
-    holders: list[tuple[str, bool, bool]] = []
-    furniture = article = False
-    links = 0
+    holders: list[tuple[str, tuple[int, ...], bool, int]] = []
+    furniture, article, section = (), False, 0
+    links = number = 0
 
     def close():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, len(text.split(" ")), linked, furniture, article))
+                out.append((text, len(text.split(" ")), linked, furniture, article, section))
             parts.clear()
         linked = 0
 
@@ -201,17 +234,52 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     del holders[i:]
                     break
         elif not m["with"].rstrip().endswith("/"):
+            number += 1
             names = " ".join(a or b or c for a, b, c in NAMED.findall(m["with"])) if m["with"] else ""
-            holders.append((tag, furniture or tag in FURNITURE_TAGS or tag not in NEVER_FURNITURE and any(map(FURNITURE_NAME.fullmatch, names.split())), article or tag in ("article", "main") or bool(ARTICLE.search(names))))
-        furniture, article = holders[-1][1:] if holders else (False, False)
+            named = tag in FURNITURE_TAGS or tag not in NEVER_FURNITURE and any(map(FURNITURE_NAME.fullmatch, names.split()))
+            holders.append((tag, (*furniture, number) if named else furniture, article or tag in ("article", "main") or bool(ARTICLE.search(names)), number if tag in SECTIONS or named else section))
+        furniture, article, section = holders[-1][1:] if holders else ((), False, 0)
     close()
     return out
 
 
+def features(found: list) -> list[tuple]:
+    """What the tree sees of each block."""
+    inside: dict[int, int] = {}
+    total = 0
+    for _, words, links, around, _, _ in found:
+        total += words - links
+        for number in around:
+            inside[number] = inside.get(number, 0) + words - links
+    furniture = [tuple(n for n in b[3] if 4 * inside[n] <= 3 * total) for b in found]
+    sums = [(0, 0)]
+    for b in found:
+        sums.append((sums[-1][0] + b[1], sums[-1][1] + b[2]))
+    place = [(b[5], around) for b, around in zip(found, furniture, strict=True)]
+
+    def near(low: int, high: int) -> tuple[int, float]:
+        words, links = (sums[high][k] - sums[low][k] for k in (0, 1))
+        return words, links / words if words else 0.0
+
+    seen = []
+    for i, b in enumerate(found):
+        low = high = i
+        while low > 0 and i - low < NEAR and place[low - 1] == place[i]:
+            low -= 1
+        while high + 1 < len(found) and high - i < NEAR and place[high + 1] == place[i]:
+            high += 1
+        seen.append((b[1], b[2] / b[1], *near(low, i), *near(i + 1, high + 1), bool(furniture[i]), b[4]))
+    return seen
+
+
 def main_text(page: str | None) -> str:
     found = blocks_of(page or "")
-    figures = [(0, 0.0), *((n, links / n) for _, n, links, _, _ in found), (0, 0.0)]
-    return "\n".join(b[0] for i, b in enumerate(found) if kept((*figures[i + 1], *figures[i], *figures[i + 2], b[3], b[4])))
+    seen = features(found)
+    chosen = [kept(f) for f in seen]
+    plain = [not f[6] and f[1] < 0.5 for f in seen]
+    words = lambda those: sum(b[1] for b, x in zip(found, those, strict=True) if x)
+    text = chosen if 2 * words(chosen) >= words(plain) else plain
+    return "\n".join(b[0] for b, x in zip(found, text, strict=True) if x)
 
 
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:

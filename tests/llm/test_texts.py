@@ -376,7 +376,61 @@ def test_the_tree_looks_at_neighbours():
     plain = lambda *blocks: "<html><body>" + "".join(blocks) + "</body></html>"
     long = f"<p>{'word ' * 40}</p>"
     assert "Sub title" in html_text.main_text(plain(long, "<h2>Sub title</h2>", long))
-    assert "Sub title" not in html_text.main_text(plain("<p>Next</p>", "<p>Sub title</p>", "<p>Other</p>"))
+    assert "Sub title" not in html_text.main_text(plain(f"<section>{long}</section>", "<section><p>Next</p><p>Sub title</p><p>Other</p></section>"))
+
+
+def test_neighbours_decide_on_the_given_pages(spark, sf_dir):
+    ways = list(itertools.product((0, 100), (0, 1), (0, 3, 100), (0, 1)))
+    seen = [f for r in read(spark, sf_dir, "pages").collect() for f in html_text.features(html_text.blocks_of(r["html"]))]
+    moved = sum(any(html_text.kept((*f[:2], *way, *f[6:])) != html_text.kept(f) for way in ways) for f in seen)
+    assert 50 * moved >= len(seen)
+
+
+WORDS = "palavra " * 60
+ARTICLE_OF = f"<h1>Um título</h1><p>{WORDS}</p><p>Sim.</p><p>{WORDS}</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form action=x>{ARTICLE_OF}</form></body>",
+        f'<body><div class="content share">{ARTICLE_OF}</div></body>',
+        f'<body><div class="article-body search">{ARTICLE_OF}</div></body>',
+        f'<div class="login article">{ARTICLE_OF}</div>',
+        f"<body><nav><a href=x>Home</a> <a href=y>Mais</a><main>{ARTICLE_OF}</main></body>",
+        f'<article><div id="related">{ARTICLE_OF}</div></article>',
+        f'<body><form><nav><a href=x>Home</a></nav><article>{ARTICLE_OF}</article><aside><p>Outra coisa ao lado do texto</p></aside></form></body>',
+    ],
+)
+def test_what_encloses_the_page_hides_no_article(page):
+    assert html_text.main_text(page).split("\n") == ["Um título", WORDS.strip(), "Sim.", WORDS.strip()]
+
+
+def test_a_short_note_is_a_text():
+    assert html_text.main_text("<body><h1>Uma nota</h1><p>Tres palavras aqui</p><p>Mais quatro palavras agora</p><p>E o fim dela</p></body>").count("\n") == 3
+
+
+def test_golden_pages_of_many_layouts():
+    r = random.Random(12)
+    say = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 8))) for _ in range(n))
+    for _ in range(40):
+        parts = [say(r.randint(3, 9)), *(say(r.choice((2, 5, 20, 60, 120))) for _ in range(r.randint(3, 9)))]
+        body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:])
+        holder = r.choice(("<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', '<div id="content"><section>{}</section></div>'))
+        menu = r.choice(("<nav><ul>{}</ul></nav>", '<div class="menu">{}</div>', "<ul>{}</ul>")).format("".join(f"<li><a href=x>{say(2)}</a></li>" for _ in range(8)))
+        side = r.choice(("", '<aside><p>{}</p></aside>', '<div class="sidebar"><p>{}</p></div>', '<div class="ad">{}</div>')).format(say(15))
+        foot = r.choice(("<footer>{}</footer>", '<div class="site-footer"><p>{}</p></div>')).format(say(12))
+        comments = r.choice(("", f'<section class="comments"><p>{say(30)}</p><p>{say(4)}</p></section>'))
+        page = f"<html><head><title>t</title></head><body>{menu}{side}{holder.format(body)}{comments}{foot}</body></html>"
+        if sum(len(x.split()) for x in parts) > 60:
+            assert html_text.main_text(page).split("\n") == parts
+
+
+def test_repeated_and_very_long_pages(spark):
+    long = "<article>" + "<p>uma linha de texto com algumas palavras</p>" * 40_000 + "</article>"
+    rows = [(1, "u", long), (1, "u", long), (2, "u", "<div>" * 5000 + "<p>fundo da pagina com muitas palavras de texto</p>")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["text"].count("\n") for r in got) == [0, 39_999, 39_999] and len(got) == 3
 
 
 @pytest.mark.parametrize("body", ['<body class="has-sidebar">', '<body class="no-sidebar post">', '<body class="comments-open single">', '<body id="page"><main class="page-header-fixed">', '<body><article class="post no-comments">'])
