@@ -5,6 +5,8 @@ All of it stays in the JVM.  Null in, null out, unless a docstring says otherwis
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from html.entities import html5
 
@@ -14,18 +16,59 @@ from pyspark.sql import functions as F
 from ledgerscope import fixed_values as V
 
 
-def _folds() -> tuple[str, str]:
-    """Letters up to U+1FFF (Latin, Greek, Cyrillic) that decompose to one plain letter, and those letters."""
-    pairs = [(c, d) for c in map(chr, range(0xC0, 0x2000)) if c.isalpha() and len(d := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and d != c]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _plain_form(letter: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(x))
 
 
-_ACCENTED, _PLAIN = _folds()
+def _ranges(points: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
+#: Hangul syllables, which decompose by arithmetic, and surrogates, which are no letters.
+_SYLLABLES, _SURROGATES = range(0xAC00, 0xD7A4), range(0xD800, 0xE000)
+
+
+@functools.cache
+def _folds() -> tuple[str, str, str, list[str], list[str]]:
+    """Letters that decompose to one plain letter with those letters, marks that vanish, and letters that become several with those."""
+    forms = {c: d for p in range(0x80, sys.maxunicode + 1) if p not in _SYLLABLES and p not in _SURROGATES and (d := _plain_form(c := chr(p))) != c}
+    one = [c for c, d in forms.items() if len(d) == 1]
+    several = [c for c, d in forms.items() if len(d) > 1]
+    return "".join(one), "".join(forms[c] for c in one), _ranges([ord(c) for c, d in forms.items() if not d]), several, [forms[c] for c in several]
+
+
+def _unjoined(text: Column) -> Column:
+    """Each syllable as its two or three parts."""
+    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+    def parts(c: Column) -> Column:
+        n = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+        tail = n % 28
+        return F.concat(point(F.floor(n / 588) + 0x1100), point(F.floor(n % 588 / 28) + 0x1161), F.when(tail > 0, point(tail + 0x11A7)).otherwise(""))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("[\\x{ac00}-\\x{d7a3}]"), 0))
+    return F.aggregate(found, text, lambda t, c: F.replace(t, c, parts(c)))
 
 
 def fold(text: Column) -> Column:
-    """Letters without their accents."""
-    return F.translate(F.regexp_replace(text, "[\\x{300}-\\x{36f}]", ""), _ACCENTED, _PLAIN)
+    """Letters in their plain form: without accents, ligatures and wide or raised forms taken apart.
+
+    One letter for one is a translation; letters that become several are looked
+    up once for each different one that a text has.
+    """
+    one, plain, marks, several, forms = _folds()
+    bare = F.translate(F.regexp_replace(text, f"[{marks}]", ""), one, plain)
+    letters, told = F.split(F.lit("\x1f".join(several)), "\x1f"), F.split(F.lit("\x1f".join(forms)), "\x1f")
+    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"[{_ranges([ord(c) for c in several])}]"), 0))
+    apart = lambda text: F.aggregate(found(text), text, lambda t, c: F.replace(t, c, F.get(told, (F.array_position(letters, c) - 1).cast("int"))))
+    return F.transform(F.array(bare), lambda t: F.when(t.isNull() | t.rlike(r"^[\x00-\x{7f}]*$"), t).otherwise(_unjoined(apart(t))))[0]
 
 
 def squeeze(text: Column) -> Column:

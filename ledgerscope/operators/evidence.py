@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
-from ledgerscope.functions.text import contains_any, excerpt_hash, squeeze
+from ledgerscope.functions.text import contains_any, excerpt_hash, squeeze, tech_mentions
+from ledgerscope.functions.urls import domain_of
 
 #: Whole words inside an excerpt that a text has to have in a row before it is searched.
 KEY_WORDS = 4
@@ -33,6 +34,29 @@ def keyword_evidence(docs: DataFrame, words, most: int = 5, key: str = "doc_id")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("position"))).where(F.col("rank") <= most)
 
 
+def new_signals(pages: DataFrame, known: DataFrame, company: str = "company_id", page: str = "page_id", most: int = 2) -> DataFrame:
+    """Technologies that a company's pages (company, page, text) name in a paragraph and that aren't known of it yet: ``technology, rank, page, position, excerpt``.
+
+    Of each, the first ``most`` different paragraphs of the first page that has one.
+    """
+    named = paragraphs(pages, [company, page]).withColumn("technology", F.explode(tech_mentions(F.col("excerpt"))))
+    fresh = named.join(known.select(company, F.lower("technology").alias("technology")).distinct(), [company, "technology"], "left_anti")
+    first = fresh.groupBy(company, "technology").agg(F.min(page).alias(page))
+    once = first_of_each(fresh.join(first, [company, "technology", page]), [company, "technology", "excerpt"], ["position"])
+    rank = F.row_number().over(Window.partitionBy(company, "technology").orderBy("position"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= most).select(company, "technology", "rank", page, "position", "excerpt")
+
+
+def merged_results(results: DataFrame, per_domain: int = 1) -> DataFrame:
+    """Candidates of several searches (query, position, url, score): each address once, where it came first; then the best of each domain, domains by arrival."""
+    address = F.lower(F.regexp_replace("url", "/+$", ""))
+    once = first_of_each(results.withColumn("address", address), ["address"], ["query", "position"]).drop("address")
+    placed = once.withColumn("domain", domain_of(F.col("url")))
+    arrival = F.min(F.struct("query", "position")).over(Window.partitionBy("domain"))
+    best = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("score").desc(), "query", "position"))
+    return placed.withColumn("arrival", arrival).withColumn("place", best).where(F.col("place") <= per_domain)
+
+
 def literal_matches(texts: DataFrame, excerpts: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """``key, item`` of the excerpts that stand in a text, white space and case aside.
 

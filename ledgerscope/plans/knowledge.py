@@ -13,7 +13,7 @@ from ledgerscope.functions import text as T
 from ledgerscope.operators import chunking, evidence, ingest, merging, retrieval
 from ledgerscope.plans import adapters as A
 from ledgerscope.plans.registry import any_of, query, quoted
-from ledgerscope.sources.shared import shared_dir
+from ledgerscope.sources.shared import materialize, shared_dir
 
 TOP = 30
 _STOP = f"[{quoted(V.STOPWORDS)}]"
@@ -260,7 +260,7 @@ _MATCH = "match AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b
 def prune_non_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields whose evidence isn't literal become null, not false."""
     docs = _docs(spark, sf_dir)
-    match = evidence.literal_matches(docs, A.table(spark, sf_dir, "benchmark"))
+    match = materialize(evidence.literal_matches(docs, A.table(spark, sf_dir, "benchmark")), "matches")
     sector = docs.select("doc_id", F.lit("sector").alias("field"), F.array(F.col("doc_id") % 40, (F.col("doc_id") + 1) % 40).alias("evidence"))
     market = match.groupBy("doc_id").agg(F.collect_set("item_id").alias("evidence")).select("doc_id", F.lit("market").alias("field"), "evidence")
     fields = sector.unionByName(market).withColumn("value", F.col("field"))
@@ -280,6 +280,39 @@ def keyword_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = ", ".join(f"'{t}'" for t in V.TECH_TERMS)
 
 
+_N_TERMS = len(V.TECH_TERMS)
+
+
+@query(
+    f"""WITH t AS (SELECT unnest([{_TERMS}]) AS term), x AS (SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace('usa ' || [{_TERMS}][CAST((conv_id * 7 + turn) % {_N_TERMS} + 1 AS INT)] || ' com ' || [{_TERMS}][CAST((conv_id + turn * 3) % {_N_TERMS} + 1 AS INT)] || ' em producao', '[\\x00-\\x08\\x0e-\\x1f]', '', 'g'), '\\s+', ' ', 'g')), {V.EXCERPT_MOST}) AS excerpt FROM conversations),
+m AS (SELECT conv_id, turn, term, excerpt FROM x JOIN t ON regexp_matches(excerpt, '(^|[^\\w-])' || regexp_escape(term) || '([^\\w-]|$)') WHERE length(excerpt) >= {V.EXCERPT_LEAST}),
+fresh AS (SELECT * FROM m WHERE term <> [{_TERMS}][CAST(conv_id * 7 % {_N_TERMS} + 1 AS INT)])
+SELECT conv_id AS company_id, term AS technology, min(turn) AS page_id FROM fresh GROUP BY ALL"""
+)
+def new_tech_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technologies that a thread's turns name literally and that aren't known of it: the first turn that does."""
+    term = lambda n: A.pick(V.TECH_TERMS, n % _N_TERMS)
+    conv, turn = F.col("conv_id"), F.col("turn")
+    rows = A.table(spark, sf_dir, "conversations").select(conv.alias("company_id"), turn.alias("page_id"), F.concat(F.lit("usa "), term(conv * 7 + turn), F.lit(" com "), term(conv + turn * 3), F.lit(" em producao")).alias("text"))
+    known = rows.select("company_id").distinct().select("company_id", term(F.col("company_id") * 7).alias("technology"))
+    return evidence.new_signals(rows, known, most=1).select("company_id", "technology", "page_id")
+
+
+@query(
+    """WITH r AS (SELECT page_id % 7 AS query, page_id AS position, CASE WHEN page_id % 3 = 0 THEN upper(url) || '/' ELSE url END AS url, page_id * 7919 % 100 AS score FROM pages UNION ALL SELECT 7, page_id, url, 100 FROM pages WHERE page_id % 2 = 0),
+a AS (SELECT *, lower(rtrim(url, '/')) AS address FROM r), once AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY address ORDER BY query, position) = 1),
+d AS (SELECT *, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS domain FROM once)
+SELECT query, position, domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY score DESC, query, position) AS INTEGER) AS place FROM d QUALIFY place <= 2"""
+)
+def merged_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of eight searches as one list: an address once, two of each domain."""
+    pages = A.table(spark, sf_dir, "pages")
+    page = F.col("page_id")
+    first = pages.select((page % 7).alias("query"), page.alias("position"), F.when(page % 3 == 0, F.concat(F.upper("url"), F.lit("/"))).otherwise(F.col("url")).alias("url"), (page * 7919 % 100).alias("score"))
+    again = pages.where("page_id % 2 = 0").select(F.lit(7).cast("long").alias("query"), page.alias("position"), "url", F.lit(100).cast("long").alias("score"))
+    return evidence.merged_results(first.unionByName(again), per_domain=2).select("query", "position", "domain", "place")
+
+
 @query(
     f"WITH t AS (SELECT unnest([{_TERMS}]) AS term), x AS (SELECT conv_id, turn, lower(text || ' ' || CASE WHEN (conv_id + turn) % 4 = 0 THEN 'with' ELSE 'pre' END || CASE WHEN (conv_id + turn) % 2 = 0 THEN ' ' ELSE '-' END || [{_TERMS}][CAST((conv_id * 7 + turn) % {len(V.TECH_TERMS)} + 1 AS INT)] || '.') AS low FROM conversations), m AS (SELECT conv_id, turn, term FROM x JOIN t ON contains(low, term) WHERE regexp_matches(low, '(^|[^\\w\\x{{80}}-\\x{{10FFFF}}-])' || regexp_escape(term) || '([^\\w\\x{{80}}-\\x{{10FFFF}}-]|$)')) SELECT conv_id, turn, count(*) AS n, min(term) AS first_term FROM m GROUP BY ALL"
 )

@@ -160,3 +160,15 @@ def test_costs(spark, category, provider, headcount, scenario, tokens, gpu, usd,
     row = cost.estimates(company).where(F.col("scenario") == scenario).withColumn("a", cost.assumptions()).first()
     assert (row["tokens"], row["gpu"], row["gpu_usd"], row["savings_usd"]) == (tokens, gpu, usd, saved)
     assert len(row["a"]) == (9 if tokens < 30_000_000 else 8)
+
+
+def test_letters_in_their_plain_form(spark):
+    import sys
+    import unicodedata
+
+    plain = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    points = [p for p in range(1, sys.maxunicode + 1) if not 0xD800 <= p < 0xE000 and unicodedata.category(chr(p)) not in ("Cn", "Co")]
+    texts = ["|".join(map(chr, points[i : i + 400])) for i in range(0, len(points), 400)] + ["ﬁm ação", "", "１２ａ ㎏ ½ 한글 각"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.fold(F.col("t")).alias("f")).collect()
+    assert [r["i"] for r in got if r["f"] != plain(texts[r["i"]])] == []
+    assert spark.createDataFrame([(None,)], "t string").select(T.fold(F.col("t"))).first()[0] is None
