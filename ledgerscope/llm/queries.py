@@ -70,6 +70,12 @@ def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.stored(_table(spark, sf_dir, "documents")))
 
 
+@_query
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each shot of each stored text, with its times."""
+    return media.clips(media.stored(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @_query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
