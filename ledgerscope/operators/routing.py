@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
+from ledgerscope.functions.urls import netloc
 
 PROGRAM_ERRORS = ("TypeError", "KeyError", "AttributeError", "NameError", "ImportError", "IndexError", "UnboundLocalError", "NotImplementedError")
 
@@ -57,6 +59,28 @@ def run_stage(companies: DataFrame, node: str, key: str, work: Callable[[dict],
     return done.where(F.col("__error").isNull()).select(*columns, result), failures
 
 
+def fetched(urls: DataFrame, fetch: Callable[[str], str], url: str = "url") -> DataFrame:
+    """``urls`` with ``text`` and ``error``: a provider is asked once for each row, each host's in one task, one after the other; what fails is told and stops nothing else."""
+    columns = urls.columns
+    at = columns.index(url)
+    dealt = urls.withColumn("__host", netloc(F.col(url))).repartition("__host").sortWithinPartitions("__host", url).drop("__host")
+
+    def mapper(batches):
+        for batch in batches:
+            texts, errors = [], []
+            for u in batch.column(at).to_pylist():
+                try:
+                    texts.append(fetch(u))
+                    errors.append(None)
+                except Exception as failed:  # the failure is the row's result
+                    texts.append(None)
+                    errors.append(f"{type(failed).__name__}: {failed}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*columns, "text", "error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
+    return dealt.mapInArrow(mapper, f"{schema}, text string, error string")
+
+
 def briefing(axes: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """Markdown for each company: total, axes by gap severity, costs if there are any, gaps in the evidence."""
     line = F.format_string("- **%s**: %d (confiança %.2f, gap %.2f)", F.col("axis"), F.col("score"), F.col("confidence").cast("double"), F.col("gap_severity").cast("double"))
