@@ -69,10 +69,21 @@ def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
 _KNOWN: dict[tuple, Index] = {}
 
 
+def _is_there(index: Index) -> bool:
+    from pyspark.errors import PySparkException
+
+    try:
+        index.documents.limit(1).collect()
+        index.terms.limit(1).collect()
+    except PySparkException:  # somebody has cleared the shared folder
+        return False
+    return True
+
+
 def index_once(docs: DataFrame) -> Index:
-    """The index of a table's documents (doc_id, text), made the first time that this application asks for it; the table's files are its name."""
+    """The index of a table's documents (doc_id, text), made the first time that this application asks for it, or when it is gone; the table's files are its name."""
     name = (docs.sparkSession.sparkContext.applicationId, tuple(sorted(docs.inputFiles())))
-    if name not in _KNOWN:
+    if name not in _KNOWN or not _is_there(_KNOWN[name]):
         _KNOWN[name] = index_of(docs)
     return _KNOWN[name]
 

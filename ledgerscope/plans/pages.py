@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerscope import fixed_values as V
 from ledgerscope.functions import text as T
 from ledgerscope.functions import urls as U
-from ledgerscope.operators import history, web
+from ledgerscope.operators import collect, history, web
 from ledgerscope.plans import adapters as A
 from ledgerscope.plans.registry import any_of, query, quoted
 
@@ -193,3 +193,22 @@ _BARE = f"rtrim(regexp_replace(regexp_replace(regexp_replace({_SITE}, '^https://
 @query(f"SELECT page_id, CASE WHEN {_BARE} <> '' THEN {_BARE} END AS site FROM pages")
 def normal_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", T.normal_site(F.col("url")).alias("site"))
+
+
+@query(
+    f"""WITH {_BASE}, f AS (SELECT domain, min(page_id) AS page_id FROM base GROUP BY domain)
+SELECT domain, CAST(1 + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_pages, CAST(page_id % 2 = 0 AS INTEGER) AS n_followed, CASE WHEN page_id % 2 = 0 THEN 'Engenheiro de Dados ' || page_id ELSE '' END AS titles FROM f"""
+)
+def collected_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each domain's first page, with links to vacancies and prices added, and what following them gives: every second vacancy answers."""
+    pages = A.pages(spark, sf_dir).select("page_id", "url", "html", U.domain_of(F.col("url")).alias("domain"))
+    first = pages.groupBy("domain").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("domain", "p.*")
+    origin = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)
+    vacancy = F.concat(origin, F.lit("/vagas/"), F.col("page_id").cast("string"))
+    home = first.select("url", F.concat("html", F.lit('<a href="'), vacancy, F.lit('">Vagas</a><a href="/pricing">Precos</a>')).alias("html"))
+    jobs = first.where("page_id % 2 = 0").select(vacancy.alias("url"), F.concat(F.lit("<h1>Engenheiro de Dados "), F.col("page_id").cast("string"), F.lit("</h1>")).alias("html"))
+    there = home.unionByName(jobs)
+    found = collect.collect(first.select(F.col("domain").alias("company_id"), "domain", "url", F.lit(0).alias("place")), lambda asked: asked.join(there, "url"))
+    counted = found.pages.groupBy("company_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("wave") == 2).cast("int").alias("n_followed"))
+    told = counted.join(found.titles, "company_id", "left")
+    return told.select(F.col("company_id").alias("domain"), "n_pages", "n_followed", F.coalesce(F.array_join("job_titles", ","), F.lit("")).alias("titles"))

@@ -1,6 +1,7 @@
 """Lexical counts without a shuffle, the index of a table made once, dense search by both ways."""
 
 import random
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -20,7 +21,11 @@ def test_terms_are_counted_where_they_are(spark):
 
 def test_a_table_is_indexed_once(spark, sf_dir):
     docs = lambda: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    assert retrieval.index_once(docs()) is retrieval.index_once(docs())
+    first = retrieval.index_once(docs())
+    assert first is retrieval.index_once(docs())
+    shutil.rmtree(first.terms.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])  # a cleared folder
+    again = retrieval.index_once(docs())
+    assert again is not first and again.terms.count() > 0
 
 
 def test_dense_search_by_both_ways(spark):
