@@ -70,12 +70,13 @@ _KNOWN: dict[tuple, Index] = {}
 
 
 def _is_there(index: Index) -> bool:
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
     try:
         index.documents.limit(1).collect()
         index.terms.limit(1).collect()
-    except PySparkException:  # somebody has cleared the shared folder
+    except (Py4JJavaError, PySparkException):  # somebody has cleared the shared folder
         return False
     return True
 
