@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, materialize, small_batches
 
 ROWS = 64
 SYMBOLS = 40_000
@@ -52,6 +52,8 @@ ALL_SYMBOLS = 640_000
 PIECE = 1024
 #: Characters of a passage, of which samples are made.
 PASSAGE = 1000
+#: Rows (language and hash, some 30 bytes) that are broadcast; more of them are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Symbols that a task parses side by side.
 BLOCK = 4_000_000
 OTHER = "�"
@@ -249,10 +251,11 @@ def train(docs: DataFrame, rows: int = ROWS, symbols: int = SYMBOLS, all_symbols
     labelled = docs.where(~held_out(3, 1) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
     hashed = labelled.withColumn("drawn", F.xxhash64("text", F.lit(3)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
-    least = hashed.select("lang", "drawn").distinct().withColumn("nth", rank).where(F.col("nth") <= 4 * rows).drop("nth")
-    few = hashed.join(least, ["lang", "drawn"], "left_semi").groupBy("lang", "drawn").agg(F.min("text").alias("text"))  # 4 * rows texts a language
-    passages = few.select("lang", "drawn", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), 0)).alias("i", "passage"))
+    least = materialize(hashed.select("lang", "drawn").distinct().withColumn("nth", rank).where(F.col("nth") <= 4 * rows).drop("nth"), "drawn")
     languages = max(1, least.select("lang").distinct().count())
+    wanted = F.broadcast(least) if 4 * rows * languages <= MOST_BROADCAST else least  # rows have a bound a language
+    few = hashed.join(wanted, ["lang", "drawn"], "left_semi").groupBy("lang", "drawn").agg(F.min("text").alias("text"))  # 4 * rows texts a language
+    passages = few.select("lang", "drawn", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), 0)).alias("i", "passage"))
     each = max(1, min(symbols, all_symbols // languages) // PASSAGE)
     by_chance = (F.xxhash64("drawn", "i"), F.col("drawn"), F.col("i"))
     order = Window.partitionBy("lang").orderBy("nth", *by_chance)
