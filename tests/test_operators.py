@@ -190,9 +190,11 @@ def test_provider_counts_answers(spark):
         readers.provided(df, lambda xs: [], "t", "n", "double").collect()
 
 
-def test_json_isolation_and_prompts():
-    assert readers.json_object('<think>{"no": 1}</think> x ```json\n{"a": "}", "b": {"c": 1}} tail```') == '{"a": "}", "b": {"c": 1}}'
-    assert readers.json_object("none") is None and readers.json_object('{"open": 1') is None
+def test_json_isolation_and_prompts(spark):
+    told = lambda t: one(spark, readers.json_object(F.col("t")), t)
+    assert told('<think>{"no": 1}</think> x ```json\n{"a": "}", "b": {"c": 1}} tail```') == '{"a": "}", "b": {"c": 1}}'
+    assert told("none") is None and told('{"open": 1') is None and told(None) is None
+    assert told('a " {"q": "\\"}", "e": "\\\\"} {"next": 1}') == '{"q": "\\"}", "e": "\\\\"}' and told("{}}") == "{}" and told('{"a": {"b": "{"}}') == '{"a": {"b": "{"}}'
     assert readers.render("olá {{ nome }}", {"nome": "x"}) == "olá x"
     with pytest.raises(ValueError):
         readers.render("olá {{ nome }}", {})
