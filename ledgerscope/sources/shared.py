@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,8 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that ``materialize`` has written in this process.
+_MADE: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder and read back: computed once, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this process, once no result that reads them is still wanted; gives how many there were."""
+    removed = 0
+    for table in spark.catalog.listTables():
+        if re.fullmatch("t[0-9a-f]{32}", table.name):  # bucketed intermediate tables
+            location = spark.sql(f"DESCRIBE FORMATTED {table.name}").where("col_name = 'Location'").first()["data_type"]
+            spark.sql(f"DROP TABLE {table.name}")
+            _MADE.add(location)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed

@@ -56,3 +56,20 @@ def test_positions_of_a_reranker(spark):
     for wrong in ((1, 1, 0.5), (1, -1, 0.5), (9, 0, 0.5)):
         with pytest.raises(Exception, match="outside of the list"):
             retrieval.positional(chunks, ranking(wrong)).collect()
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    import os
+
+    from ledgerscope.sources import shared
+
+    made = shared.materialize(spark.range(5), "gone")
+    folder = made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    name = "t" + "0" * 32
+    spark.range(3).write.format("parquet").bucketBy(2, "id").option("path", f"{shared.shared_dir(spark)}/{name}").saveAsTable(name)
+    keep, shared._MADE = set(shared._MADE) - {folder, f"file:{folder}", f"file://{folder}"}, {p for p in shared._MADE if p.endswith(folder.rsplit("/", 1)[1])}
+    try:
+        assert os.path.isdir(folder) and shared.clear(spark) >= 2
+        assert not os.path.exists(folder) and not spark.catalog.tableExists(name) and not shared._MADE
+    finally:
+        shared._MADE |= keep
