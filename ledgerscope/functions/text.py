@@ -83,14 +83,15 @@ def _references() -> dict[str, str]:
 
 def unescaped(text: Column) -> Column:
     """Character references, named and numbered, as what they stand for; ``&amp;`` comes last, so nothing is decoded twice."""
-    names = F.create_map(*(F.lit(x) for pair in _references().items() for x in pair))
+    known = _references()
+    names, signs = (F.split(F.lit("\x1f".join(x)), "\x1f") for x in (known, known.values()))  # two constants
     point = lambda digits, base: F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
 
     def sign(ref: Column) -> Column:
         number, hexadecimal = F.regexp_extract(ref, "^#([0-9]{1,7});$", 1), F.regexp_extract(ref, "(?i)^#x([0-9a-f]{1,6});$", 1)
         value = F.when(number != "", number.cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
         good = value.between(1, 0xD7FF) | value.between(0xE000, 0x10FFFF)
-        return F.when(good & (number != ""), point(number, 10)).when(good, point(hexadecimal, 16)).otherwise(names[ref])
+        return F.when(good & (number != ""), point(number, 10)).when(good, point(hexadecimal, 16)).otherwise(F.get(signs, (F.array_position(names, ref) - 1).cast("int")))
 
     found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(#?[a-zA-Z0-9]{1,40};)"), 1))
     decoded = F.aggregate(found, text, lambda t, ref: F.replace(t, F.concat(F.lit("&"), ref), F.coalesce(sign(ref), F.concat(F.lit("&"), ref))))

@@ -84,11 +84,9 @@ def main_text(html: Column) -> Column:
     words = lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
     plain = lambda t: squeeze(F.regexp_replace(t, "(?s)<[^>]*>", " "))
 
-    def block(part: Column) -> Column:
-        whole, free = plain(part), plain(F.regexp_replace(part, r"(?is)<a\b.*?</a\s*>", " "))
-        return F.struct(whole.alias("text"), words(whole).alias("words"), words(free).alias("free"))
-
-    blocks = F.filter(F.transform(F.split(body, _BLOCK), block), lambda b: b["text"] != "")
+    told = lambda part: F.struct(plain(part).alias("text"), plain(F.regexp_replace(part, r"(?is)<a\b.*?</a\s*>", " ")).alias("free"))
+    texts = F.filter(F.transform(F.split(body, _BLOCK), told), lambda b: b["text"] != "")
+    blocks = F.transform(texts, lambda b: F.struct(b["text"].alias("text"), words(b["text"]).alias("words"), words(b["free"]).alias("free")))
     kind = "struct<i:int,sum:bigint,from:int,best:bigint,first:int,end:int>"
 
     def step(a: Column, b: Column) -> Column:
@@ -99,10 +97,10 @@ def main_text(html: Column) -> Column:
         return F.struct((a["i"] + 1).alias("i"), total.alias("sum"), start.alias("from"), F.greatest(total, a["best"]).alias("best"), F.when(better, start).otherwise(a["first"]).alias("first"), F.when(better, a["i"] + 1).otherwise(a["end"]).alias("end")).cast(kind)
 
     nothing = F.struct(*(F.lit(0).alias(n) for n in ("i", "sum", "from", "best", "first", "end"))).cast(kind)
-    cut = F.aggregate(blocks, nothing, step, lambda a: F.struct(a["first"].alias("first"), a["end"].alias("end")))
     kept = lambda bs, at: F.filter(F.slice(bs, at["first"] + 1, at["end"] - at["first"]), lambda b: 2 * b["free"] >= b["words"])
-    joined = F.transform(F.array(F.struct(blocks.alias("bs"), cut.alias("at"))), lambda x: F.array_join(F.transform(kept(x["bs"], x["at"]), lambda b: unescaped(b["text"])), "\n"))
-    return joined[0]
+    lines = lambda bs, at: F.array_join(F.transform(kept(bs, at), lambda b: unescaped(b["text"])), "\n")
+    once = lambda x, of: F.transform(F.array(x), of)[0]  # noqa: E731  evaluates x a single time
+    return once(blocks, lambda bs: once(F.aggregate(bs, nothing, step), lambda at: lines(bs, at)))
 
 
 #: A day as pages write it: with or without a time.
