@@ -172,3 +172,21 @@ def test_letters_in_their_plain_form(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.fold(F.col("t")).alias("f")).collect()
     assert [r["i"] for r in got if r["f"] != plain(texts[r["i"]])] == []
     assert spark.createDataFrame([(None,)], "t string").select(T.fold(F.col("t"))).first()[0] is None
+
+
+def test_a_text_is_folded_once(spark):
+    df = spark.createDataFrame([(1, "Ação da Anthropic", "api_externa")], "i int, t string, p string")
+    folded = T.fold(F.lower("t"))
+    for column in (T.provider_key(folded, F.col("p")), T.category(folded), T.tokens(F.col("t")), T.normal_name(F.col("t"))):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == 1
+
+
+def test_folding_takes_time_by_length(spark):
+    import time
+
+    df = spark.createDataFrame([("é" + "palavras com acentuação e várias letras " * 50_000,)], "t string").select(F.length(T.fold(F.col("t"))))
+    df.collect()
+    began = time.time()
+    df.collect()
+    assert time.time() - began < 2  # two million letters
