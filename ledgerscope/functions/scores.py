@@ -106,5 +106,6 @@ def bucket(total: Column, confidence: Column, capacity_to_act: Column, maturity:
 
 
 def urgency(risk: Column, capacity_to_act: Column, confidence: Column) -> Column:
+    """Risk times capacity times confidence, within 0 and 100; a product that is a double's error below a tie counts as the tie."""
     product = risk * capacity_to_act * F.greatest(confidence, F.lit(0.1))
-    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), product)), 1)
+    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), product)) * 10) / 10

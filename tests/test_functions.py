@@ -190,3 +190,7 @@ def test_folding_takes_time_by_length(spark):
     began = time.time()
     df.collect()
     assert time.time() - began < 2  # two million letters
+
+
+def test_urgency_at_a_tie_that_doubles_miss(spark):
+    assert one(spark, S.urgency(F.lit(0.6), F.lit(0.75), F.lit(1.0))) == 0.5
