@@ -25,11 +25,12 @@ MEDIA, NOTHING = "veiculo_de_midia", "nenhuma_pagina"
 
 @dataclass(frozen=True)
 class Collected:
-    """``pages`` (company_id, wave, url, kind, title, text, published_at), ``titles`` (company_id, job_titles) and ``failures`` (company_id, reason)."""
+    """``pages`` (company_id, wave, url, kind, title, text, published_at), ``titles`` (company_id, job_titles), ``failures`` (company_id, reason) and ``named`` (company_id, wave, place, url, job_titles), which page names which titles."""
 
     pages: DataFrame
     titles: DataFrame
     failures: DataFrame
+    named: DataFrame
 
 
 def _answers(asked: DataFrame, fetch: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -68,4 +69,4 @@ def collect(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], followed:
     kept = placed.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda t: t["title"]).alias("job_titles"))
     empty = asked.select("company_id").distinct().join(media, "company_id", "left_anti").join(whole.select("company_id").distinct(), "company_id", "left_anti")
     failures = media.withColumn("reason", F.lit(MEDIA)).unionByName(empty.withColumn("reason", F.lit(NOTHING)))
-    return Collected(pages, kept, failures)
+    return Collected(pages, kept, failures, whole.select("company_id", "wave", "place", "url", "job_titles"))

@@ -30,3 +30,13 @@ def test_two_waves(spark):
     assert [tuple(r) for r in got.titles.collect()] == [("a", ["Engenheiro de Software"])]
     assert {tuple(r) for r in got.failures.collect()} == {("m", collect.MEDIA), ("e", collect.NOTHING), ("g", collect.NOTHING)}
     assert asked[1] == ["https://a.com/blog/1", "https://a.com/cases/0", "https://a.com/cases/1", "https://a.com/cases/2", "https://a.com/vagas"] and len(asked) == 2
+
+
+def test_titles_of_followed_pages(spark, tmp_path):
+    """A role's letters in a heading of the first page are a title of that page, not of the vacancy."""
+    from ledgerscope.plans.catalogue import QUERIES
+
+    pages = [(n, f"https://{d}.example.com/{n}", f"<title>t</title><h2>Hast asrewhesed thed</h2>{LONG}") for n, d in ((2, "a"), (3, "b"))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["domain"]: (r["n_pages"], r["n_followed"], r["titles"]) for r in QUERIES["collected_sites"](spark, str(tmp_path)).collect()}
+    assert got == {"a.example.com": (2, 1, "Engenheiro de Dados 2"), "b.example.com": (1, 0, "")}
