@@ -11,6 +11,9 @@ from ledgerscope.functions.text import fold
 from ledgerscope.operators.merging import replace_latest
 from ledgerscope.sources.readers import read_index
 
+#: Tasks a core that write files, a small one each row.
+_TASKS = 4
+
 
 def append(tables: dict[str, DataFrame], folder: str, order: tuple[str, ...]) -> list[tuple[str, str]]:
     """Append each table in order; what fails is returned with its error and stops none of the others."""
@@ -56,8 +59,15 @@ def slug(name) -> "F.Column":
 
 
 def write_markdown(briefings: DataFrame, folder: str) -> None:
-    """A folder with a text for each briefing (name, markdown)."""
-    briefings.select(slug(F.col("name")).alias("slug"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("slug").option("lineSep", "\n\n").text(folder)
+    """A folder with a text for each briefing (name, markdown); briefings whose names make the same folder are files of their own.
+
+    A file takes a while whatever its length, so files are dealt out to all
+    tasks, and a task puts its own in their places when it is done.
+    """
+    rows = briefings.select(slug(F.col("name")).alias("slug"), F.col("markdown").alias("value"))
+    spread = rows.repartition(_TASKS * briefings.sparkSession.sparkContext.defaultParallelism, "slug")
+    options = {"lineSep": "\n\n", "maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+    spread.write.mode("overwrite").partitionBy("slug").options(**options).text(folder)
 
 
 def write_json(states: DataFrame, folder: str) -> None:

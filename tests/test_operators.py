@@ -265,3 +265,11 @@ def test_rows_are_numbered_over_ranges(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"))
     got = [(r["x"], r["n"]) for r in history.numbered(rows.repartition(7), "x", "n").orderBy("x").collect()]
     assert [n for _, n in got] == list(range(1, 1001))
+
+
+def test_briefings_of_one_name_stay_apart(spark, tmp_path):
+    from ledgerscope.sources import writers
+
+    df = spark.createDataFrame([("Acme SA", f"# {i}\n\nText.") for i in range(5)], "name string, markdown string").coalesce(1)
+    writers.write_markdown(df, f"{tmp_path}/md")
+    assert sorted(r["value"][:3] for r in spark.read.text(f"{tmp_path}/md", wholetext=True).collect()) == [f"# {i}" for i in range(5)]
