@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
-from ledgerscope.functions.text import contains_any, excerpt_hash, squeeze, tech_mentions
+from ledgerscope.functions.text import computed, contains_any, excerpt_hash, squeeze, tech_mentions
 from ledgerscope.functions.urls import domain_of
 
 #: Whole words inside an excerpt that a text has to have in a row before it is searched.
@@ -16,10 +16,14 @@ KEY_WORDS = 4
 
 
 def paragraphs(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys..., position, excerpt`` of every line long enough to be an excerpt, cut to the longest."""
-    lines = docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    clean = squeeze(F.regexp_replace("line", r"[\x00-\x08\x0e-\x1f]", ""))
-    return lines.select(*keys, "position", F.substring(clean, 1, V.EXCERPT_MOST).alias("excerpt")).where(F.length("excerpt") >= V.EXCERPT_LEAST)
+    """``keys..., position, excerpt`` of every line long enough to be an excerpt, cut to the longest.
+
+    The filter on the length is not pushed below ``computed``: no line is cleaned once to be
+    judged and once more to be kept.
+    """
+    lines = docs.select(*keys, F.posexplode(F.split(F.regexp_replace("text", r"[\x00-\x08\x0e-\x1f]", ""), "\n")).alias("position", "line"))
+    clean = F.substring(squeeze(F.col("line")), 1, V.EXCERPT_MOST)
+    return lines.select(*keys, "position", computed(clean).alias("excerpt")).where(F.length("excerpt") >= V.EXCERPT_LEAST)
 
 
 def first_of_each(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

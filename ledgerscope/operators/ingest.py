@@ -15,8 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.text import chunk_id, tokens
+from ledgerscope.functions.text import chunk_id, computed, tokens
 from ledgerscope.operators import chunking
+from ledgerscope.operators.retrieval import term_rows
 from ledgerscope.sources import readers
 from ledgerscope.sources.shared import materialize, shared_dir
 from ledgerscope.sources.tableset import TableSet
@@ -27,6 +28,8 @@ TABLES = {
     "postings": "chunk_id string, term string, tf long, length long",
     "reports": "run string, batch long, documents long, collected long, different long, skipped long, added long",
 }
+#: Tasks for each core where contexts are cut into terms, the most work for the fewest bytes.
+WAVES = 4
 Cut = Callable[[DataFrame], DataFrame]
 
 
@@ -46,21 +49,35 @@ def ingest(docs: DataFrame, kept: TableSet, embed: Callable[[list[str]], list],
 
     Repeated pieces of a batch are one piece, that of the smallest url and
     position.  What the store has is found by its ids alone, of which only
-    those of this batch's pieces survive the semi-join.
+    those of this batch's pieces survive the semi-join.  A context that ends
+    with its piece moves as what stands before it.  New pieces are written
+    into the store once; vectors and postings are made of what was written,
+    and a piece's terms are counted where it is read.
     """
     if batch is not None and kept.done(writer, batch):
         return None
     spark, run = docs.sparkSession, uuid.uuid4().hex
-    pieces = materialize(cut(docs).withColumn("chunk_id", chunk_id(F.col("url"), F.col("chunk"))), "pieces")
-    once = pieces.groupBy("chunk_id").agg(F.min_by(F.struct("url", "position", "context", "chunk", "technology", "category"), F.struct("url", "position")).alias("of")).select("chunk_id", "of.*")
-    known = kept.table("chunks").select("chunk_id").join(pieces.select("chunk_id"), "chunk_id", "left_semi")
-    new = materialize(once.join(known, "chunk_id", "left_anti"), "new")
-    vectors = readers.provided(new.select("chunk_id", "context"), embed, "context", "embedding", "array<float>").select("chunk_id", "embedding")
-    terms = new.select("chunk_id", tokens(F.col("context")).alias("terms"))
-    counted = terms.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    collected, different, added = pieces.count(), once.count(), new.count()
-    report = spark.createDataFrame([(run, batch, docs.select("url").distinct().count(), collected, different, different - added, added)], TABLES["reports"])
-    return run if kept.append({"chunks": new, "vectors": vectors, "postings": counted, "reports": report}, writer=writer, batch=batch) else None
+    ends = F.endswith("context", F.col("chunk"))
+    before = F.when(ends, F.substring("context", F.lit(1), F.length("context") - F.length("chunk")))
+    other = F.when(~F.coalesce(ends, F.lit(False)), F.col("context"))
+    cut_up = cut(docs).select("url", F.col("position").cast("long").alias("position"), "chunk", before.alias("before"), other.alias("other"), "technology", "category")
+    pieces = materialize(cut_up.withColumn("chunk_id", chunk_id(F.col("url"), F.col("chunk"))), "pieces")
+    once = pieces.groupBy("chunk_id").agg(F.min(F.struct("url", "position", "chunk", "before", "other", "technology", "category")).alias("of")).select("chunk_id", "of.*")
+    known = materialize(kept.table("chunks").select("chunk_id").join(pieces.select("chunk_id"), "chunk_id", "left_semi").distinct(), "known")
+    new = once.join(known, "chunk_id", "left_anti").withColumn("context", F.coalesce(F.concat("before", "chunk"), "other"))
+
+    def vectors(done: dict[str, DataFrame]) -> DataFrame:
+        return readers.provided(done["chunks"].select("chunk_id", "context"), embed, "context", "embedding", "array<float>").select("chunk_id", "embedding")
+
+    def postings(done: dict[str, DataFrame]) -> DataFrame:
+        dealt = done["chunks"].select("chunk_id", "context").repartition(WAVES * spark.sparkContext.defaultParallelism, "chunk_id")
+        return term_rows(dealt.select("chunk_id", computed(tokens(F.col("context"))).alias("terms")), "chunk_id")
+
+    def report(done: dict[str, DataFrame]) -> DataFrame:
+        collected, skipped, added = pieces.count(), known.count(), done["chunks"].count()
+        return spark.createDataFrame([(run, batch, docs.select("url").distinct().count(), collected, skipped + added, skipped, added)], TABLES["reports"])
+
+    return run if kept.append({"chunks": new, "vectors": vectors, "postings": postings, "reports": report}, writer=writer, batch=batch) else None
 
 
 def ingest_stream(docs: DataFrame, kept: TableSet, embed: Callable[[list[str]], list], *, cut: Cut = by_structure, checkpoint: str | None = None, name: str | None = None) -> None:

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from ledgerscope.sources.readers import read_index
 
 COMMIT = "number long, writer string, batch long, whole boolean, parts map<string,string>, at timestamp"
+Rows = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
 
 
 class TableSet:
@@ -36,7 +37,7 @@ class TableSet:
         """Commits in order, from the last that replaced everything on: one row a batch since the last ``compact``."""
         commits = self.commits()
         since = commits.where("whole").agg(F.max("number")).first()[0] or 0
-        return commits.where(F.col("number") >= since).orderBy("number").collect()
+        return sorted(commits.where(F.col("number") >= since).collect(), key=lambda c: c["number"])
 
     def done(self, writer: str, batch: int) -> bool:
         """Whether this batch of this writer is in."""
@@ -53,24 +54,29 @@ class TableSet:
         row = self.spark.createDataFrame([(number, writer, batch, whole, parts)], COMMIT.rsplit(",", 1)[0])
         row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
-    def _write(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+    def _write(self, tables: dict[str, Rows]) -> dict[str, str]:
         if set(tables) - set(self.schemas):
             raise ValueError(f"no such tables: {sorted(set(tables) - set(self.schemas))}")
-        parts = {}
-        for name, df in tables.items():
+        parts, done = {}, {}
+        for name, rows in tables.items():
+            df = rows if isinstance(rows, DataFrame) else rows(done)
             parts[name] = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             wanted = self.spark.createDataFrame([], self.schemas[name]).schema
             df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted)).write.parquet(parts[name])
+            done[name] = self.spark.read.schema(wanted).parquet(parts[name])
         return parts
 
-    def append(self, tables: dict[str, DataFrame], *, writer: str = "job", batch: int | None = None) -> bool:
-        """Add rows to several tables at once; false, and nothing changes, if this batch is in already."""
+    def append(self, tables: dict[str, Rows], *, writer: str = "job", batch: int | None = None) -> bool:
+        """Add rows to several tables at once; false, and nothing changes, if this batch is in already.
+
+        In place of a table's rows a function may stand that makes them of the new rows of the tables before it, as they were written.
+        """
         if batch is not None and self.done(writer, batch):
             return False
         self._commit(writer, batch, self._write(tables), whole=False)
         return True
 
-    def replace(self, tables: dict[str, DataFrame], *, writer: str = "job", batch: int | None = None) -> None:
+    def replace(self, tables: dict[str, Rows], *, writer: str = "job", batch: int | None = None) -> None:
         """All tables at once anew; tables that aren't named are empty then."""
         self._commit(writer, batch, self._write(tables), whole=True)
 

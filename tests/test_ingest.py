@@ -3,12 +3,15 @@
 import os
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerscope.operators import ingest
+from ledgerscope import fixed_values as V
+from ledgerscope.functions.text import computed, tokens
+from ledgerscope.operators import evidence, ingest, retrieval
 from ledgerscope.sources.tableset import TableSet, write_points
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -53,6 +56,44 @@ def test_replayed_documents_and_batches_change_nothing(spark, tmp_path):
     assert kept.table("chunks").join(kept.table("vectors"), "chunk_id", "full_outer").where("embedding is null or chunk is null").count() == 0
 
 
+def test_nothing_is_computed_twice(spark):
+    """A filter that is pushed down would clean each line, and cut each context into terms, once more."""
+    rows = docs(spark, [("u1", "eins\x01 zwei  drei vier fuenf\nkurz"), ("u2", None)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lines = evidence.paragraphs(rows, ["url"])
+    assert plan(lines).count(r"(?U)\s+") == 1 and [r["excerpt"] for r in lines.collect()] == ["eins zwei drei vier fuenf"]
+    terms = retrieval.term_rows(rows.select("url", computed(tokens(F.col("text"))).alias("terms")), "url")
+    assert plan(terms).count(V.TOKEN) == 1 and "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_pieces_are_counted_where_they_are(spark, tmp_path):
+    texts = ["NIM nim a-b a.b a b nim", "", None, "the", "x" * 3000 + " y" * 5000]
+    kept = ingest.store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "url string, text string")
+    cut = lambda d: d.select("url", F.lit(0).alias("position"), F.col("text").alias("context"), F.col("url").alias("chunk"), F.lit("t").alias("technology"), F.lit("c").alias("category"))
+    assert ingest.ingest(rows, kept, lambda texts: [[1.0] for _ in texts], cut=cut)
+    wanted = [(i, term, n, len(terms)) for i, text in rows.select("url", tokens(F.col("text"))).collect() for terms in [text or []] for term, n in Counter(terms).items()]
+    assert len(wanted) > 5
+    found = kept.table("postings").join(kept.table("chunks").select("chunk_id", "url"), "chunk_id").select("url", "term", "tf", "length")
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def test_contexts_come_back_whole(spark, tmp_path):
+    contexts = [("a", "a", "T > H\n\na"), ("b", "b", "b"), ("c", "c", "other"), ("d", "d", None), ("e", "e", ""), ("f", None, "f"), ("g", "", "g"), ("h", "ü\U0001f600", "é\U0001f600 ü\U0001f600")]
+    cut = lambda _: spark.createDataFrame([(u, 0, c, x, "t", None) for u, x, c in contexts], "url string, position int, context string, chunk string, technology string, category string")
+    kept = ingest.store(spark, str(tmp_path))
+    assert ingest.ingest(docs(spark, [("u", "x")]), kept, lambda texts: [[float(len(t or ""))] for t in texts], cut=cut)
+    assert sorted(map(tuple, kept.table("chunks").select("url", "chunk", "context").collect())) == sorted((u, x, c) for u, x, c in contexts)
+    assert kept.table("vectors").count() == len(contexts)
+
+
+def test_rows_made_of_rows_that_were_written(spark, tmp_path):
+    kept = TableSet(spark, str(tmp_path), {"a": "x long", "b": "n long"})
+    for n in (3, 4):
+        assert kept.append({"a": spark.range(n).select(F.col("id").alias("x")), "b": lambda done: done["a"].agg(F.count("*").alias("n"))})
+    assert sorted(r["n"] for r in kept.table("b").collect()) == [3, 4] and kept.table("a").count() == 7
+
+
 def test_a_stream_is_taken_once(spark, tmp_path):
     source, kept = str(tmp_path / "in"), ingest.store(spark, str(tmp_path / "store"))
     for text in ("# A\nEins.", "# B\nZwei."):
