@@ -19,7 +19,7 @@ from ledgerscope.functions.text import chunk_id, computed, tokens
 from ledgerscope.operators import chunking
 from ledgerscope.operators.retrieval import term_rows
 from ledgerscope.sources import readers
-from ledgerscope.sources.shared import materialize, shared_dir
+from ledgerscope.sources.shared import discard, materialize, shared_dir
 from ledgerscope.sources.tableset import TableSet
 
 TABLES = {
@@ -66,15 +66,20 @@ def ingest(docs: DataFrame, kept: TableSet, embed: Callable[[list[str]], list],
     known = materialize(kept.table("chunks").select("chunk_id").join(pieces.select("chunk_id"), "chunk_id", "left_semi").distinct(), "known")
     new = once.join(known, "chunk_id", "left_anti").withColumn("context", F.coalesce(F.concat("before", "chunk"), "other"))
 
+    collected, skipped = pieces.count(), known.count()
+
     def vectors(done: dict[str, DataFrame]) -> DataFrame:
+        discard(pieces)  # the new ones are written
         return readers.provided(done["chunks"].select("chunk_id", "context"), embed, "context", "embedding", "array<float>").select("chunk_id", "embedding")
 
     def postings(done: dict[str, DataFrame]) -> DataFrame:
-        dealt = done["chunks"].select("chunk_id", "context").repartition(WAVES * spark.sparkContext.defaultParallelism, "chunk_id")
-        return term_rows(dealt.select("chunk_id", computed(tokens(F.col("context"))).alias("terms")), "chunk_id")
+        contexts, tasks = done["chunks"].select("chunk_id", "context"), WAVES * spark.sparkContext.defaultParallelism
+        if contexts._jdf.rdd().getNumPartitions() < tasks:  # as the files are cut
+            contexts = contexts.repartition(tasks, "chunk_id")
+        return term_rows(contexts.select("chunk_id", computed(tokens(F.col("context"))).alias("terms")), "chunk_id")
 
     def report(done: dict[str, DataFrame]) -> DataFrame:
-        collected, skipped, added = pieces.count(), known.count(), done["chunks"].count()
+        added = done["chunks"].count()
         return spark.createDataFrame([(run, batch, docs.select("url").distinct().count(), collected, skipped + added, skipped, added)], TABLES["reports"])
 
     return run if kept.append({"chunks": new, "vectors": vectors, "postings": postings, "reports": report}, writer=writer, batch=batch) else None

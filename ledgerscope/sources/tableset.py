@@ -62,7 +62,7 @@ class TableSet:
             df = rows if isinstance(rows, DataFrame) else rows(done)
             parts[name] = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             wanted = self.spark.createDataFrame([], self.schemas[name]).schema
-            df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted)).write.parquet(parts[name])
+            df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted)).write.option("compression", "zstd").parquet(parts[name])
             done[name] = self.spark.read.schema(wanted).parquet(parts[name])
         return parts
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerscope import fixed_values as V
 from ledgerscope.functions.text import computed, tokens
 from ledgerscope.operators import evidence, ingest, retrieval
+from ledgerscope.sources.shared import shared_dir
 from ledgerscope.sources.tableset import TableSet, write_points
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -87,6 +88,13 @@ def test_contexts_come_back_whole(spark, tmp_path):
     assert kept.table("vectors").count() == len(contexts)
 
 
+def test_the_pieces_of_a_batch_go_when_they_are_stored(spark, tmp_path):
+    kept, before = ingest.store(spark, str(tmp_path)), set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    assert ingest.ingest(docs(spark, [("u1", "# A\nEins zwei drei."), ("u2", "Vier.")]), kept, embed)
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert [name.split("-")[0] for name in left] == ["known"] and kept.table("chunks").count() == kept.table("vectors").count() == 2
+
+
 def test_rows_made_of_rows_that_were_written(spark, tmp_path):
     kept = TableSet(spark, str(tmp_path), {"a": "x long", "b": "n long"})
     for n in (3, 4):
@@ -138,6 +146,7 @@ RETRIED = """
 import os, sys
 from pathlib import Path
 from pyspark.sql import SparkSession, functions as F
+from ledgerscope.sources.shared import shared_dir
 from ledgerscope.sources.tableset import write_points
 folder = sys.argv[1]
 spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
