@@ -281,13 +281,13 @@ def exported_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(folder).select(*rows.columns)
 
 
-@query("SELECT regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS slug, '# ' || c_name AS first_line FROM customer WHERE c_custkey % 50 = 0")
+@query("SELECT regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS slug, '# ' || c_name AS first_line FROM customer")
 def exported_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Briefings exported to folders named like their companies, and read back."""
-    rows = A.companies(spark, sf_dir).where("company_id % 50 = 0").select("name", F.concat(F.lit("# "), "name", F.lit("\n\nText.")).alias("markdown"))
+    """Briefings of all companies, exported to folders named like them, and read back."""
+    rows = A.companies(spark, sf_dir).select("name", F.concat(F.lit("# "), "name", F.lit("\n\nText.")).alias("markdown"))
     folder = f"{shared_dir(spark)}/markdown-{uuid.uuid4().hex}"
     writers.write_markdown(rows, folder)
-    return spark.read.text(folder, wholetext=True).select(F.col("slug").cast("string").alias("slug"), F.split("value", "\n")[0].alias("first_line"))
+    return readers.read_markdown(spark, folder).select("slug", F.split("value", "\n")[0].alias("first_line"))
 
 
 @query(

@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import fixed_values as V
+from ledgerscope.sources.shared import mounted
 
 #: Sections of a registry that hold no sources.
 SKIPPED_SECTIONS = ("version", "cards_manuais")
 CARD_URL = "https://cards.local/"
+#: Where ``writers.write_markdown`` lists its files, and what a folder is called whose company has no name.
+WRITTEN, NAMELESS = "_written", "__HIVE_DEFAULT_PARTITION__"
+#: Bytes of files that a task hands on at a time.
+_READ_BYTES = 2 << 20
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +66,33 @@ def render(template: str, values: dict[str, str]) -> str:
     return re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: values[m[1]], template)
 
 
+def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """``slug, value`` of each text that ``writers.write_markdown`` put into a folder; files are found and opened by tasks."""
+    root = mounted(spark, folder)
+    if root is None:
+        return spark.read.schema("value string, slug string").text(folder, wholetext=True).select("slug", "value")
+
+    def rows(slugs, texts):
+        return pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(texts, pa.binary())], names=["slug", "value"])
+
+    def get(batches):
+        for batch in batches:
+            slugs, texts, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with open(f"{root}/{name}", "rb") as file:
+                    texts.append(file.read())
+                slug = name[len("slug=") : name.index("/")]
+                slugs.append(None if slug == NAMELESS else slug)
+                size += len(texts[-1])
+                if size > _READ_BYTES:
+                    yield rows(slugs, texts)
+                    slugs, texts, size = [], [], 0
+            yield rows(slugs, texts)
+
+    files = spark.read.schema("file string").parquet(f"{folder}/{WRITTEN}")
+    return files.mapInArrow(get, "slug string, value binary").select("slug", F.col("value").cast("string").alias("value"))
+
+
 def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A saved index, or an empty one where nothing was saved."""
     from pyspark.errors import AnalysisException

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.text import fold
 from ledgerscope.operators.merging import replace_latest
-from ledgerscope.sources.readers import read_index
+from ledgerscope.sources.readers import NAMELESS, WRITTEN, read_index
+from ledgerscope.sources.shared import mounted
 
 #: Tasks a core that write files, a small one each row.
 _TASKS = 4
+#: What follows each text.
+_END = "\n\n"
 
 
 def append(tables: dict[str, DataFrame], folder: str, order: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -61,13 +67,38 @@ def slug(name) -> "F.Column":
 def write_markdown(briefings: DataFrame, folder: str) -> None:
     """A folder with a text for each briefing (name, markdown); briefings whose names make the same folder are files of their own.
 
-    A file takes a while whatever its length, so files are dealt out to all
-    tasks, and a task puts its own in their places when it is done.
+    Spark's own writer starts several processes for each file of a mounted
+    folder (they set its permissions), so there the tasks write files
+    themselves: each is put in its place whole, under a name that a repeated
+    task gives it again, and the table in ``_written`` lists them once all are
+    there.  Elsewhere Spark's writer does the work.
     """
     rows = briefings.select(slug(F.col("name")).alias("slug"), F.col("markdown").alias("value"))
-    spread = rows.repartition(_TASKS * briefings.sparkSession.sparkContext.defaultParallelism, "slug")
-    options = {"lineSep": "\n\n", "maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
-    spread.write.mode("overwrite").partitionBy("slug").options(**options).text(folder)
+    spark, root = briefings.sparkSession, mounted(briefings.sparkSession, folder)
+    tasks = _TASKS * spark.sparkContext.defaultParallelism
+    if root is None:
+        options = {"lineSep": _END, "maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+        rows.repartition(tasks, "slug").write.mode("overwrite").partitionBy("slug").options(**options).text(folder)
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def put(batches):
+        task, attempt, n = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
+        for batch in batches:
+            files = []
+            for name, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                place, n = f"slug={name or NAMELESS}", n + 1
+                files.append(f"{place}/part-{task:05d}-{n}.txt")
+                os.makedirs(f"{root}/{place}", exist_ok=True)
+                unfinished = f"{root}/{place}/.{attempt}-{n}"
+                with open(unfinished, "wb") as file:
+                    file.write((text or b"") + _END.encode())
+                os.replace(unfinished, f"{root}/{files[-1]}")
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
+
+    dealt = rows.withColumn("value", F.col("value").cast("binary")).repartition(tasks).sortWithinPartitions("slug", "value")
+    dealt.mapInArrow(put, "file string").write.parquet(f"{folder}/{WRITTEN}")
 
 
 def write_json(states: DataFrame, folder: str) -> None:

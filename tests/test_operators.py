@@ -273,3 +273,27 @@ def test_briefings_of_one_name_stay_apart(spark, tmp_path):
     df = spark.createDataFrame([("Acme SA", f"# {i}\n\nText.") for i in range(5)], "name string, markdown string").coalesce(1)
     writers.write_markdown(df, f"{tmp_path}/md")
     assert sorted(r["value"][:3] for r in spark.read.text(f"{tmp_path}/md", wholetext=True).collect()) == [f"# {i}" for i in range(5)]
+
+
+def test_markdown_of_every_company_is_exported(spark, tmp_path):
+    from ledgerscope.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, "BRAZIL")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    names = [(i, f"Company {i // 2}", 1 if i % 3 else None, 0.0, "s") for i in range(101)]
+    spark.createDataFrame(names, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["exported_markdown"](spark, str(tmp_path)).collect()
+    assert sorted((r["slug"], r["first_line"]) for r in got) == sorted((f"company-{i // 2}", f"# Company {i // 2}") for i in range(101))
+
+
+def test_markdown_is_read_back(spark, tmp_path):
+    from ledgerscope.sources import writers
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.exports.link./md", f"file://{tmp_path}")
+    rows = [("007", "# a\n\nÇ."), ("007", "# b"), ("007", "# b"), ("Ação & Cia", "# c" * 1_500_000), ("x", ""), (None, None)]
+    want = sorted(({"Ação & Cia": "acao-cia"}.get(n, n), f"{t}\n\n") for n, t in rows if n)
+    for folder in (f"{tmp_path}/mounted of all", "viewfs://exports/md/spark"):
+        writers.write_markdown(spark.createDataFrame([("old", "# old")], "name string, markdown string"), folder)
+        writers.write_markdown(spark.createDataFrame(rows, "name string, markdown string"), folder)
+        got = [(r["slug"], r["value"]) for r in readers.read_markdown(spark, folder).collect()]
+        assert sorted(r for r in got if r[0]) == want and [r for r in got if not r[0]] == [(None, "\n\n")]
+        assert spark.read.text(folder, wholetext=True).count() == len(rows)
